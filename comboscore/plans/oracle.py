@@ -127,3 +127,54 @@ def with_ctes(*ctes: str, select: str) -> str:
 
 
 CORE = (PAIR_SCORES, PAIR_NAMED, FIRST_PAIR, COMBOS, COMBO_PAIRS, SCORED, VERDICT)
+
+PROMPTS = """pl AS (
+  SELECT cp.*, lp.name_a, lp.name_b, lp.loewe, lp.loewe_text, lp.lo IS NOT NULL AS found
+  FROM cp LEFT JOIN lp ON lp.lo = cp.lo AND lp.hi = cp.hi),
+pr AS (
+  SELECT combo_id,
+    'Context: ' || coalesce(string_agg(name_a || ' and ' || name_b || ' have a Loewe score of: ' || loewe_text || '.',
+                                       ' ' ORDER BY i, j) FILTER (WHERE found), '') AS context,
+    coalesce(array_to_string(list_sort(list_distinct(flatten(list([name_a, name_b]) FILTER (WHERE found)))), ', '), '')
+      AS names
+  FROM pl GROUP BY combo_id),
+prm AS (
+  SELECT combo_id, context || '  ' || 'The drug combination to analyze is: ' || names || ' '
+         || '. According to the rule, if Loewe > 0.1, the outcome is Antagonistic; if Loewe < -0.1, it is Synergistic; otherwise, it is Additive. Decide if the combination is synergistic, antagonistic, or additive.'
+         AS prompt, context, names
+  FROM pr)"""
+
+FINAL = """fin AS (
+  SELECT vd.combo_id, ci.drugs, vd.prediction, vd.reasoning, prm.prompt, prm.context
+  FROM vd JOIN combo_ids ci ON ci.combo_id = vd.combo_id JOIN prm ON prm.combo_id = vd.combo_id)"""
+
+RESPONSES = """resp AS (
+  SELECT lk.combo_id,
+    CASE WHEN NOT lk.found THEN 'no comment'
+         WHEN lk.hsa = 0 THEN 'I cannot tell.'
+         ELSE 'The outcome is ' || (CASE WHEN lk.loewe > 0.1 THEN 'Antagonistic'
+                                         WHEN lk.loewe < -0.1 THEN 'Synergistic' ELSE 'Additive' END) END AS response
+  FROM lk JOIN combo_ids ci ON ci.combo_id = lk.combo_id
+  WHERE lk.i = 0 AND lk.j = 1 AND ci.k >= 3)"""
+
+
+def kw(expr: str) -> str:
+    """Keyword label of a text expression, in SQL."""
+    t = f"lower({expr})"
+    return (f"CASE WHEN contains({t}, 'antagonistic') THEN 'antagonistic' "
+            f"WHEN contains({t}, 'synergistic') THEN 'synergistic' "
+            f"WHEN contains({t}, 'additive') THEN 'additive' ELSE 'no_pred' END")
+
+
+EVAL = f"""ev AS (
+  SELECT fin.combo_id, {kw('fin.prediction')} AS truth, {kw('resp.response')} AS pred
+  FROM fin JOIN resp ON resp.combo_id = fin.combo_id)"""
+
+TURNS = """turns AS (
+  SELECT u.conv_id, u.turn, u.text AS ref_text, a.text AS cand_text
+  FROM conversations u JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user')"""
+
+FULL = CORE + (LAST_PAIR, PROMPTS, FINAL)
+EVALS = FULL + (RESPONSES, EVAL)

@@ -1,39 +1,3 @@
-"""Registered queries: one per operator of the inventory, each with its DuckDB twin."""
+"""Importing this module registers every query (see ``registry.REGISTRY``)."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from comboscore.functions.pairs import join_ids
-from comboscore.operators.pairs import combo_pairs, lookup_pairs
-from comboscore.operators.scoring import combo_verdict, score_pairs
-from comboscore.plans import fixtures as fx
-from comboscore.plans import oracle as O
-from comboscore.plans.registry import register
-
-
-# ------------------------------------------------------------------ shared Spark lineages
-
-def scored_pairs(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    """Combination pairs, first-wins left lookup, scored (the label step)."""
-    combos = fx.combos(spark, sf_dir).withColumn("drugs", join_ids("ids"))
-    pairs = combo_pairs(combos, keep=("drugs",))
-    scores = fx.pair_scores(spark, sf_dir, sparse=sparse)
-    looked = lookup_pairs(pairs, scores, order=fx.ORDER_COLS, keep="first", how="left",
-                          columns=["name_a", "name_b", "bliss", "loewe", "hsa", "zip"])
-    return score_pairs(looked)
-
-
-def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combo_verdict(scored_pairs(spark, sf_dir), carry=("drugs",))
-
-
-# ------------------------------------------------------------------ flagship
-
-@register("combo_verdict", sql=O.with_ctes(*O.CORE, select="""
-SELECT vd.combo_id, ci.drugs, vd.prediction, vd.reasoning, vd.n_pairs, vd.missing_pairs,
-       vd.synergistic, vd.additive
-FROM vd JOIN combo_ids ci ON ci.combo_id = vd.combo_id"""))
-def q_combo_verdict(spark, sf_dir):
-    return verdicts(spark, sf_dir)
+from comboscore.plans import q_eval, q_misc, q_pairs, q_text  # noqa: F401

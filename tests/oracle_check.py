@@ -14,6 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -29,6 +30,12 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None:
         return None
+    if not isinstance(v, (list, tuple)) and not hasattr(v, "tolist"):
+        try:
+            if pd.isna(v):
+                return None
+        except (TypeError, ValueError):
+            pass
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
