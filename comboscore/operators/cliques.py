@@ -1,8 +1,9 @@
 """Compatibility graph and reproducible random cliques.
 
-Randomness is a pure function of (seed, draw, step, item) via md5, so results do not
-depend on partitioning or re-execution after a lost executor, and plain SQL can reproduce
-them.
+Randomness is a pure function of (seed, draw, step) via md5, so results do not depend on
+partitioning or re-execution after a lost executor, and plain SQL can reproduce them.
+Candidate arrays stay sorted (``array_intersect`` / ``array_except`` keep the order of
+their first argument), so "the k-th candidate" is well defined and a pick costs one hash.
 
 ``sample_cliques`` grows every draw in lock-step: one equi-join per step with the
 adjacency table on the item just picked (at most ``size_range[1] - 1`` joins). Each draw
@@ -63,11 +64,9 @@ def _uniform(seed: int, draw: Column, tag: str) -> Column:
 
 
 def _pick(seed: int, draw: Column, step: int, cand: Column) -> Column:
-    """Candidate with the smallest md5(seed:draw:step:item) — a uniform choice."""
-    keyed = F.transform(cand, lambda x: F.concat(
-        F.md5(F.concat(F.lit(f"{seed}:"), draw.cast("string"), F.lit(f":{step}:"), x.cast("string"))),
-        F.lit(":"), x.cast("string")))
-    return F.substring(F.array_min(keyed), 34, 20).cast("int")
+    """Uniform choice from the (sorted) candidate array: one hash per draw and step."""
+    k = _uniform(seed, draw, str(step)) % F.size(cand)
+    return F.element_at(cand, (k + 1).cast("int"))
 
 
 def sample_cliques(adj: DataFrame, draws: DataFrame, seed: int, size_range=(2, 5),

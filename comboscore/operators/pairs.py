@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comboscore.functions.pairs import index_pairs, pair_key
+from comboscore.session import cut_lineage
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
@@ -74,9 +75,15 @@ def lookup_pairs(pairs: DataFrame, scores: DataFrame, order: Sequence[str], keep
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    table = dedup_pairs(scores, order, keep=keep, a=a, b=b)
-    cols = [c for c in (columns or table.columns) if c not in ("id_lo", "id_hi")]
+    cols = [c for c in (columns or scores.columns) if c not in ("id_lo", "id_hi")]
+    # carry only the needed columns through the dedupe (min_by keeps the whole struct)
+    keep_cols = list(dict.fromkeys([a, b, *order, *cols]))
+    table = dedup_pairs(scores.select(*keep_cols), order, keep=keep, a=a, b=b)
     right = table.select("id_lo", "id_hi", *cols, F.lit(True).alias("found"))
-    right = sized_broadcast(right, broadcast_rows)
+    if broadcast_rows is not None:
+        # materialise once in the shared checkpoint folder, then count the stored copy:
+        # the size check does not recompute the dedupe and lineage is cut for retries
+        right = cut_lineage(right)
+        right = sized_broadcast(right, broadcast_rows)
     out = pairs.join(right, on=["id_lo", "id_hi"], how=how)
     return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))

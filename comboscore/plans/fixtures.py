@@ -16,30 +16,50 @@ from comboscore.functions.text import decimal_text
 # Fixed parameters of the derived views (ids wrap at MODULUS; names are "Drug-<id>").
 MODULUS = 60
 MISSING_MODULUS = 200
+GRAPH_MODULUS = 1000
 COMBO_MAX = 5
 NAME_PREFIX = "Drug-"
 ORDER_COLS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_input(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread_input(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+
+    A parquet row group is never split, so a small single-row-group table is scanned by
+    one task and everything up to the first shuffle runs serially. Large inputs (many
+    files / row groups) already have more splits than cores and are left untouched, so
+    this costs a shuffle only when the input is small.
+    """
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
+    return df
 
 
 def drug_name(c) -> F.Column:
     return F.concat(F.lit(NAME_PREFIX), c.cast("string"))
 
 
-def pair_scores(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    """Pair-score rows; file order = ``ORDER_COLS``. ``sparse`` leaves pairs missing.
+def pair_scores(spark: SparkSession, sf_dir: str, sparse: bool = False, graph: bool = False) -> DataFrame:
+    """Pair-score rows; file order = ``ORDER_COLS``.
 
-    Columns: the five order columns, id_a, id_b, name_a, name_b, bliss, loewe, hsa, zip,
-    loewe_text.
+    Default: ids 0-59, every pair present. ``sparse``: ids 0-199, part of the pairs
+    missing. ``graph``: ids 0-999, a sparse compatibility graph (random cliques hit dead
+    ends). Columns: the five order columns, id_a, id_b, name_a, name_b, bliss, loewe, hsa,
+    zip, loewe_text.
     """
     li = table(spark, sf_dir, "lineitem")
     id_a = (F.col("l_partkey") % MODULUS).cast("int")
     if sparse:
         id_a = (F.col("l_partkey") % MISSING_MODULUS).cast("int")
         id_b = (F.col("l_suppkey") % MISSING_MODULUS).cast("int")
+    elif graph:
+        id_a = (F.col("l_partkey") % GRAPH_MODULUS).cast("int")
+        id_b = ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % GRAPH_MODULUS).cast("int")
     else:
         id_b = ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % MODULUS).cast("int")
     zip_ = (F.when(F.col("l_returnflag") == "R", F.round((F.col("l_quantity") - 25) * F.lit(0.8), 4))

@@ -32,6 +32,11 @@ PAIR_SCORES_SPARSE = """ps AS (
   FROM lineitem
   WHERE l_partkey % 200 <> l_suppkey % 200)"""
 
+PAIR_SCORES_GRAPH = """ps AS (
+  SELECT CAST(l_partkey % 1000 AS INTEGER) AS id_a, CAST((l_suppkey * 7 + l_orderkey) % 1000 AS INTEGER) AS id_b
+  FROM lineitem
+  WHERE l_partkey % 1000 <> (l_suppkey * 7 + l_orderkey) % 1000)"""
+
 # names, canonical key and the loewe text built from integers
 PAIR_NAMED = """psn AS (
   SELECT *, 'Drug-' || CAST(id_a AS VARCHAR) AS name_a, 'Drug-' || CAST(id_b AS VARCHAR) AS name_b,

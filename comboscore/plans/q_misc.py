@@ -83,7 +83,7 @@ def q_candidate_except(spark, sf):
 
 def _clique_sql() -> str:
     s = f"'{SEED}:'"
-    ctes = [O.PAIR_SCORES_SPARSE, EDGES, f"""items AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM adj),
+    ctes = [O.PAIR_SCORES_GRAPH, EDGES, f"""items AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM adj),
 dr AS (
   SELECT o_orderkey AS draw,
     CAST(2 + ('0x' || substr(md5({s} || CAST(o_orderkey AS VARCHAR) || ':size'), 1, 8))::BIGINT % 4 AS INTEGER)
@@ -97,8 +97,8 @@ s1 AS (
     for k in range(2, 6):
         ctes.append(f"""p{k} AS (
   SELECT *, CASE WHEN len(combo) < target AND len(cand) > 0 THEN
-    CAST(substr(list_min(list_transform(cand, lambda x: md5({s} || CAST(draw AS VARCHAR) || ':{k}:' || CAST(x AS VARCHAR))
-         || ':' || CAST(x AS VARCHAR))), 34) AS INTEGER) END AS pick
+    list_sort(cand)[CAST(('0x' || substr(md5({s} || CAST(draw AS VARCHAR) || ':{k}'), 1, 8))::BIGINT % len(cand) + 1
+                    AS INTEGER)] END AS pick
   FROM s{k - 1}),
 s{k} AS (
   SELECT p.draw, p.target,
@@ -115,7 +115,7 @@ CLIQUES_SQL = _clique_sql()
 
 def _cliques(spark, sf):
     draws = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("draw"))
-    return G.sample_cliques(sparse_adj(spark, sf), draws, SEED)
+    return G.sample_cliques(G.adjacency(fx.pair_scores(spark, sf, graph=True)), draws, SEED)
 
 
 @register("sample_cliques", sql=CLIQUES_SQL + """
