@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from comboscore.operators.ordinal import with_ordinal
 from comboscore.operators.pairs import sized_broadcast
+from comboscore.session import cut_lineage
 
 HEX8 = 8  # hex digits used for a uniform integer
 
@@ -32,8 +33,11 @@ def edges(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
 
 def adjacency(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """(id, neighbours ARRAY sorted): undirected neighbour sets."""
-    return (edges(pairs, a, b).groupBy("src")
-            .agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
+    fwd = pairs.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    bwd = pairs.select(F.col(b).alias("src"), F.col(a).alias("dst"))
+    # collect_set dedupes map-side, so this is a single shuffle on src
+    return (fwd.unionByName(bwd).groupBy("src")
+            .agg(F.array_sort(F.collect_set("dst")).alias("neighbours"))
             .withColumnRenamed("src", "id"))
 
 
@@ -78,29 +82,40 @@ def sample_cliques(adj: DataFrame, draws: DataFrame, seed: int, size_range=(2, 5
     draw whose candidates run out is dropped. Items and neighbours are integer ids.
     """
     lo, hi = size_range
+    # the adjacency feeds the item count, the item index and every step's join:
+    # materialise it once in the shared checkpoint folder
+    adj = cut_lineage(adj)
     items = adj.select("id")
     n_items = items.count()
     if n_items == 0:
         return draws.select(F.col(draw), F.lit(0).alias("target"),
                             F.array().cast("array<int>").alias("combo")).where(F.lit(False))
-    indexed = with_ordinal(items, "id", "_idx")
+    # the item index is the small side: broadcast it (checked) so the draws stay the
+    # streamed, partitioned side of every join below
+    indexed = sized_broadcast(with_ordinal(items, "id", "_idx"), 2_000_000)
     d = F.col(draw)
     start = draws.select(d, (F.lit(lo) + _uniform(seed, d, "size") % (hi - lo + 1)).cast("int").alias("target"),
                          (_uniform(seed, d, "first") % n_items).alias("_idx"))
-    nb = adj.select(F.col("id").alias("_pick"), F.col("neighbours").alias("_nb"))
+    nb = adj.select(F.col("id").alias("_jk"), F.col("neighbours").alias("_nb"))
     nb = sized_broadcast(nb, 200_000)
-    state = (start.join(indexed, "_idx").join(nb, F.col("id") == F.col("_pick"))
+    state = (start.join(indexed, "_idx").join(nb, F.col("id") == F.col("_jk"))
              .select(d, "target", F.array(F.col("id")).alias("combo"),
-                     F.array_except(F.col("_nb"), F.array(F.col("id"))).alias("cand")))
+                     F.array_remove(F.col("_nb"), F.col("id")).alias("cand")))
     for step in range(2, hi + 1):
-        # one lineage: draws that are complete or dead carry a NULL pick through a left join
+        # One lineage for all draws. A draw that is complete or dead carries a NULL pick;
+        # a draw taking its last item needs no neighbour list, so only draws that keep
+        # growing join the adjacency (NULL keys never match) and intersect candidates.
         grow = (F.size("combo") < F.col("target")) & (F.size("cand") > 0)
-        stepped = (state.withColumn("_pick", F.when(grow, _pick(seed, d, step, F.col("cand"))))
-                   .join(nb, "_pick", "left"))
+        pick = F.when(grow, _pick(seed, d, step, F.col("cand")))
+        more = grow & (F.size("combo") + 1 < F.col("target"))
+        stepped = (state.withColumn("_pick", pick)
+                   .withColumn("_jk", F.when(more, F.col("_pick")))
+                   .join(nb, "_jk", "left"))
         picked = F.col("_pick").isNotNull()
-        combo = F.when(picked, F.concat("combo", F.array("_pick"))).otherwise(F.col("combo"))
-        state = stepped.select(d, "target", combo.alias("combo"), "cand", "_nb", "_pick").select(
-            d, "target", "combo",
-            F.when(picked, F.array_except(F.array_intersect("cand", "_nb"), F.col("combo")))
-            .otherwise(F.col("cand")).alias("cand"))
+        cand = (F.when(F.col("_nb").isNotNull(), F.array_remove(F.array_intersect("cand", "_nb"), F.col("_pick")))
+                .otherwise(F.col("cand")))
+        state = stepped.select(
+            d, "target",
+            F.when(picked, F.concat("combo", F.array("_pick"))).otherwise(F.col("combo")).alias("combo"),
+            cand.alias("cand"))
     return state.where(F.size("combo") == F.col("target")).select(d, "target", "combo")

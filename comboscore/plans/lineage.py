@@ -1,7 +1,14 @@
-"""Shared Spark lineages the registered queries build on (all lazy)."""
+"""Shared Spark lineages the registered queries build on (all lazy).
+
+``Derived`` memoises each derived table for the duration of one query build, so a query
+that needs the scorer's lookup twice (labels and model answers) plans and checkpoints it
+once. Nothing is shared between separate query builds.
+"""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,67 +24,90 @@ SEED = 7
 SCORE_COLS = ["name_a", "name_b", "bliss", "loewe", "hsa", "zip"]
 
 
-def combos(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.combos(spark, sf).withColumn("drugs", join_ids("ids"))
-
-
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return combo_pairs(combos(spark, sf), keep=("drugs",))
-
-
-def first_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Scorer's lookup: first row per pair, missing pairs kept (found = false)."""
-    return lookup_pairs(pairs(spark, sf), fx.pair_scores(spark, sf), order=fx.ORDER_COLS,
-                        keep="first", how="left", columns=SCORE_COLS)
-
-
-def last_lookup(spark: SparkSession, sf: str, how: str = "left") -> DataFrame:
-    """Prompt builder's lookup: last row per pair."""
-    return lookup_pairs(pairs(spark, sf), fx.pair_scores(spark, sf), order=fx.ORDER_COLS,
-                        keep="last", how=how, columns=["name_a", "name_b", "loewe", "loewe_text"])
-
-
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return score_pairs(first_lookup(spark, sf))
-
-
-def verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return combo_verdict(scored(spark, sf), carry=("drugs",))
-
-
-def prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return render_prompts(last_lookup(spark, sf))
-
-
-def final(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled combinations joined to their prompts by key (combo_id)."""
-    v = verdicts(spark, sf).select("combo_id", "drugs", "prediction", "reasoning")
-    return v.join(prompts(spark, sf).select("combo_id", "prompt", "context"), "combo_id")
-
-
-def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Stand-in model answers for combinations of three or more items: 'no comment' when
-    the first pair is missing, an answer without a label word when its hsa is exactly 0,
-    else 'The outcome is <Loewe label of the first pair>'."""
-    lk = first_lookup(spark, sf).where((F.col("i") == 0) & (F.col("j") == 1))
-    k = combos(spark, sf).select("combo_id", F.size("ids").alias("k"))
-    txt = (F.when(~F.col("found"), "no comment")
-           .when(F.col("hsa") == 0, "I cannot tell.")
-           .otherwise(F.concat(F.lit("The outcome is "), C.classify_loewe("loewe"))))
-    return lk.join(k, "combo_id").where(F.col("k") >= 3).select("combo_id", txt.alias("response"))
-
-
-def eval_table(spark: SparkSession, sf: str) -> DataFrame:
-    """(combo_id, truth, pred): label words of the reference label and of the answer."""
-    f = final(spark, sf).select("combo_id", T.keyword_label("prediction").alias("truth"))
-    r = responses(spark, sf).select("combo_id", T.keyword_label("response").alias("pred"))
-    return f.join(r, "combo_id")
-
-
-def turns(spark: SparkSession, sf: str) -> DataFrame:
-    """(conv_id, turn, ref_text, cand_text): a user turn and the assistant turn after it."""
-    c = fx.table(spark, sf, "conversations")
-    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("ref_text"))
-    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
-                                                      F.col("text").alias("cand_text"))
-    return u.join(a, ["conv_id", "turn"])
+class Derived:
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def combos(self) -> DataFrame:
+        return fx.combos(self.spark, self.sf).withColumn("drugs", join_ids("ids"))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return combo_pairs(self.combos, keep=("drugs",))
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return fx.pair_scores(self.spark, self.sf)
+
+    @cached_property
+    def first_lookup(self) -> DataFrame:
+        """Scorer's lookup: first row per pair, missing pairs kept (found = false)."""
+        return lookup_pairs(self.pairs, self.scores, order=fx.ORDER_COLS, keep="first", how="left",
+                            columns=SCORE_COLS)
+
+    def last_lookup(self, how: str = "left") -> DataFrame:
+        """Prompt builder's lookup: last row per pair."""
+        return lookup_pairs(self.pairs, self.scores, order=fx.ORDER_COLS, keep="last", how=how,
+                            columns=["name_a", "name_b", "loewe", "loewe_text"])
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return score_pairs(self.first_lookup)
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return combo_verdict(self.scored, carry=("drugs",))
+
+    @cached_property
+    def prompts(self) -> DataFrame:
+        return render_prompts(self.last_lookup())
+
+    @cached_property
+    def final(self) -> DataFrame:
+        """Labelled combinations joined to their prompts by key (combo_id)."""
+        v = self.verdicts.select("combo_id", "drugs", "prediction", "reasoning")
+        return v.join(self.prompts.select("combo_id", "prompt", "context"), "combo_id")
+
+    @cached_property
+    def responses(self) -> DataFrame:
+        """Stand-in model answers for combinations of three or more items: 'no comment' when
+        the first pair is missing, an answer without a label word when its hsa is exactly 0,
+        else 'The outcome is <Loewe label of the first pair>'."""
+        lk = self.first_lookup.where((F.col("i") == 0) & (F.col("j") == 1))
+        k = self.combos.select("combo_id", F.size("ids").alias("k"))
+        txt = (F.when(~F.col("found"), "no comment")
+               .when(F.col("hsa") == 0, "I cannot tell.")
+               .otherwise(F.concat(F.lit("The outcome is "), C.classify_loewe("loewe"))))
+        return lk.join(k, "combo_id").where(F.col("k") >= 3).select("combo_id", txt.alias("response"))
+
+    @cached_property
+    def eval_table(self) -> DataFrame:
+        """(combo_id, truth, pred): label words of the reference label and of the answer."""
+        f = self.final.select("combo_id", T.keyword_label("prediction").alias("truth"))
+        r = self.responses.select("combo_id", T.keyword_label("response").alias("pred"))
+        return f.join(r, "combo_id")
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        """(conv_id, turn, ref_text, cand_text): a user turn and the assistant turn after it."""
+        c = fx.table(self.spark, self.sf, "conversations")
+        u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("ref_text"))
+        a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                          F.col("text").alias("cand_text"))
+        return u.join(a, ["conv_id", "turn"])
+
+
+# function forms used by the query modules: each call starts a fresh build context
+
+def combos(spark, sf): return Derived(spark, sf).combos  # noqa: E704
+def pairs(spark, sf): return Derived(spark, sf).pairs  # noqa: E704
+def first_lookup(spark, sf): return Derived(spark, sf).first_lookup  # noqa: E704
+def last_lookup(spark, sf, how="left"): return Derived(spark, sf).last_lookup(how)  # noqa: E704
+def scored(spark, sf): return Derived(spark, sf).scored  # noqa: E704
+def verdicts(spark, sf): return Derived(spark, sf).verdicts  # noqa: E704
+def prompts(spark, sf): return Derived(spark, sf).prompts  # noqa: E704
+def final(spark, sf): return Derived(spark, sf).final  # noqa: E704
+def responses(spark, sf): return Derived(spark, sf).responses  # noqa: E704
+def eval_table(spark, sf): return Derived(spark, sf).eval_table  # noqa: E704
+def turns(spark, sf): return Derived(spark, sf).turns  # noqa: E704

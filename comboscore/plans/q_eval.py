@@ -93,8 +93,9 @@ def q_metric_report(spark, sf):
 ro AS (SELECT response, row_number() OVER (ORDER BY combo_id) - 1 AS ordinal FROM resp)
 SELECT fo.ordinal, fo.combo_id, fo.prediction, ro.response FROM fo JOIN ro ON ro.ordinal = fo.ordinal"""))
 def q_zip_min_length(spark, sf):
-    f = L.final(spark, sf).select("combo_id", "prediction")
-    r = L.responses(spark, sf).select(F.col("combo_id").alias("rkey"), "response")
+    d = L.Derived(spark, sf)
+    f = d.final.select("combo_id", "prediction")
+    r = d.responses.select(F.col("combo_id").alias("rkey"), "response")
     return align(f, r, "combo_id", "rkey").select("ordinal", "combo_id", "prediction", "response")
 
 
@@ -104,8 +105,9 @@ ro AS (SELECT response, row_number() OVER (ORDER BY combo_id) - 1 AS ordinal FRO
 SELECT fo.ordinal, fo.combo_id, fo.prediction, ro.response FROM fo JOIN ro ON ro.ordinal = fo.ordinal
 WHERE fo.ordinal < 1001"""))
 def q_zip_prefix(spark, sf):
-    f = L.final(spark, sf).select("combo_id", "prediction")
-    r = L.responses(spark, sf).select(F.col("combo_id").alias("rkey"), "response")
+    d = L.Derived(spark, sf)
+    f = d.final.select("combo_id", "prediction")
+    r = d.responses.select(F.col("combo_id").alias("rkey"), "response")
     return align(f, r, "combo_id", "rkey", n=1001).select("ordinal", "combo_id", "prediction", "response")
 
 

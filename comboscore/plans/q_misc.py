@@ -328,7 +328,8 @@ def q_read_headerless(spark, sf):
 @register("read_padded", sql=O.with_ctes(*O.EVALS, select="""
 SELECT ev.pred AS Answer, ev.truth AS Truth, fin.drugs AS Reasoning FROM ev JOIN fin ON fin.combo_id = ev.combo_id"""))
 def q_read_padded(spark, sf):
-    e = L.eval_table(spark, sf).join(L.combos(spark, sf).select("combo_id", "drugs"), "combo_id")
+    d = L.Derived(spark, sf)
+    e = d.eval_table.join(d.combos.select("combo_id", "drugs"), "combo_id")
     line = F.concat(F.col("pred"), F.lit(", "), F.col("truth"), F.lit(', "'), F.col("drugs"), F.lit('"'))
     path = S.landing_dir(spark, "padded")
     e.select(line.alias("value")).write.mode("overwrite").text(path)
