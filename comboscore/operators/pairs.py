@@ -34,7 +34,7 @@ def sized_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS
     """
     if max_rows is None:
         return df
-    n = df.limit(max_rows + 1).count()
+    n = df.limit(max_rows + 1).count()   # on a stored table this is a metadata read
     return F.broadcast(df) if n <= max_rows else df
 
 
