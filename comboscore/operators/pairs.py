@@ -64,6 +64,35 @@ def combo_pairs(combos: DataFrame, key: str = "combo_id", ids: str = "ids",
             .withColumn("id_hi", F.greatest("a", "b")))
 
 
+def pair_table(scores: DataFrame, order: Sequence[str], columns: Sequence[str], a: str = "id_a",
+               b: str = "id_b", keep: Sequence[str] = ("first", "last")) -> DataFrame:
+    """One row per unordered pair: ``id_lo, id_hi`` and a struct of ``columns`` for each kept
+    variant (``first`` / ``last`` by ``order``), all from a single aggregate."""
+    lo, hi = pair_key(a, b)
+    payload = F.struct(*[F.col(c) for c in columns])
+    ordk = F.struct(*[F.col(c) for c in order])
+    aggs = []
+    if "first" in keep:
+        aggs.append(F.min_by(payload, ordk).alias("first"))
+    if "last" in keep:
+        aggs.append(F.max_by(payload, ordk).alias("last"))
+    return scores.groupBy(lo.alias("id_lo"), hi.alias("id_hi")).agg(*aggs)
+
+
+def join_pairs(pairs: DataFrame, table: DataFrame, keep: str = "first", how: str = "left",
+               columns: Sequence[str] | None = None,
+               broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Attach the ``keep`` row of ``table`` to every pair (equi-join on the canonical key)."""
+    if how not in ("left", "inner"):
+        raise ValueError("how must be 'left' or 'inner'")
+    right = table.select("id_lo", "id_hi", f"{keep}.*")
+    if columns is not None:
+        right = right.select("id_lo", "id_hi", *columns)
+    right = sized_broadcast(right.withColumn("found", F.lit(True)), broadcast_rows)
+    out = pairs.join(right, on=["id_lo", "id_hi"], how=how)
+    return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
+
+
 def lookup_pairs(pairs: DataFrame, scores: DataFrame, order: Sequence[str], keep: str = "first",
                  how: str = "left", a: str = "id_a", b: str = "id_b",
                  columns: Sequence[str] | None = None,
@@ -72,18 +101,13 @@ def lookup_pairs(pairs: DataFrame, scores: DataFrame, order: Sequence[str], keep
 
     ``keep="first"``/``how="left"`` is the scorer's lookup (missing pairs stay, ``found`` is
     false); ``keep="last"``/``how="inner"`` is the prompt builder's (missing pairs vanish).
+    When a broadcast is allowed the deduplicated table is first stored in the shared
+    checkpoint folder, so the size check reads metadata instead of recomputing it.
     """
-    if how not in ("left", "inner"):
-        raise ValueError("how must be 'left' or 'inner'")
+    if keep not in ("first", "last"):
+        raise ValueError("keep must be 'first' or 'last'")
     cols = [c for c in (columns or scores.columns) if c not in ("id_lo", "id_hi")]
-    # carry only the needed columns through the dedupe (min_by keeps the whole struct)
-    keep_cols = list(dict.fromkeys([a, b, *order, *cols]))
-    table = dedup_pairs(scores.select(*keep_cols), order, keep=keep, a=a, b=b)
-    right = table.select("id_lo", "id_hi", *cols, F.lit(True).alias("found"))
+    table = pair_table(scores, order, cols, a=a, b=b, keep=(keep,))
     if broadcast_rows is not None:
-        # materialise once in the shared checkpoint folder, then count the stored copy:
-        # the size check does not recompute the dedupe and lineage is cut for retries
-        right = cut_lineage(right)
-        right = sized_broadcast(right, broadcast_rows)
-    out = pairs.join(right, on=["id_lo", "id_hi"], how=how)
-    return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
+        table = cut_lineage(table)
+    return join_pairs(pairs, table, keep=keep, how=how, broadcast_rows=broadcast_rows)

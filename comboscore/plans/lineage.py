@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from comboscore.functions import classify as C
 from comboscore.functions import text as T
 from comboscore.functions.pairs import join_ids
-from comboscore.operators.pairs import combo_pairs, lookup_pairs
+from comboscore.operators.pairs import combo_pairs, join_pairs, pair_table
 from comboscore.operators.prompts import render_prompts
 from comboscore.operators.scoring import combo_verdict, score_pairs
 from comboscore.plans import fixtures as fx
+from comboscore.session import cut_lineage
 
 SEED = 7
 SCORE_COLS = ["name_a", "name_b", "bliss", "loewe", "hsa", "zip"]
@@ -40,16 +41,21 @@ class Derived:
     def scores(self) -> DataFrame:
         return fx.pair_scores(self.spark, self.sf)
 
+    @cached_property
+    def pair_table(self) -> DataFrame:
+        """First and last score row of every unordered pair, from one aggregate, stored once
+        in the shared checkpoint folder (both lookups read it)."""
+        return cut_lineage(pair_table(self.scores, fx.ORDER_COLS, SCORE_COLS + ["loewe_text"]))
+
     @cached_property
     def first_lookup(self) -> DataFrame:
         """Scorer's lookup: first row per pair, missing pairs kept (found = false)."""
-        return lookup_pairs(self.pairs, self.scores, order=fx.ORDER_COLS, keep="first", how="left",
-                            columns=SCORE_COLS)
+        return join_pairs(self.pairs, self.pair_table, keep="first", how="left", columns=SCORE_COLS)
 
     def last_lookup(self, how: str = "left") -> DataFrame:
         """Prompt builder's lookup: last row per pair."""
-        return lookup_pairs(self.pairs, self.scores, order=fx.ORDER_COLS, keep="last", how=how,
-                            columns=["name_a", "name_b", "loewe", "loewe_text"])
+        return join_pairs(self.pairs, self.pair_table, keep="last", how=how,
+                          columns=["name_a", "name_b", "loewe", "loewe_text"])
 
     @cached_property
     def scored(self) -> DataFrame:

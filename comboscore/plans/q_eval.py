@@ -287,3 +287,17 @@ FROM tot"""
 @register("corpus_bleu", sql=_bleu_final_sql())
 def q_corpus_bleu(spark, sf):
     return corpus_bleu(L.turns(spark, sf), "ref_text", "cand_text")
+
+
+# --------------------------------------------------------------------- streaming form of a row-local operator
+
+@register("stream_keyword_label", sql=O.with_ctes(*EV, select=f"""
+SELECT combo_id, {O.kw("response")} AS label FROM resp"""), note="file stream, availableNow trigger")
+def q_stream_keyword_label(spark, sf):
+    from comboscore.sources.files import landing_dir
+    from comboscore.streaming.labels import label_stream, run_file_stream
+    src = landing_dir(spark, "answers")
+    answers = L.responses(spark, sf)
+    answers.write.parquet(src)
+    out = run_file_stream(spark, src, answers.schema, lambda s: label_stream(s, "combo_id", "response"))
+    return spark.read.parquet(out)

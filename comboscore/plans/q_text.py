@@ -61,8 +61,9 @@ SELECT labo.ordinal, labo.drugs, labo.prediction, pro.prompt
 FROM labo LEFT JOIN pro ON pro.ordinal = labo.ordinal"""),
           note="rows glued by position: drifts after the first duplicate combination")
 def q_positional_assign(spark, sf):
-    lab = dedup_combo_key(L.verdicts(spark, sf)).select("drugs", "first_combo_id", "prediction")
-    pro = L.prompts(spark, sf).select("combo_id", "prompt")
+    d = L.Derived(spark, sf)
+    lab = dedup_combo_key(d.verdicts).select("drugs", "first_combo_id", "prediction")
+    pro = d.prompts.select("combo_id", "prompt")
     out = align(lab, pro, "first_combo_id", "combo_id", how="left")
     return out.select("ordinal", "drugs", "prediction", "prompt")
 
