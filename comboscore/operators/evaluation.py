@@ -26,33 +26,39 @@ def classification_report(df: DataFrame, truth: str = "truth", pred: str = "pred
                           none_label: str = NO_PRED) -> DataFrame:
     """One row: n, accuracy, precision, recall, f1 (support-weighted, 0 on zero division),
     tp, tn, fp, fn (tp: equal and truth != none; tn: equal and truth == none; fp: unequal
-    and pred != none; fn: unequal and pred == none)."""
+    and pred != none; fn: unequal and pred == none).
+
+    One chain over the (truth, pred) counts: each count row is emitted once under its
+    truth label (support, hits and the confusion contributions) and once under its
+    predicted label (predictions), then folded per label and finally into one row.
+    """
     pc = pair_counts(df, truth, pred)
     eq = F.col("truth") == F.col("pred")
-    per_label = (pc.select(F.explode(F.array(
-        F.struct(F.col("truth").alias("label"), F.col("c").alias("support"), F.lit(0).cast("long").alias("npred"),
-                 F.when(eq, F.col("c")).otherwise(F.lit(0)).cast("long").alias("tp")),
-        F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("support"), F.col("c").alias("npred"),
-                 F.lit(0).cast("long").alias("tp")))).alias("r"))
-        .select("r.*")
-        .groupBy("label").agg(F.sum("support").alias("support"), F.sum("npred").alias("npred"),
-                              F.sum("tp").alias("tp")))
-    per_label = per_label.select(
-        "support",
-        (_safe_div(F.col("tp"), F.col("npred")) * F.col("support")).alias("wp"),
-        (_safe_div(F.col("tp"), F.col("support")) * F.col("support")).alias("wr"),
-        (_safe_div(2 * F.col("tp"), F.col("support") + F.col("npred")) * F.col("support")).alias("wf"))
-    weighted = per_label.agg(F.sum("support").alias("n"), F.sum("wp").alias("wp"),
-                             F.sum("wr").alias("wr"), F.sum("wf").alias("wf"))
-    counts = pc.agg(
-        F.sum(F.when(eq, F.col("c")).otherwise(0)).alias("correct"),
-        F.sum(F.when(eq & (F.col("truth") != none_label), F.col("c")).otherwise(0)).alias("tp"),
-        F.sum(F.when(eq & (F.col("truth") == none_label), F.col("c")).otherwise(0)).alias("tn"),
-        F.sum(F.when(~eq & (F.col("pred") != none_label), F.col("c")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~eq & (F.col("pred") == none_label), F.col("c")).otherwise(0)).alias("fn"))
-    # two single-row aggregates stacked and folded into one row (no join needed)
-    out = weighted.unionByName(counts, allowMissingColumns=True)
-    one = out.agg(*[F.max(c).alias(c) for c in ("n", "wp", "wr", "wf", "correct", "tp", "tn", "fp", "fn")])
+    c = F.col("c")
+    zero = F.lit(0).cast("long")
+
+    def part(label, support, npred, tp, correct, tpc, tnc, fpc, fnc):
+        return F.struct(label.alias("label"), support.alias("support"), npred.alias("npred"), tp.alias("tp"),
+                        correct.alias("correct"), tpc.alias("tpc"), tnc.alias("tnc"), fpc.alias("fpc"),
+                        fnc.alias("fnc"))
+
+    def when(cond):
+        return F.when(cond, c).otherwise(zero)
+
+    as_truth = part(F.col("truth"), c, zero, when(eq), when(eq),
+                    when(eq & (F.col("truth") != none_label)), when(eq & (F.col("truth") == none_label)),
+                    when(~eq & (F.col("pred") != none_label)), when(~eq & (F.col("pred") == none_label)))
+    as_pred = part(F.col("pred"), zero, c, zero, zero, zero, zero, zero, zero)
+    sums = ["support", "npred", "tp", "correct", "tpc", "tnc", "fpc", "fnc"]
+    per_label = (pc.select(F.explode(F.array(as_truth, as_pred)).alias("r")).select("r.*")
+                 .groupBy("label").agg(*[F.sum(k).alias(k) for k in sums]))
+    sup, npred, tp = F.col("support"), F.col("npred"), F.col("tp")
+    one = per_label.agg(
+        F.sum(sup).alias("n"),
+        F.sum(_safe_div(tp, npred) * sup).alias("wp"),
+        F.sum(_safe_div(tp, sup) * sup).alias("wr"),
+        F.sum(_safe_div(2 * tp, sup + npred) * sup).alias("wf"),
+        *[F.sum(k).alias(k) for k in ("correct", "tpc", "tnc", "fpc", "fnc")])
     n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
     return one.select(
         n.alias("n"),
@@ -60,7 +66,8 @@ def classification_report(df: DataFrame, truth: str = "truth", pred: str = "pred
         _safe_div(F.col("wp"), n).alias("precision"),
         _safe_div(F.col("wr"), n).alias("recall"),
         _safe_div(F.col("wf"), n).alias("f1"),
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "tn", "fp", "fn")])
+        *[F.coalesce(F.col(k), F.lit(0)).cast("long").alias(name)
+          for k, name in (("tpc", "tp"), ("tnc", "tn"), ("fpc", "fp"), ("fnc", "fn"))])
 
 
 def metric_report(report: DataFrame, digits: dict | None = None) -> DataFrame:

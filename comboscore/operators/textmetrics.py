@@ -63,15 +63,40 @@ def rouge_scores(ref_tokens, cand_tokens) -> tuple[float, ...]:
     return p1 + pl
 
 
+def _stemmed(tokens):
+    """Porter-stem tokens longer than three characters (shorter ones are kept)."""
+    from comboscore.functions.stem import stem
+    return [stem(t) if len(t) > 3 else t for t in tokens]
+
+
+def _rouge_batch(ref: pd.Series, cand: pd.Series, stem: bool) -> pd.DataFrame:
+    rows = []
+    for r, c in zip(ref, cand):
+        r = list(r) if r is not None else []
+        c = list(c) if c is not None else []
+        if stem:
+            r, c = _stemmed(r), _stemmed(c)
+        rows.append(rouge_scores(r, c))
+    return pd.DataFrame(rows, columns=ROUGE_TYPE.fieldNames())
+
+
 @F.pandas_udf(ROUGE_TYPE)
 def _rouge_udf(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
-    rows = [rouge_scores(r if r is not None else (), c if c is not None else ()) for r, c in zip(ref, cand)]
-    return pd.DataFrame(rows, columns=ROUGE_TYPE.fieldNames())
+    return _rouge_batch(ref, cand, stem=False)
 
 
-def rouge(df: DataFrame, reference: str, candidate: str, tokenizer=rouge_tokens) -> DataFrame:
-    """Adds rouge1_p/r/f and rougeL_p/r/f (reference = target, candidate = prediction)."""
-    s = _rouge_udf(tokenizer(F.col(reference)), tokenizer(F.col(candidate)))
+@F.pandas_udf(ROUGE_TYPE)
+def _rouge_udf_stem(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
+    return _rouge_batch(ref, cand, stem=True)
+
+
+def rouge(df: DataFrame, reference: str, candidate: str, tokenizer=rouge_tokens, stem: bool = False) -> DataFrame:
+    """Adds rouge1_p/r/f and rougeL_p/r/f (reference = target, candidate = prediction).
+
+    ``stem=True`` Porter-stems tokens longer than three characters on both sides first.
+    """
+    udf = _rouge_udf_stem if stem else _rouge_udf
+    s = udf(tokenizer(F.col(reference)), tokenizer(F.col(candidate)))
     return df.withColumn("_rouge", s).select("*", "_rouge.*").drop("_rouge")
 
 

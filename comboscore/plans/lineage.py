@@ -31,11 +31,12 @@ class Derived:
 
     @cached_property
     def combos(self) -> DataFrame:
-        return fx.combos(self.spark, self.sf).withColumn("drugs", join_ids("ids"))
+        return (fx.combos(self.spark, self.sf).withColumn("drugs", join_ids("ids"))
+                .withColumn("k", F.size("ids")))
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return combo_pairs(self.combos, keep=("drugs",))
+        return combo_pairs(self.combos, keep=("drugs", "k"))
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -80,12 +81,11 @@ class Derived:
         """Stand-in model answers for combinations of three or more items: 'no comment' when
         the first pair is missing, an answer without a label word when its hsa is exactly 0,
         else 'The outcome is <Loewe label of the first pair>'."""
-        lk = self.first_lookup.where((F.col("i") == 0) & (F.col("j") == 1))
-        k = self.combos.select("combo_id", F.size("ids").alias("k"))
+        lk = self.first_lookup.where((F.col("i") == 0) & (F.col("j") == 1) & (F.col("k") >= 3))
         txt = (F.when(~F.col("found"), "no comment")
                .when(F.col("hsa") == 0, "I cannot tell.")
                .otherwise(F.concat(F.lit("The outcome is "), C.classify_loewe("loewe"))))
-        return lk.join(k, "combo_id").where(F.col("k") >= 3).select("combo_id", txt.alias("response"))
+        return lk.select("combo_id", txt.alias("response"))
 
     @cached_property
     def eval_table(self) -> DataFrame:

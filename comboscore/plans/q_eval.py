@@ -214,6 +214,18 @@ def q_rougeL(spark, sf):
                                                                      "rougeL_f")
 
 
+@register("rouge_stemmed", note="Porter-stemmed ROUGE-1/L per turn (the reference's setting); no SQL twin")
+def q_rouge_stemmed(spark, sf):
+    return rouge(L.turns(spark, sf), "ref_text", "cand_text", stem=True).select(
+        "conv_id", "turn", "rouge1_f", "rougeL_f")
+
+
+@register("rouge_mean_stemmed", note="mean stemmed ROUGE-1 and ROUGE-L F over all turns")
+def q_rouge_mean_stemmed(spark, sf):
+    r = rouge(L.turns(spark, sf), "ref_text", "cand_text", stem=True)
+    return r.agg(F.avg("rouge1_f").alias("rouge1_f"), F.avg("rougeL_f").alias("rougeL_f"))
+
+
 @register("rougeL_mean", note="mean LCS F over all turns; brute-force checked in tests")
 def q_rougeL_mean(spark, sf):
     return rouge(L.turns(spark, sf), "ref_text", "cand_text").agg(F.avg("rougeL_f").alias("rougeL_f"))

@@ -101,3 +101,22 @@ def test_classification_report(spark):
     empty = spark.createDataFrame([], "truth string, pred string")
     e = classification_report(empty).first()
     assert (e.n, e.accuracy, e.f1, e.tp) == (0, 0.0, 0.0, 0)
+
+
+def test_porter_stems():
+    from comboscore.functions.stem import stem
+    cases = {"caresses": "caress", "ponies": "poni", "ties": "tie", "agreed": "agre", "plastered": "plaster",
+             "motoring": "motor", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi",
+             "relational": "relat", "conditional": "condit", "differentli": "differ", "vietnamization": "vietnam",
+             "hopefulness": "hope", "sensibiliti": "sensibl", "electrical": "electr", "replacement": "replac",
+             "adoption": "adopt", "controll": "control", "generously": "gener", "dying": "die", "says": "say",
+             "cried": "cri", "synergistic": "synergist", "additive": "addit", "skies": "sky"}
+    assert {w: stem(w) for w in cases} == cases
+
+
+def test_stemmed_rouge(spark):
+    df = spark.createDataFrame([(1, "the cats were running", "a cat runs")], "k int, ref string, cand string")
+    r = rouge(df, "ref", "cand", stem=True).first()
+    # stemmed: [the, cat, were, run] vs [a, cat, run] -> 2 hits
+    assert r.rouge1_p == pytest.approx(2 / 3) and r.rouge1_r == pytest.approx(2 / 4)
+    assert rouge(df, "ref", "cand").first().rouge1_p == pytest.approx(0.0)
