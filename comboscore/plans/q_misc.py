@@ -372,3 +372,29 @@ def q_write_adjacency(spark, sf):
     raw = spark.read.schema("id string, neighbours array<string>").json(path)
     return raw.select("id", F.size("neighbours").alias("degree"))
 
+
+
+PROMPT_BUDGET = 924     # 1,024-token window minus 100 kept free for the answer
+
+_PTOK = r"list_filter(string_split_regex(prompt, '\s+'), lambda x: x <> '')"
+
+
+@register("prompt_blocks", sql=O.with_ctes(*O.FULL, select=f"""
+, ptok AS (SELECT combo_id, {_PTOK} AS t FROM fin),
+pvoc AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(t) AS token FROM ptok) GROUP BY token),
+pvid AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) AS token_id FROM pvoc),
+pf AS (SELECT combo_id, unnest(t[1:{PROMPT_BUDGET}]) AS token, unnest(range(len(t[1:{PROMPT_BUDGET}]))) AS pos FROM ptok),
+pids AS (SELECT f.combo_id, list(v.token_id ORDER BY f.pos) AS ids FROM pf f JOIN pvid v ON v.token = f.token
+         GROUP BY f.combo_id)
+SELECT ptok.combo_id, CAST({PROMPT_BUDGET} - len(pids.ids) AS INTEGER) AS n_pad,
+       array_to_string(list_slice(pids.ids, 1, 5), ' ') AS first_ids,
+       CAST(len(ptok.t) AS INTEGER) AS n_tokens, len(ptok.t) > {PROMPT_BUDGET} AS truncated
+FROM ptok JOIN pids ON pids.combo_id = ptok.combo_id"""), note="left-padded prompt budget")
+def q_prompt_blocks(spark, sf):
+    f = L.final(spark, sf).select("combo_id", "prompt")
+    b = B.blocks(f, "combo_id", "prompt", B.vocabulary(f, "prompt"), size=PROMPT_BUDGET, side="left")
+    n_pad = F.aggregate("mask", F.lit(0), lambda a, x: a + (1 - x))
+    real = F.filter("ids", lambda x, i: F.element_at("mask", i + 1) == 1)
+    return b.select("combo_id", n_pad.alias("n_pad"),
+                    F.array_join(F.transform(F.slice(real, 1, 5), lambda x: x.cast("string")), " ").alias("first_ids"),
+                    "n_tokens", "truncated")

@@ -93,7 +93,10 @@ def read_pages(spark: SparkSession, path: str, schema: T.StructType, n: int | No
     rows = raw.select("page", F.posexplode(F.from_json("value", arr)).alias("_pos", "_r"))
     out = rows.select("page", "_pos", "_r.*")
     if n is not None:
-        out = out.orderBy("page", "_pos").limit(n)
+        # global position by (page, position in page), computed distributed, so a large n
+        # never funnels through one top-k task
+        from comboscore.operators.ordinal import with_ordinal
+        out = with_ordinal(out, ["page", "_pos"], "_row").where(F.col("_row") < n).drop("_row")
     return out
 
 
