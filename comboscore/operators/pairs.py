@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from comboscore.functions.pairs import index_pairs, pair_key
 from comboscore.session import cut_lineage
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_BROADCAST_ROWS = 500_000   # ~40 MB for a pair table row
 
 
 def sized_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -38,6 +38,16 @@ def sized_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS
     return F.broadcast(df) if n <= max_rows else df
 
 
+def stored_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Store ``df`` once in the shared checkpoint folder, then ``sized_broadcast`` it.
+
+    The size check then reads stored metadata instead of computing ``df`` a second time.
+    """
+    if max_rows is None:
+        return df
+    return sized_broadcast(cut_lineage(df), max_rows)
+
+
 def dedup_pairs(scores: DataFrame, order: Sequence[str], keep: str = "first",
                 a: str = "id_a", b: str = "id_b") -> DataFrame:
     """One row per unordered pair: the first (or last) row by ``order``.

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from comboscore.operators.pairs import sized_broadcast
+from comboscore.operators.pairs import stored_broadcast
+from comboscore.session import cut_lineage
 
 MAX_LABELS = 10_000
 
@@ -131,9 +132,10 @@ def silhouette_samples(df: DataFrame, id_col: str, vec: str, label: str, metric:
 def silhouette(df: DataFrame, id_col: str, vec: str, label: str, metric: str = "euclidean",
                **kw) -> DataFrame:
     """(id, label, score, label_avg): per-sample score and its label's mean score."""
-    s = silhouette_samples(df, id_col, vec, label, metric, **kw)
+    # per-sample scores are stored once: the per-label means and the join both read them
+    s = cut_lineage(silhouette_samples(df, id_col, vec, label, metric, **kw))
     avg = s.groupBy(label).agg(F.avg("score").alias("label_avg"))
-    return s.join(sized_broadcast(avg, kw.get("max_labels", MAX_LABELS)), label)
+    return s.join(stored_broadcast(avg, kw.get("max_labels", MAX_LABELS)), label)
 
 
 def project_2d(df: DataFrame, vec: str, k: int = 2, name: str = "xy") -> DataFrame:

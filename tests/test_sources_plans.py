@@ -109,3 +109,24 @@ def test_oracle_subset_matches(spark):
                  "sample_cliques", "silhouette_samples", "fixed_blocks", "paged_first_n", "random_split"):
         r = OC.compare(spark, name, qs[name], sqls[name], SF001, con)
         assert r["ok"], r
+
+
+def test_stream_labels_match_batch(spark):
+    from comboscore.functions.text import keyword_label
+    from comboscore.streaming.labels import label_stream, run_file_stream
+    src = S.landing_dir(spark, "answers")
+    df = spark.createDataFrame([(1, "first line\nThe outcome is Additive"), (2, "Synergistic only"),
+                                (3, "nothing")], "k long, text string")
+    df.write.parquet(src)
+    out = spark.read.parquet(run_file_stream(spark, src, df.schema, lambda s: label_stream(s, "k", "text")))
+    assert sorted(map(tuple, out.collect())) == [(1, "additive"), (2, "synergistic"), (3, "no_pred")]
+    assert keyword_label is not None
+
+
+def test_caller_functions(spark):
+    from comboscore.operators.batch import map_batches, map_column
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "k long, s string")
+    assert sorted(map(tuple, df.select("k", map_column("s", str.upper).alias("u")).collect())) == [
+        (1, "ABC"), (2, None)]
+    out = map_batches(df, lambda b: b.assign(n=b["s"].str.len().fillna(0).astype("int64")), "k long, s string, n long")
+    assert sorted(map(tuple, out.collect())) == [(1, "abc", 3), (2, None, 0)]
