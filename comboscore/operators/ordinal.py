@@ -50,14 +50,26 @@ def with_ordinal(df: DataFrame, order, name: str = "ordinal", total: str | None
     return out.drop("_mid", "_part", "_off", "_total")
 
 
+TOPK_MAX = 100_000   # above this a top-k merge would funnel k rows per partition into one task
+
+
 def head(df: DataFrame, n: int, order) -> DataFrame:
-    """First ``n`` rows by ``order`` (top-k per partition, then one merge of k rows each)."""
-    return df.orderBy(*_cols(order)).limit(n)
+    """First ``n`` rows by ``order``.
+
+    Small n: top-k per partition and one merge (``TakeOrderedAndProject``). Large n:
+    distributed positions and a filter, so no single task receives n rows per partition.
+    """
+    if n <= TOPK_MAX:
+        return df.orderBy(*_cols(order)).limit(n)
+    return with_ordinal(df, order, "_h").where(F.col("_h") < n).drop("_h")
 
 
 def tail(df: DataFrame, n: int, order) -> DataFrame:
     """Last ``n`` rows by ``order``."""
-    return df.orderBy(*[c.desc() for c in _cols(order)]).limit(n)
+    desc = [c.desc() for c in _cols(order)]
+    if n <= TOPK_MAX:
+        return df.orderBy(*desc).limit(n)
+    return with_ordinal(df, desc, "_t").where(F.col("_t") < n).drop("_t")
 
 
 def slice_rows(df: DataFrame, start: int, n: int, order, name: str = "ordinal") -> DataFrame:

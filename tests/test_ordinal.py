@@ -64,3 +64,11 @@ def test_align_truncates_or_keeps_left(spark):
     lj = sorted((r.ordinal, r.b) for r in align(left, right, "a", "b", how="left").collect())
     assert lj == [(0, 100), (1, 101), (2, 102), (3, None), (4, None)]
     assert len(align(left, right, "a", "b", n=2).collect()) == 2
+
+
+def test_head_tail_large_n_use_positions(spark, monkeypatch):
+    import comboscore.operators.ordinal as O
+    monkeypatch.setattr(O, "TOPK_MAX", 5)
+    df = shuffled(spark, 50)
+    assert sorted(r.k for r in O.head(df, 7, "k").collect()) == list(range(7))
+    assert sorted(r.k for r in O.tail(df, 7, "k").collect()) == list(range(43, 50))

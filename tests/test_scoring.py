@@ -117,3 +117,18 @@ def test_swapping_orientation_changes_no_verdict(spark):
     p2 = sorted((r.combo_id, r.prediction) for r in v2.collect())
     assert p1 == p2
     assert F is not None
+
+
+def test_hot_pair(spark):
+    """One pair holds a third of all score rows; combinations reuse it and the cold pairs."""
+    hot = [(i, 1, 2, "A", "B", 0.0, 0.0, 0.0, float(i % 3) - 3.0, "0.0") for i in range(300)]
+    cold = [(1000 + i, 3 + i % 50, 60 + i % 40, "X", "Y", 0.5, -0.5, 0.5, 1.0, "-0.5") for i in range(600)]
+    d = {(r.id_lo, r.id_hi): r for r in dedup_pairs(scores(spark, hot + cold), ["ord"]).collect()}
+    assert d[(1, 2)].ord == 0 and d[(1, 2)].zip == -3.0
+    dl = {(r.id_lo, r.id_hi): r for r in dedup_pairs(scores(spark, hot + cold), ["ord"], keep="last").collect()}
+    assert dl[(1, 2)].ord == 299
+    combos = [(7, [1, 2])] * 1 + [(100 + i, [3 + i % 50, 60 + i % 40]) for i in range(40)]
+    _, v = verdict(spark, combos, hot + cold)
+    got = {r.combo_id: r.prediction for r in v.collect()}
+    # combo 7: first hot row has zip -3 < -1; combo 100: pair (3, 60) is all-synergistic but zip 1
+    assert got[7] == "Antagonistic" and got[100] == "Additive" and len(got) == 41
