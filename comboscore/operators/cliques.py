@@ -62,6 +62,24 @@ def valid_extensions(groups: DataFrame, edge_table: DataFrame, key: str = "key",
     return j.groupBy(key).agg(F.bool_and(ok).alias("valid"))
 
 
+def common_neighbours(groups: DataFrame, adj: DataFrame, key: str = "combo_id",
+                      members: str = "ids") -> DataFrame:
+    """(key, candidates ARRAY sorted): items adjacent to every member and not a member.
+
+    Relational form of intersect-then-except: each member's neighbour list is joined in
+    and exploded, candidates are counted per group (partial aggregation), and a candidate
+    seen once per member survives.
+    """
+    nb = adj.select(F.col("id").alias("_m"), F.col("neighbours").alias("_nb"))
+    m = groups.select(key, members, F.explode(members).alias("_m")).join(nb, "_m", "left")
+    hits = (m.select(key, members, F.explode("_nb").alias("_cand"))
+            .groupBy(key, members, "_cand").agg(F.count(F.lit(1)).alias("_h")))
+    ok = hits.where((F.col("_h") == F.size(members)) & ~F.array_contains(members, F.col("_cand")))
+    agg = ok.groupBy(key).agg(F.array_sort(F.collect_list("_cand")).alias("candidates"))
+    return (groups.select(key).join(agg, key, "left")
+            .select(key, F.coalesce("candidates", F.array().cast("array<int>")).alias("candidates")))
+
+
 def _uniform(seed: int, draw: Column, tag: str) -> Column:
     h = F.md5(F.concat(F.lit(f"{seed}:"), draw.cast("string"), F.lit(f":{tag}")))
     return F.conv(F.substring(h, 1, HEX8), 16, 10).cast("long")

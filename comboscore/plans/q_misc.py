@@ -68,17 +68,9 @@ SELECT ci.combo_id, CAST(count(ok.cand) AS INTEGER) AS n_candidates,
        coalesce(string_agg(CAST(ok.cand AS VARCHAR), ', ' ORDER BY ok.cand), '') AS candidates
 FROM combo_ids ci LEFT JOIN ok ON ok.combo_id = ci.combo_id GROUP BY ci.combo_id"""))
 def q_candidate_except(spark, sf):
-    c = fx.combos(spark, sf)
-    adj = sparse_adj(spark, sf).select(F.col("id").alias("_m"), F.col("neighbours").alias("_nb"))
-    m = c.select("combo_id", "ids", F.explode("ids").alias("_m")).join(adj, "_m", "left")
-    # common neighbours: candidates hit by every member, minus the members themselves
-    hits = (m.select("combo_id", "ids", F.explode_outer("_nb").alias("cand"))
-            .groupBy("combo_id", "ids", "cand").agg(F.count(F.lit(1)).alias("h")))
-    ok = hits.where((F.col("h") == F.size("ids")) & ~F.array_contains("ids", F.col("cand")))
-    agg = ok.groupBy("combo_id").agg(F.array_sort(F.collect_list("cand")).alias("_c"))
-    return (c.select("combo_id").join(agg, "combo_id", "left")
-            .select("combo_id", F.coalesce(F.size("_c"), F.lit(0)).cast("int").alias("n_candidates"),
-                    F.coalesce(join_ids("_c"), F.lit("")).alias("candidates")))
+    c = G.common_neighbours(fx.combos(spark, sf), sparse_adj(spark, sf))
+    return c.select("combo_id", F.size("candidates").cast("int").alias("n_candidates"),
+                    join_ids("candidates").alias("candidates"))
 
 
 def _clique_sql() -> str:
