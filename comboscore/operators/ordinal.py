@@ -28,12 +28,18 @@ def _cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def with_ordinal(df: DataFrame, order, name: str = "ordinal", total: str | None = None) -> DataFrame:
+def with_ordinal(df: DataFrame, order, name: str = "ordinal", total: str | None = None,
+                 store: bool = False) -> DataFrame:
     """Add a dense 0-based position by ``order`` (plus the row count as ``total``, if named).
 
     Rows that tie on ``order`` get distinct but arbitrary positions; give a unique order for
-    reproducible numbering.
+    reproducible numbering. The range partitioner samples its input in a separate pass, so
+    for an expensive input pass ``store=True``: it is written once to the shared checkpoint
+    folder and both passes read the stored copy.
     """
+    if store:
+        from comboscore.session import cut_lineage
+        df = cut_lineage(df)
     cols = _cols(order)
     ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
     tagged = (ranged.withColumn("_mid", F.monotonically_increasing_id())

@@ -15,6 +15,7 @@ from comboscore.plans import lineage as L
 from comboscore.plans import oracle as O
 from comboscore.plans.q_text import nine_fields
 from comboscore.plans.registry import register
+from comboscore.session import cut_lineage
 from comboscore.sources import files as S
 
 SEED = L.SEED
@@ -120,7 +121,9 @@ def q_sample_cliques(spark, sf):
 SELECT target, count(*) FILTER (WHERE len(combo) = target) AS complete, count(*) AS draws FROM s5 GROUP BY target""")
 def q_complete_only(spark, sf):
     draws = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("draw"))
-    done = _cliques(spark, sf).groupBy("target").agg(F.count(F.lit(1)).alias("complete"))
+    # aggregate over the stored draws: fused into the sampler's codegen stage the partial
+    # aggregate makes one oversized generated method
+    done = cut_lineage(_cliques(spark, sf)).groupBy("target").agg(F.count(F.lit(1)).alias("complete"))
     lo, hi = 2, 5
     h = F.md5(F.concat(F.lit(f"{SEED}:"), F.col("draw").cast("string"), F.lit(":size")))
     tgt = (F.lit(lo) + F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % (hi - lo + 1)).cast("int")
@@ -133,7 +136,7 @@ def q_complete_only(spark, sf):
 SELECT row_number() OVER (ORDER BY draw) AS combination_number, array_to_string(combo, ', ') AS drug_combination
 FROM s5 WHERE len(combo) = target""")
 def q_number_combos(spark, sf):
-    c = with_ordinal(_cliques(spark, sf), "draw")
+    c = with_ordinal(_cliques(spark, sf), "draw", store=True)
     return c.select((F.col("ordinal") + 1).alias("combination_number"), join_ids("combo").alias("drug_combination"))
 
 
