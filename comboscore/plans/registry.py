@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from comboscore.session import ship_package
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,7 +29,12 @@ def register(name: str, sql: str | None = None, note: str = ""):
     def deco(fn: Builder) -> Builder:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(name, fn, sql, note)
+
+        @functools.wraps(fn)
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)          # Python workers must be able to import the package
+            return fn(spark, sf_dir)
+        REGISTRY[name] = Entry(name, build, sql, note)
         return fn
     return deco
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -67,3 +69,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``comboscore`` importable in the Python workers (pandas UDFs, mapInPandas).
+
+    The package is zipped once per process and added with ``addPyFile`` — the programmatic
+    form of ``--py-files`` — so executors fetch it from the driver whatever their working
+    directory is.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg_dir)
+    path = os.path.join(tempfile.mkdtemp(prefix="run-pyfiles-"), "comboscore.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
