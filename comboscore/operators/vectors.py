@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from comboscore.operators.pairs import stored_broadcast
 from comboscore.session import cut_lineage
 
-MAX_LABELS = 10_000
+MAX_LABELS = 1_000   # per-label statistics travel inside the plan as a literal (labels x dims)
 
 
 def mean_pool(df: DataFrame, key: str, vec: str) -> DataFrame:
