@@ -1,9 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text, each counted once: words, neighbouring pairs and pairs with one word
-between, hashed to 2**``BITS`` buckets (ASCII letters lower-cased; punctuation is no part of a
-word). Training takes a bounded, documented sample: ``SHARDS`` groups of about ``SAMPLE``
-labelled documents each, picked by a hash of the id. Every group is one task that runs
+Features of a text, each counted once: words, the beginnings of longer words (``STEMS`` bytes;
+inflected forms share them), neighbouring pairs and pairs with one word between, hashed to
+2**``BITS`` buckets (ASCII letters lower-cased; punctuation is no part of a word). Training takes a bounded sample: at most ``SHARDS`` groups of about ``SAMPLE`` labelled
+documents each, picked by a hash of the id (fewer groups where
+there are fewer labels). Every group is one task that runs
 FTRL-proximal with per-coordinate rates and L1, ``PASSES`` times over its documents; most
 weights end at exactly 0. The groups' weights are averaged, and at most 2**``BITS`` of them
 (in practice a few hundred) are broadcast. All documents are scored, over their whole texts.
@@ -27,15 +28,21 @@ from comboscore.llm import columnar as C
 
 BITS = 20
 SHARDS = 4
-SAMPLE = 4000
+SAMPLE = 6000
 PASSES = 3
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 1.5, 1.0
+STEMS = (4, 5, 6)
+ALPHA, BETA, L1, L2 = 0.4, 1.0, 2.0, 1.0
 
 
 def features(words: C.Words):
     """(document, bucket) of every feature, repeats included."""
     h, d = words.hashes, words.documents()
     where, bucket = [d], [h]
+    sums = C.prefix(words.data)
+    for size in STEMS:
+        long = np.flatnonzero(words.ends - words.starts > size)
+        where.append(d[long])
+        bucket.append(C.mix(C.between(sums, words.starts[long], words.starts[long] + size) ^ np.uint64(size)))
     with np.errstate(over="ignore"):
         for gap, salt in ((1, 0x51ED270B27F3B4C5), (2, 0x8F3C2A6D1B47E905)):
             if len(h) > gap:
@@ -113,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int
     if not total:
         return -math.inf, np.zeros(0, np.int64), np.zeros(0)
     want = min(total, sample * shards)
+    shards = -(-want // sample)
     pick = F.xxhash64("doc_id", F.lit(17))
     marks = marks.where(F.pmod(pick, F.lit(total)) < want).withColumn("shard", F.pmod(F.shiftright(pick, 40), F.lit(shards)))
     rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
