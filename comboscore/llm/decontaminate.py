@@ -31,7 +31,7 @@ from comboscore.session import cut_lineage
 BLOCK = 4 << 20
 CHAIN = 4
 SPANS = "array<struct<lo:int,hi:int>>"
-HITS = f"doc_id long, text string, n_words long, n_hit long, spans {SPANS}, items array<string>, near_items array<string>"
+FOUND = {"n_words": "long", "n_hit": "long", "spans": SPANS, "items": "array<string>", "near_items": "array<string>"}
 _SPAN_TYPE = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
@@ -129,13 +129,13 @@ class Postings:
         return p, start, near_p, near_d
 
 
-def search_step(block, window: int, slack: int | None, last: bool):
-    """Search one block of items; hits of former blocks are merged."""
+def search_step(block, window: int, slack: int | None, text_col: str, prefix: str):
+    """Search one block of items; hits of former blocks (columns ``prefix`` + FOUND) are merged."""
     def run(batches):
         phrases = Phrases(block.value, window)
         names = np.array(phrases.items, object)
         for batch in batches:
-            for sub, offsets, data in C.parts(batch):
+            for sub, offsets, data in C.parts(batch, text_col):
                 w = C.Words(offsets, data, C.ALNUM_WORDS, lower=True)
                 document = w.documents()
                 found = Postings(w, phrases).search(phrases, document, w.bounds, slack)
@@ -145,7 +145,7 @@ def search_step(block, window: int, slack: int | None, last: bool):
                 row, item = phrases.owners(near_p)
                 near = np.unique(np.stack([near_d[row], item], 1), axis=0)
                 hit = C.covered(start, start + phrases.sizes[p], len(w))
-                old = sub.column("spans")
+                old = sub.column(prefix + "spans")
                 if (many := np.diff(old.offsets.to_numpy())).any():
                     f = old.flatten()
                     base = np.repeat(w.bounds[:-1], many)
@@ -162,31 +162,37 @@ def search_step(block, window: int, slack: int | None, last: bool):
                 lists = []
                 for pairs, col in ((exact, "items"), (near, "near_items")):
                     at = np.searchsorted(pairs[:, 0], np.arange(sub.num_rows + 1))
-                    before = sub.column(col).to_pylist()
+                    before = sub.column(prefix + col).to_pylist()
                     lists.append([b if i == j else sorted({*b, *names[pairs[i:j, 1]]})
                                   for b, i, j in zip(before, at[:-1], at[1:])])
-                text = pa.nulls(sub.num_rows, pa.string()) if last else sub.column("text")
-                yield pa.record_batch([sub.column("doc_id"), text, pa.array(w.counts, pa.int64()), pa.array(n_hit, pa.int64()),
-                                       spans.cast(_SPAN_TYPE), *(pa.array(x, pa.list_(pa.string())) for x in lists)],
-                                      names=["doc_id", "text", "n_words", "n_hit", "spans", "items", "near_items"])
+                new = [pa.array(w.counts, pa.int64()), pa.array(n_hit, pa.int64()), spans.cast(_SPAN_TYPE),
+                       *(pa.array(x, pa.list_(pa.string())) for x in lists)]
+                for name, column in zip(FOUND, new):
+                    sub = sub.set_column(sub.schema.get_field_index(prefix + name), prefix + name, column)
+                yield sub
     return run
 
 
-def find_items(docs: DataFrame, items: DataFrame, window: int = 10, slack: int | None = None, id_col: str = "doc_id",
+def with_items(docs: DataFrame, items: DataFrame, prefix: str, window: int = 10, slack: int | None = None,
                text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, spans (of hit words), items, near_items."""
+    """All columns of ``docs`` and, under ``prefix``: n_words, n_hit, spans (of hit words), items, near_items."""
     spark = docs.sparkSession
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
                          F.coalesce(F.col(item_text_col), F.lit("")).alias("words"))
     size = items.agg(F.sum(F.octet_length("words") + F.octet_length("item"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-                      F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"),
-                      F.array().cast("array<string>").alias("near_items"))
+    empty = {"long": F.lit(0), SPANS: F.array(), "array<string>": F.array()}
+    out = docs.withColumns({prefix + k: empty[t].cast(t) for k, t in FOUND.items()})
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k) if blocks > 1 else items
         value = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows.collect()])
-        out = out.mapInArrow(search_step(value, window, slack, k == blocks - 1), HITS)
+        out = out.mapInArrow(search_step(value, window, slack, text_col, prefix), out.schema)
         if k % CHAIN == CHAIN - 1 and k < blocks - 1:
             out = cut_lineage(out)
-    return out.drop("text")
+    return out
+
+
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, spans, items, near_items."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_items(docs, items, "", **options).drop("text")

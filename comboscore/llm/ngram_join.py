@@ -310,7 +310,7 @@ def node_links(docs: DataFrame, nodes: DataFrame, sketch, n: int, up: int, low:
 
 def join_classes(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest linked doc_id).
+    """One row per input row: doc_id, text_key (hash of the text), n_shingles, component_id (smallest linked doc_id).
 
     ``threshold``: the Jaccard bound as a fraction (numerator, denominator).
     """
@@ -334,5 +334,5 @@ def join_classes(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80,
     least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = named.join(least, "root").select("node", "n", "least_id")
     return members.join(named, ["node", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "text_key", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"))

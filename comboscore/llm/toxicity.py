@@ -113,8 +113,8 @@ def fit_shard(key, table):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "toxic") -> tuple[float, np.ndarray, np.ndarray]:
     """(bias, buckets, weights) from labelled documents outside the held-out fifth."""
-    marks = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-             .groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    marks = (labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
+             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic"))
              .where(~held_out("doc_id")))
     total = marks.count()
     if not total:
@@ -144,25 +144,32 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_texts(model):
+def score_texts(model, text_col: str, score_col: str):
     def run(batches):
         bias, at, w = model.value
         dense = np.zeros(1 << BITS)
         dense[at] = w
         for batch in batches:
-            for sub, offsets, data in C.parts(batch):
+            for sub, offsets, data in C.parts(batch, text_col):
                 d, b = features(_words(offsets, data))
                 hit = np.flatnonzero(dense[b])
                 pairs = np.unique((d[hit] << BITS) | b[hit])
                 total = np.bincount(pairs >> BITS, dense[pairs & ((1 << BITS) - 1)], sub.num_rows) + bias
                 with np.errstate(over="ignore"):
                     score = 1 / (1 + np.exp(-total))
-                yield pa.record_batch([sub.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+                yield sub.set_column(sub.schema.get_field_index(score_col), score_col, pa.array(score))
     return run
 
 
+def with_score(docs: DataFrame, labels: DataFrame, score_col: str, id_col: str = "doc_id", text_col: str = "text",
+               **options) -> DataFrame:
+    """All columns of ``docs`` and the score, in a column of a new name."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col, **options))
+    out = docs.withColumn(score_col, F.lit(None).cast("double"))
+    return out.mapInArrow(score_texts(model, text_col, score_col), out.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, score (0 to 1)."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col, **options))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(score_texts(model), "doc_id long, score double")
+    return with_score(rows, labels, "score", **options).select("doc_id", "score")
