@@ -45,7 +45,8 @@ COLUMNS = 2048
 FIRST = "doc_id long, text_key long, n long, node long, slice int, counts binary"
 POSTINGS = "shingle long, node long, n long, salt int"
 EDGES = "a long, b long, shingle long, node long, lo long, hi long"
-SETS = "node long, n long, shingles binary"
+SETS = "node long, root long, tiles int, shingles binary"
+SEEN = 1 << 20                               # nodes a task remembers before it starts anew
 
 
 def shingle_sets(w: C.Words, n: int):
@@ -109,10 +110,11 @@ def add_slices(key, table):
 
 
 def prefixes(sketch, n: int, up: int, low: int):
-    """The first shingles of every set, rare ones first."""
+    """The first shingles of every set, rare ones first; of copies in one task, one set's."""
     def run(batches):
         levels = np.frombuffer(sketch.value, np.uint8)
         usual = np.median(levels[levels > 0]) if levels.any() else 0
+        seen: set[int] = set()
         hot = max(np.log2(HOT) * 8, usual + 24)              # 24 levels: eight times the usual count
         for batch in batches:
             for sub, offsets, data in C.parts(batch):
@@ -123,6 +125,12 @@ def prefixes(sketch, n: int, up: int, low: int):
                 by = by[np.argsort(d[by], kind="stable")]
                 begin = np.cumsum(sizes) - sizes
                 want = np.where(sizes > 0, sizes - (-(-up * sizes // low)) + 1, 0)
+                if len(seen) > SEEN:
+                    seen.clear()
+                for k, x in enumerate(node.tolist()):            # copies: once per task
+                    if x in seen:
+                        want[k] = 0
+                    seen.add(x)
                 at = by[C.ranges(begin, want)]
                 who = d[at]
                 salt = np.where(level[at] >= hot, (node[who] % np.uint64(SALTS)).astype(np.int32), -1)
@@ -205,9 +213,9 @@ def whole_sets(n: int):
             for sub, offsets, data in C.parts(batch):
                 d, s, sizes, _ = shingle_sets(C.Words(offsets, data, lower=True), n)
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.record_batch([sub.column("node"), pa.array(sizes, pa.int64()),
+                yield pa.record_batch([sub.column("node"), sub.column("root"), sub.column("tiles"),
                                        pa.array([s[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())],
-                                      names=["node", "n", "shingles"])
+                                      names=[x.split()[0] for x in SETS.split(", ")])
     return run
 
 
@@ -287,7 +295,7 @@ def block_stars(up: int, low: int):
 
 def node_links(docs: DataFrame, nodes: DataFrame, sketch, n: int, up: int, low: int) -> DataFrame:
     """Star links (a, b) between nodes; ``nodes``: (node, n, doc_id, text_key), one document each."""
-    posted = docs.mapInArrow(prefixes(sketch, n, up, low), POSTINGS).distinct()
+    posted = docs.mapInArrow(prefixes(sketch, n, up, low), POSTINGS)
     sorted_ = posted.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "node")
     found = cut_lineage(sorted_.mapInArrow(stars(up, low), EDGES).distinct())
     hubs = (found.where("shingle is not null").select("shingle", "node", "lo", "hi")
@@ -299,8 +307,7 @@ def node_links(docs: DataFrame, nodes: DataFrame, sketch, n: int, up: int, low:
                     .cast("int").alias("tiles")))
     rows = rows.join(size, "root").select("node", "root", "tiles", "doc_id", "text_key")
     key = [docs["text_key"] == rows["text_key"], docs["doc_id"].eqNullSafe(rows["doc_id"])]
-    texts = docs.join(rows, key).select("node", "text")
-    sets = texts.mapInArrow(whole_sets(n), SETS).join(rows.select("node", "root", "tiles"), "node")
+    sets = docs.join(rows, key).select("node", "root", "tiles", "text").mapInArrow(whole_sets(n), SETS)
     sets = sets.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     pairs = (sets.withColumn("other", other)
