@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from comboscore.functions.text import ws_tokens
 from comboscore.operators.ordinal import with_ordinal
-from comboscore.operators.pairs import stored_broadcast
+from comboscore.session import cut_lineage
 
 PAD_ID = 0
 IGNORE_INDEX = -100
@@ -30,8 +30,7 @@ def vocabulary(df: DataFrame, text: str, tokenizer=ws_tokens, first_id: int = 1)
 
 
 def blocks(df: DataFrame, key: str, text: str, vocab: DataFrame, size: int = 128,
-           side: str = "right", pad_id: int = PAD_ID, tokenizer=ws_tokens,
-           broadcast_rows: int | None = 1_000_000) -> DataFrame:
+           side: str = "right", pad_id: int = PAD_ID, tokenizer=ws_tokens) -> DataFrame:
     """(key, ids, mask, n_tokens, truncated): first ``size`` token ids, padded on ``side``.
 
     Truncation keeps the first ``size`` tokens (as the reference does with right
@@ -40,7 +39,7 @@ def blocks(df: DataFrame, key: str, text: str, vocab: DataFrame, size: int = 128
     toks = df.select(key, tokenizer(F.col(text)).alias("_t"))
     lens = toks.select(key, F.size("_t").alias("n_tokens"))
     pos = toks.select(key, F.posexplode(F.slice("_t", 1, size)).alias("_pos", "token"))
-    v = stored_broadcast(vocab.select("token", "token_id"), broadcast_rows)
+    v = cut_lineage(vocab.select("token", "token_id"))
     ided = pos.join(v, "token", "left")
     grouped = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "token_id"))).alias("_s"))
     ids = F.transform("_s", lambda x: F.coalesce(x["token_id"], F.lit(pad_id)))

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comboscore.operators.ordinal import with_ordinal
-from comboscore.operators.pairs import sized_broadcast, stored_broadcast
 from comboscore.session import cut_lineage
 
 HEX8 = 8  # hex digits used for a uniform integer
@@ -54,7 +53,7 @@ def valid_extensions(groups: DataFrame, edge_table: DataFrame, key: str = "key",
     """(key, valid): ``new`` is compatible when it neighbours every member in both
     directions; an empty group is always valid."""
     m = groups.select(key, new, F.explode_outer(members).alias("_m"))
-    e = stored_broadcast(edge_table.select("src", "dst"))
+    e = cut_lineage(edge_table.select("src", "dst"))
     fwd = e.select(F.col("src").alias("_m"), F.col("dst").alias(new), F.lit(True).alias("_f"))
     bwd = e.select(F.col("dst").alias("_m"), F.col("src").alias(new), F.lit(True).alias("_b"))
     j = m.join(fwd, ["_m", new], "left").join(bwd, ["_m", new], "left")
@@ -108,14 +107,11 @@ def sample_cliques(adj: DataFrame, draws: DataFrame, seed: int, size_range=(2, 5
     if n_items == 0:
         return draws.select(F.col(draw), F.lit(0).alias("target"),
                             F.array().cast("array<int>").alias("combo")).where(F.lit(False))
-    # the item index is the small side: broadcast it (checked) so the draws stay the
-    # streamed, partitioned side of every join below
-    indexed = stored_broadcast(with_ordinal(items, "id", "_idx"), 2_000_000)
+    indexed = with_ordinal(items, "id", "_idx")
     d = F.col(draw)
     start = draws.select(d, (F.lit(lo) + _uniform(seed, d, "size") % (hi - lo + 1)).cast("int").alias("target"),
                          (_uniform(seed, d, "first") % n_items).alias("_idx"))
     nb = adj.select(F.col("id").alias("_jk"), F.col("neighbours").alias("_nb"))
-    nb = sized_broadcast(nb, 200_000)
     state = (start.join(indexed, "_idx").join(nb, F.col("id") == F.col("_jk"))
              .select(d, "target", F.array(F.col("id")).alias("combo"),
                      F.array_remove(F.col("_nb"), F.col("id")).alias("cand")))

@@ -4,14 +4,15 @@ Spark has no row index, so position is defined by an explicit order. ``with_ordi
 numbers rows 0..N-1 without funnelling them through one task:
 
 1. ``repartitionByRange`` on the order (sampled boundaries, balanced partitions) and sort
-   inside each partition;
-2. ``monotonically_increasing_id`` = (partition << 33) + local index;
-3. count rows per partition — a table with one row per partition, so its size is bounded
-   by the partition count — and turn it into start offsets;
-4. broadcast the offsets back and add them to the local index.
-
-The range exchange is shared by steps 3 and 4 (exchange reuse), so the data is shuffled
-once. A global ``row_number()`` would instead move every row into a single partition.
+   inside each partition; every row carries its partition number and its place there;
+2. the ranged table is written once to the shared checkpoint folder, so partition and
+   place are values of the stored row from then on;
+3. rows per partition are counted on the stored table (one row per partition, so its size
+   is bounded by the partition count), turned into start offsets and joined back.
+
+Counting and numbering read the same stored values. Two evaluations of a range shuffle
+would not do: each samples its own boundaries and may be coalesced differently. A global
+``row_number()`` would move every row into a single partition.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from comboscore.session import cut_lineage
+
 _LOCAL_BITS = 33
 
 
@@ -28,54 +31,37 @@ def _cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def with_ordinal(df: DataFrame, order, name: str = "ordinal", total: str | None = None,
-                 store: bool = False) -> DataFrame:
+def with_ordinal(df: DataFrame, order, name: str = "ordinal", total: str | None = None) -> DataFrame:
     """Add a dense 0-based position by ``order`` (plus the row count as ``total``, if named).
 
     Rows that tie on ``order`` get distinct but arbitrary positions; give a unique order for
-    reproducible numbering. The range partitioner samples its input in a separate pass, so
-    for an expensive input pass ``store=True``: it is written once to the shared checkpoint
-    folder and both passes read the stored copy.
+    reproducible numbering. The rows are stored once in the shared checkpoint folder.
     """
-    if store:
-        from comboscore.session import cut_lineage
-        df = cut_lineage(df)
     cols = _cols(order)
-    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
-    tagged = (ranged.withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_part", F.shiftright("_mid", _LOCAL_BITS)))
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    place = F.col("_mid") - F.shiftleft(F.shiftright("_mid", _LOCAL_BITS), _LOCAL_BITS)
+    stored = cut_lineage(df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+                         .withColumn("_mid", F.monotonically_increasing_id())
+                         .withColumn("_part", F.shiftright("_mid", _LOCAL_BITS))
+                         .withColumn("_place", place).drop("_mid"))
+    counts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
                             F.sum("_cnt").over(Window.partitionBy()).alias("_total"))
-    out = tagged.join(F.broadcast(offsets), "_part")
-    local = F.col("_mid") - F.shiftleft(F.col("_part"), _LOCAL_BITS)
-    out = out.withColumn(name, (F.col("_off") + local).cast("long"))
+    out = stored.join(F.broadcast(offsets), "_part")
+    out = out.withColumn(name, (F.col("_off") + F.col("_place")).cast("long"))
     if total:
         out = out.withColumn(total, F.col("_total").cast("long"))
-    return out.drop("_mid", "_part", "_off", "_total")
-
-
-TOPK_MAX = 100_000   # above this a top-k merge would funnel k rows per partition into one task
+    return out.drop("_part", "_place", "_off", "_total")
 
 
 def head(df: DataFrame, n: int, order) -> DataFrame:
-    """First ``n`` rows by ``order``.
-
-    Small n: top-k per partition and one merge (``TakeOrderedAndProject``). Large n:
-    distributed positions and a filter, so no single task receives n rows per partition.
-    """
-    if n <= TOPK_MAX:
-        return df.orderBy(*_cols(order)).limit(n)
-    return with_ordinal(df, order, "_h").where(F.col("_h") < n).drop("_h")
+    """First ``n`` rows by ``order``, sorted (Spark plans a top-k per partition and one merge)."""
+    return df.orderBy(*_cols(order)).limit(n)
 
 
 def tail(df: DataFrame, n: int, order) -> DataFrame:
-    """Last ``n`` rows by ``order``."""
-    desc = [c.desc() for c in _cols(order)]
-    if n <= TOPK_MAX:
-        return df.orderBy(*desc).limit(n)
-    return with_ordinal(df, desc, "_t").where(F.col("_t") < n).drop("_t")
+    """Last ``n`` rows by ``order``, last first."""
+    return df.orderBy(*(c.desc() for c in _cols(order))).limit(n)
 
 
 def slice_rows(df: DataFrame, start: int, n: int, order, name: str = "ordinal") -> DataFrame:

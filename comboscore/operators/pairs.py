@@ -8,9 +8,8 @@ Scale notes
 * ``combo_pairs`` expands pairs inside each row (``inline`` of a higher-order array), so it
   adds no shuffle and keeps the input partitioning.
 * ``lookup_pairs`` is an equi-join on the canonical (lo, hi) key — never an OR join. The
-  deduplicated side is broadcast only after its row count was checked against
-  ``broadcast_rows``; otherwise the planner keeps a sort-merge join and AQE splits skewed
-  partitions of the probe side.
+  planner broadcasts the deduplicated side if its stored size is below the byte threshold;
+  otherwise it is a sort-merge join, and AQE splits skewed partitions of the probe side.
 """
 
 from __future__ import annotations
@@ -21,32 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comboscore.functions.pairs import index_pairs, pair_key
-from comboscore.session import cut_lineage
-
-DEFAULT_BROADCAST_ROWS = 500_000   # ~40 MB for a pair table row
-
-
-def sized_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` only when ``df`` has at most ``max_rows`` rows.
-
-    The check is a bounded count (``limit(max_rows + 1)``), so a large side stops early and
-    is left to the planner (sort-merge join with AQE skew handling).
-    """
-    if max_rows is None:
-        return df
-    n = df.limit(max_rows + 1).count()   # on a stored table this is a metadata read
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def stored_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Store ``df`` once in the shared checkpoint folder, then ``sized_broadcast`` it.
-
-    The size check then reads stored metadata instead of computing ``df`` a second time.
-    """
-    if max_rows is None:
-        return df
-    return sized_broadcast(cut_lineage(df), max_rows)
-
 
 def dedup_pairs(scores: DataFrame, order: Sequence[str], keep: str = "first",
                 a: str = "id_a", b: str = "id_b") -> DataFrame:
@@ -90,34 +63,27 @@ def pair_table(scores: DataFrame, order: Sequence[str], columns: Sequence[str],
 
 
 def join_pairs(pairs: DataFrame, table: DataFrame, keep: str = "first", how: str = "left",
-               columns: Sequence[str] | None = None,
-               broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+               columns: Sequence[str] | None = None) -> DataFrame:
     """Attach the ``keep`` row of ``table`` to every pair (equi-join on the canonical key)."""
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     right = table.select("id_lo", "id_hi", f"{keep}.*")
     if columns is not None:
         right = right.select("id_lo", "id_hi", *columns)
-    right = sized_broadcast(right.withColumn("found", F.lit(True)), broadcast_rows)
-    out = pairs.join(right, on=["id_lo", "id_hi"], how=how)
+    out = pairs.join(right.withColumn("found", F.lit(True)), on=["id_lo", "id_hi"], how=how)
     return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
 
 
 def lookup_pairs(pairs: DataFrame, scores: DataFrame, order: Sequence[str], keep: str = "first",
                  how: str = "left", a: str = "id_a", b: str = "id_b",
-                 columns: Sequence[str] | None = None,
-                 broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                 columns: Sequence[str] | None = None) -> DataFrame:
     """Attach one score row to every pair, matching either orientation.
 
     ``keep="first"``/``how="left"`` is the scorer's lookup (missing pairs stay, ``found`` is
     false); ``keep="last"``/``how="inner"`` is the prompt builder's (missing pairs vanish).
-    When a broadcast is allowed the deduplicated table is first stored in the shared
-    checkpoint folder, so the size check reads metadata instead of recomputing it.
     """
     if keep not in ("first", "last"):
         raise ValueError("keep must be 'first' or 'last'")
     cols = [c for c in (columns or scores.columns) if c not in ("id_lo", "id_hi")]
     table = pair_table(scores, order, cols, a=a, b=b, keep=(keep,))
-    if broadcast_rows is not None:
-        table = cut_lineage(table)
-    return join_pairs(pairs, table, keep=keep, how=how, broadcast_rows=broadcast_rows)
+    return join_pairs(pairs, table, keep=keep, how=how)

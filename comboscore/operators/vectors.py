@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from comboscore.operators.pairs import stored_broadcast
 from comboscore.session import cut_lineage
 
 MAX_LABELS = 1_000   # per-label statistics travel inside the plan as a literal (labels x dims)
@@ -135,7 +134,7 @@ def silhouette(df: DataFrame, id_col: str, vec: str, label: str, metric: str = "
     # per-sample scores are stored once: the per-label means and the join both read them
     s = cut_lineage(silhouette_samples(df, id_col, vec, label, metric, **kw))
     avg = s.groupBy(label).agg(F.avg("score").alias("label_avg"))
-    return s.join(stored_broadcast(avg, kw.get("max_labels", MAX_LABELS)), label)
+    return s.join(avg, label)
 
 
 def project_2d(df: DataFrame, vec: str, k: int = 2, name: str = "xy") -> DataFrame:

@@ -17,27 +17,14 @@ from comboscore.functions.text import decimal_text
 MODULUS = 60
 MISSING_MODULUS = 200
 GRAPH_MODULUS = 1000
-COMBO_MAX = 5
+COMBO_MAX = 5          # items of one combination
+GROUPS = 1000          # combination numbers of one order
 NAME_PREFIX = "Drug-"
 ORDER_COLS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_input(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread_input(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has cores.
-
-    A parquet row group is never split, so a small single-row-group table is scanned by
-    one task and everything up to the first shuffle runs serially. Large inputs (many
-    files / row groups) already have more splits than cores and are left untouched, so
-    this costs a shuffle only when the input is small.
-    """
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def drug_name(c) -> F.Column:
@@ -78,22 +65,22 @@ def pair_scores(spark: SparkSession, sf_dir: str, sparse: bool = False, graph: b
 
 def combo_members(spark: SparkSession, sf_dir: str, modulus: int = MODULUS) -> DataFrame:
     """(combo_id, pos, id): per order the distinct ``l_partkey % modulus`` in order of first
-    appearance, the first five, orders with at least two.
+    appearance, cut into groups of ``COMBO_MAX`` at most; groups of at least two. Every item of
+    an order stays; group g of order o is combination ``o * GROUPS + g``.
 
-    The first-appearance step is a hash aggregate (map-side partial), and the top-5 filter
-    on ``row_number`` is planned as a window group limit, which also runs before the
-    shuffle — a hot order never sends more than five rows per map task.
+    The first-appearance step is a hash aggregate (map-side partial).
     """
     li = table(spark, sf_dir, "lineitem")
-    first = (li.select(F.col("l_orderkey").alias("combo_id"),
-                       (F.col("l_partkey") % modulus).cast("int").alias("id"),
+    first = (li.select(F.col("l_orderkey"), (F.col("l_partkey") % modulus).cast("int").alias("id"),
                        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("k"))
-             .groupBy("combo_id", "id").agg(F.min("k").alias("k")))
-    w = Window.partitionBy("combo_id").orderBy("k")
-    ranked = first.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= COMBO_MAX)
-    n = F.count(F.lit(1)).over(Window.partitionBy("combo_id"))
-    return (ranked.withColumn("_n", n).where(F.col("_n") >= 2)
-            .select("combo_id", F.col("pos").cast("long").alias("pos"), "id"))
+             .groupBy("l_orderkey", "id").agg(F.min("k").alias("k")))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("k")) - 1
+    group = F.floor(F.col("_place") / COMBO_MAX).cast("long")
+    ranked = first.withColumn("_place", place).select(
+        (F.col("l_orderkey") * GROUPS + group).alias("combo_id"),
+        (F.col("_place") % COMBO_MAX + 1).cast("long").alias("pos"), "id", "l_orderkey", group.alias("_g"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "_g"))
+    return ranked.withColumn("_n", n).where(F.col("_n") >= 2).select("combo_id", "pos", "id")
 
 
 def combos(spark: SparkSession, sf_dir: str, modulus: int = MODULUS) -> DataFrame:

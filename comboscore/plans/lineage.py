@@ -78,19 +78,19 @@ class Derived:
 
     @cached_property
     def responses(self) -> DataFrame:
-        """Stand-in model answers for combinations of three or more items: 'no comment' when
+        """Stand-in model answers: 'no comment' when
         the first pair is missing, an answer without a label word when its hsa is exactly 0,
         else 'The outcome is <Loewe label of the first pair>'."""
-        lk = self.first_lookup.where((F.col("i") == 0) & (F.col("j") == 1) & (F.col("k") >= 3))
+        lk = self.first_lookup.where((F.col("i") == 0) & (F.col("j") == 1))
         txt = (F.when(~F.col("found"), "no comment")
                .when(F.col("hsa") == 0, "I cannot tell.")
                .otherwise(F.concat(F.lit("The outcome is "), C.classify_loewe("loewe"))))
-        return lk.select("combo_id", txt.alias("response"))
+        return lk.select("combo_id", "k", txt.alias("response"))
 
     @cached_property
     def eval_table(self) -> DataFrame:
         """(combo_id, truth, pred): label words of the reference label and of the answer."""
-        f = self.final.select("combo_id", T.keyword_label("prediction").alias("truth"))
+        f = self.verdicts.select("combo_id", T.keyword_label("prediction").alias("truth"))
         r = self.responses.select("combo_id", T.keyword_label("response").alias("pred"))
         return f.join(r, "combo_id")
 

@@ -90,24 +90,26 @@ def q_metric_report(spark, sf):
 
 @register("zip_min_length", sql=O.with_ctes(*EV, select="""
 , fo AS (SELECT combo_id, prediction, row_number() OVER (ORDER BY combo_id) - 1 AS ordinal FROM fin),
-ro AS (SELECT response, row_number() OVER (ORDER BY combo_id) - 1 AS ordinal FROM resp)
+ro AS (SELECT response, row_number() OVER (ORDER BY resp.combo_id) - 1 AS ordinal
+  FROM resp JOIN combo_ids USING (combo_id) WHERE k >= 3)
 SELECT fo.ordinal, fo.combo_id, fo.prediction, ro.response FROM fo JOIN ro ON ro.ordinal = fo.ordinal"""))
 def q_zip_min_length(spark, sf):
     d = L.Derived(spark, sf)
     f = d.final.select("combo_id", "prediction")
-    r = d.responses.select(F.col("combo_id").alias("rkey"), "response")
+    r = d.responses.where(F.col("k") >= 3).select(F.col("combo_id").alias("rkey"), "response")
     return align(f, r, "combo_id", "rkey").select("ordinal", "combo_id", "prediction", "response")
 
 
 @register("zip_prefix", sql=O.with_ctes(*EV, select="""
 , fo AS (SELECT combo_id, prediction, row_number() OVER (ORDER BY combo_id) - 1 AS ordinal FROM fin),
-ro AS (SELECT response, row_number() OVER (ORDER BY combo_id) - 1 AS ordinal FROM resp)
+ro AS (SELECT response, row_number() OVER (ORDER BY resp.combo_id) - 1 AS ordinal
+  FROM resp JOIN combo_ids USING (combo_id) WHERE k >= 3)
 SELECT fo.ordinal, fo.combo_id, fo.prediction, ro.response FROM fo JOIN ro ON ro.ordinal = fo.ordinal
 WHERE fo.ordinal < 1001"""))
 def q_zip_prefix(spark, sf):
     d = L.Derived(spark, sf)
     f = d.final.select("combo_id", "prediction")
-    r = d.responses.select(F.col("combo_id").alias("rkey"), "response")
+    r = d.responses.where(F.col("k") >= 3).select(F.col("combo_id").alias("rkey"), "response")
     return align(f, r, "combo_id", "rkey", n=1001).select("ordinal", "combo_id", "prediction", "response")
 
 
@@ -309,7 +311,7 @@ def q_stream_keyword_label(spark, sf):
     from comboscore.sources.files import landing_dir
     from comboscore.streaming.labels import label_stream, run_file_stream
     src = landing_dir(spark, "answers")
-    answers = L.responses(spark, sf)
+    answers = L.responses(spark, sf).drop("k")
     answers.write.parquet(src)
     out = run_file_stream(spark, src, answers.schema, lambda s: label_stream(s, "combo_id", "response"))
     return spark.read.parquet(out)

@@ -136,7 +136,7 @@ def q_complete_only(spark, sf):
 SELECT row_number() OVER (ORDER BY draw) AS combination_number, array_to_string(combo, ', ') AS drug_combination
 FROM s5 WHERE len(combo) = target""")
 def q_number_combos(spark, sf):
-    c = with_ordinal(_cliques(spark, sf), "draw", store=True)
+    c = with_ordinal(_cliques(spark, sf), "draw")
     return c.select((F.col("ordinal") + 1).alias("combination_number"), join_ids("combo").alias("drug_combination"))
 
 
@@ -314,7 +314,7 @@ def q_write_csv(spark, sf):
 
 @register("read_headerless", sql=O.with_ctes(*O.EVALS, select="SELECT combo_id, response AS Response FROM resp"))
 def q_read_headerless(spark, sf):
-    r = L.responses(spark, sf)
+    r = L.responses(spark, sf).drop("k")
     path = S.write_table(r, S.landing_dir(spark, "responses"), header=False)
     h = S.read_headerless(spark, path, ["combo_id", "Response"])
     return h.select(F.col("combo_id").cast("long").alias("combo_id"), "Response")
@@ -361,11 +361,12 @@ def q_json_adjacency(spark, sf):
 
 
 @register("write_adjacency", sql=O.with_ctes(O.PAIR_SCORES_SPARSE, EDGES, select="""
-SELECT CAST(id AS VARCHAR) AS id, CAST(len(nb) AS INTEGER) AS degree FROM adj"""))
+SELECT CAST(id AS VARCHAR) AS id, CAST(len(nb) AS INTEGER) AS degree, array_to_string(nb, ', ') AS neighbours FROM adj"""))
 def q_write_adjacency(spark, sf):
     path = S.write_adjacency(sparse_adj(spark, sf), S.landing_dir(spark, "adjacency-w"))
     raw = spark.read.schema("id string, neighbours array<string>").json(path)
-    return raw.select("id", F.size("neighbours").alias("degree"))
+    ids = F.array_sort(F.transform("neighbours", lambda x: x.cast("int")))
+    return raw.select("id", F.size("neighbours").alias("degree"), join_ids(ids).alias("neighbours"))
 
 
 
@@ -382,7 +383,7 @@ pf AS (SELECT combo_id, unnest(t[1:{PROMPT_BUDGET}]) AS token, unnest(range(len(
 pids AS (SELECT f.combo_id, list(v.token_id ORDER BY f.pos) AS ids FROM pf f JOIN pvid v ON v.token = f.token
          GROUP BY f.combo_id)
 SELECT ptok.combo_id, CAST({PROMPT_BUDGET} - len(pids.ids) AS INTEGER) AS n_pad,
-       array_to_string(list_slice(pids.ids, 1, 5), ' ') AS first_ids,
+       array_to_string(pids.ids, ' ') AS ids,
        CAST(len(ptok.t) AS INTEGER) AS n_tokens, len(ptok.t) > {PROMPT_BUDGET} AS truncated
 FROM ptok JOIN pids ON pids.combo_id = ptok.combo_id"""), note="left-padded prompt budget")
 def q_prompt_blocks(spark, sf):
@@ -391,5 +392,5 @@ def q_prompt_blocks(spark, sf):
     n_pad = F.aggregate("mask", F.lit(0), lambda a, x: a + (1 - x))
     real = F.filter("ids", lambda x, i: F.element_at("mask", i + 1) == 1)
     return b.select("combo_id", n_pad.alias("n_pad"),
-                    F.array_join(F.transform(F.slice(real, 1, 5), lambda x: x.cast("string")), " ").alias("first_ids"),
+                    F.array_join(F.transform(real, lambda x: x.cast("string")), " ").alias("ids"),
                     "n_tokens", "truncated")

@@ -295,7 +295,7 @@ def q_map_batches(spark, sf):
 
 @register("rename_all", sql=O.with_ctes(*O.EVALS, select="SELECT combo_id AS row_key, response AS Response FROM resp"))
 def q_rename_all(spark, sf):
-    r = L.responses(spark, sf)
+    r = L.responses(spark, sf).drop("k")
     named = r.toDF("row_key", "Response")          # positional rename of every column
     second = named.columns[1]                       # a column picked by position
     return named.select("row_key", second)
@@ -305,5 +305,5 @@ def q_rename_all(spark, sf):
 SELECT fin.prompt AS Prompt, resp.response AS "Model Response" FROM fin JOIN resp ON resp.combo_id = fin.combo_id"""))
 def q_select_two(spark, sf):
     d = L.Derived(spark, sf)
-    both = d.final.join(d.responses, "combo_id")
+    both = d.final.join(d.responses.drop("k"), "combo_id")
     return both.select(F.col("prompt").alias("Prompt"), F.col("response").alias("Model Response"))

@@ -1,5 +1,6 @@
 """Row positions, splits and alignment."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from comboscore.operators.ordinal import (align, batches, contiguous_split, head, random_split, slice_rows,
@@ -66,9 +67,36 @@ def test_align_truncates_or_keeps_left(spark):
     assert len(align(left, right, "a", "b", n=2).collect()) == 2
 
 
-def test_head_tail_large_n_use_positions(spark, monkeypatch):
-    import comboscore.operators.ordinal as O
-    monkeypatch.setattr(O, "TOPK_MAX", 5)
+def test_head_and_tail_take_one_path(spark):
     df = shuffled(spark, 50)
-    assert sorted(r.k for r in O.head(df, 7, "k").collect()) == list(range(7))
-    assert sorted(r.k for r in O.tail(df, 7, "k").collect()) == list(range(43, 50))
+    for n in (0, 7, 50, 500):
+        assert [r.k for r in head(df, n, "k").collect()] == list(range(min(n, 50)))
+        assert [r.k for r in tail(df, n, "k").collect()] == list(range(49, 49 - min(n, 50), -1))
+
+
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.adaptive.coalescePartitions.enabled": "false"},
+                                  {"spark.sql.adaptive.enabled": "false"}])
+def test_wide_rows_keep_every_position(spark, tmp_path, conf):
+    """Written out, as a count would prune the payload."""
+    n = 400_000
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 4).alias("payload"))
+        with_ordinal(df, "k", "pos").write.parquet(str(tmp_path / "out"))
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    out = spark.read.parquet(str(tmp_path / "out"))
+    row = out.agg(F.count("*"), F.count_distinct("pos"), F.min("pos"), F.max("pos"), F.sum((F.col("pos") != F.col("k")).cast("int"))).first()
+    assert tuple(row) == (n, n, 0, n - 1, 0)
+
+
+def test_checkpoint_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from comboscore.session import checkpoint_dir
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(cluster)

@@ -16,7 +16,7 @@ def scores(spark, rows):
 def verdict(spark, combos, score_rows, keep="first"):
     c = spark.createDataFrame(combos, "combo_id long, ids array<int>")
     lk = lookup_pairs(combo_pairs(c), scores(spark, score_rows), order=["ord"], keep=keep,
-                      columns=["name_a", "name_b", "bliss", "loewe", "hsa", "zip"], broadcast_rows=None)
+                      columns=["name_a", "name_b", "bliss", "loewe", "hsa", "zip"])
     sc = score_pairs(lk)
     return sc, combo_verdict(sc)
 
@@ -76,7 +76,7 @@ def test_prompt_rendering(spark):
             (3, 3, 1, "C", "A", 0.0, 0.1, 0.0, 1.0, "0.1")]
     c = spark.createDataFrame([(1, [2, 1, 3]), (2, [7, 8])], "combo_id long, ids array<int>")
     lk = lookup_pairs(combo_pairs(c), scores(spark, rows), order=["ord"], keep="last",
-                      columns=["name_a", "name_b", "loewe_text"], broadcast_rows=None)
+                      columns=["name_a", "name_b", "loewe_text"])
     p = {r.combo_id: r for r in render_prompts(lk).collect()}
     assert p[1].context == ("Context: A and B have a Loewe score of: -0.5. "
                             "C and A have a Loewe score of: 0.1.")
