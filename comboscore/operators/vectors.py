@@ -3,15 +3,16 @@
 Silhouette has two modes.
 
 * ``sqeuclidean`` (linear): for each label c keep N_c, the vector sum S_c and Q_c = sum of
-  squared norms; then sum_{y in c} |x - y|^2 = N_c |x|^2 + Q_c - 2 x.S_c. The per-label table
-  has one row per label; it is checked against ``max_labels`` before it is shipped to the
-  tasks as a literal, so its size is proven.
-* ``euclidean`` (exact, the reference's metric): no closed form exists, the work is
+  squared norms; then sum_{y in c} |x - y|^2 = N_c |x|^2 + Q_c - 2 x.S_c. The per-label rows
+  are a table, dealt into blocks of about ``block_labels`` labels; every point meets every block by
+  an equi-join on (block, salt), so points travel once per block, not once per label, and no
+  statistic passes through the driver.
+* ``euclidean`` (exact, the metric of the published measure): no closed form exists, the work is
   n^2 * d. Points are hashed into B blocks; block pair (p, q) receives block p as "left"
   and block q as "right" (each point is sent to 2B tasks — an equi-join on a generated
   block key, never a cartesian product), and numpy computes per-label distance sums for
   each left point. Partial sums are then added up per (point, label). Memory per task is
-  two blocks of at most ``block_rows`` points.
+  two blocks of about ``block_rows`` points. No registered query uses it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from comboscore.session import cut_lineage
 
-MAX_LABELS = 1_000   # per-label statistics travel inside the plan as a literal (labels x dims)
+SALTS = 64   # copies of each block of label statistics; spreads the points that meet it over the tasks
 
 
 def mean_pool(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -37,18 +38,41 @@ def mean_pool(df: DataFrame, key: str, vec: str) -> DataFrame:
             .select(key, F.transform("_s", lambda x: x["_m"]).alias(vec)))
 
 
-def _label_stats(df: DataFrame, vec: str, label: str, max_labels: int) -> list:
-    el = df.select(label, F.posexplode(vec).alias("_k", "_v"))
-    sums = el.groupBy(label, "_k").agg(F.sum(F.col("_v").cast("double")).alias("_s"),
-                                       F.sum(F.col("_v").cast("double") ** 2).alias("_q"))
-    stats = (sums.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("_k", "_s"))).alias("_S"),
-                                     F.sum("_q").alias("q"))
-             .join(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label)
-             .select(label, "n", "q", F.transform("_S", lambda x: x["_s"]).alias("s")))
-    rows = stats.limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
-        raise ValueError(f"more than {max_labels} labels; per-label statistics would not be bounded")
-    return rows
+def _label_stats(df: DataFrame, vec: str, label: str) -> DataFrame:
+    """(c, n, q, s): one row per label, its rows, sum of squared norms and vector sum."""
+    el = df.select(F.col(label).alias("c"), F.posexplode(vec).alias("_k", "_v")).withColumn("_v", F.col("_v").cast("double"))
+    sums = el.groupBy("c", "_k").agg(F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_q"),
+                                     F.count(F.lit(1)).alias("_n"))
+    per = sums.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("_k", "_s"))).alias("_S"),
+                                F.sum("_q").alias("q"), F.max("_n").alias("n"))
+    return per.select("c", "n", "q", F.transform("_S", lambda x: x["_s"]).alias("s"))
+
+
+def _linear_silhouette(df: DataFrame, id_col: str, vec: str, label: str, block_labels: int) -> DataFrame:
+    """Squared-Euclidean silhouette from the per-label table (see the module text)."""
+    stats = cut_lineage(_label_stats(df, vec, label))
+    n_blocks = max(1, math.ceil(stats.count() / block_labels))
+    blocks = (stats.groupBy(F.pmod(F.xxhash64("c"), F.lit(n_blocks)).alias("_block"))
+              .agg(F.collect_list(F.struct("c", "n", "q", "s")).alias("_stats"))
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    x = F.transform(F.col(vec), lambda v: v.cast("double"))
+    points = df.select(F.col(id_col).alias("_id"), F.col(label).alias("_own"), x.alias("_x"),
+                       F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v).alias("_xx"),
+                       F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("_salt"),
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("_block"))
+
+    def to_label(st):
+        dot = F.aggregate(F.zip_with(F.col("_x"), st["s"], lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        d = F.greatest(st["n"] * F.col("_xx") + st["q"] - 2 * dot, F.lit(0.0))
+        return F.struct(st["c"].alias("c"), st["n"].alias("n"), d.alias("d"))
+    met = (points.join(blocks, ["_block", "_salt"])
+           .select("_id", "_own", F.transform("_stats", to_label).alias("_d")))
+    own = F.get(F.filter("_d", lambda t: t["c"] == F.col("_own")), 0)
+    other = F.filter("_d", lambda t: t["c"] != F.col("_own"))
+    per = met.select("_id", "_own", own.alias("_o"), F.array_min(F.transform(other, lambda t: t["d"] / t["n"])).alias("_b"))
+    one = per.groupBy("_id", "_own").agg(F.max("_o.n").alias("_n"), F.max("_o.d").alias("_d"), F.min("_b").alias("_b"))
+    return one.select(F.col("_id").alias(id_col), F.col("_own").alias(label),
+                      _score(F.col("_n"), F.col("_d"), F.col("_b")).alias("score"))
 
 
 def _score(n_own, d_own, b):
@@ -69,26 +93,10 @@ def _finish(id_col: str, label: str, sums: DataFrame) -> DataFrame:
 
 
 def silhouette_samples(df: DataFrame, id_col: str, vec: str, label: str, metric: str = "euclidean",
-                       block_rows: int = 2048, max_labels: int = MAX_LABELS) -> DataFrame:
-    """(id, label, score) per sample. Singleton label -> 0; needs two or more labels."""
+                       block_rows: int = 2048, block_labels: int = 256) -> DataFrame:
+    """(id, label, score) per sample; ``id_col`` is unique. Singleton label -> 0; needs two or more labels."""
     if metric == "sqeuclidean":
-        rows = _label_stats(df, vec, label, max_labels)
-        lit = F.array(*[F.struct(F.lit(r[label]).alias("c"), F.lit(r["n"]).cast("long").alias("n"),
-                                 F.lit(float(r["q"])).alias("q"),
-                                 F.array(*[F.lit(float(v)) for v in r["s"]]).alias("s")) for r in rows])
-        x = F.transform(F.col(vec), lambda v: v.cast("double"))
-        xx = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v)
-        per_c = F.transform(lit, lambda st: F.struct(
-            st["c"].alias("_c"), st["n"].alias("_n"),
-            (st["n"] * xx + st["q"] - 2 * F.aggregate(F.zip_with(x, st["s"], lambda a, b: a * b),
-                                                       F.lit(0.0), lambda acc, v: acc + v)).alias("_d")))
-        # everything per row: no shuffle
-        arr = F.col("_pc")
-        own = F.element_at(F.filter(arr, lambda st: st["_c"] == F.col(label)), 1)
-        b = F.array_min(F.transform(F.filter(arr, lambda st: (st["_c"] != F.col(label)) & (st["_n"] > 0)),
-                                    lambda st: st["_d"] / st["_n"]))
-        return (df.select(id_col, label, per_c.alias("_pc"))
-                .select(id_col, label, _score(own["_n"], own["_d"], b).alias("score")))
+        return _linear_silhouette(df, id_col, vec, label, block_labels)
     if metric != "euclidean":
         raise ValueError("metric must be 'euclidean' or 'sqeuclidean'")
     n = df.count()

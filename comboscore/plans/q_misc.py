@@ -157,7 +157,7 @@ def q_union_all(spark, sf):
 
 VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 SIL = VEC + """,
-dd AS (SELECT a.vec_id, a.label, b.label AS c, sum(list_distance(a.x, b.x)) AS s, count(*) AS n
+dd AS (SELECT a.vec_id, a.label, b.label AS c, sum(list_distance(a.x, b.x) * list_distance(a.x, b.x)) AS s, count(*) AS n
        FROM v a, v b GROUP BY a.vec_id, a.label, b.label),
 own AS (SELECT vec_id, label, s / (n - 1) AS a, n FROM dd WHERE c = label),
 oth AS (SELECT vec_id, min(s / n) AS b FROM dd WHERE c <> label GROUP BY vec_id),
@@ -167,26 +167,30 @@ sil AS (SELECT own.vec_id, own.label,
         FROM own JOIN oth ON oth.vec_id = own.vec_id)"""
 
 
+# squared Euclidean distance: the one with a linear closed form
+METRIC = "sqeuclidean"
+
+
 def _vectors(spark, sf):
     return fx.table(spark, sf, "embeddings")
 
 
 @register("silhouette_samples", sql=O.with_ctes(SIL, select="SELECT vec_id, label, score FROM sil"))
 def q_silhouette_samples(spark, sf):
-    return V.silhouette_samples(_vectors(spark, sf), "vec_id", "embedding", "label")
+    return V.silhouette_samples(_vectors(spark, sf), "vec_id", "embedding", "label", metric=METRIC)
 
 
 @register("silhouette_by_label", sql=O.with_ctes(SIL, select="SELECT label, avg(score) AS label_avg FROM sil GROUP BY label"))
 def q_silhouette_by_label(spark, sf):
-    s = V.silhouette_samples(_vectors(spark, sf), "vec_id", "embedding", "label")
+    s = V.silhouette_samples(_vectors(spark, sf), "vec_id", "embedding", "label", metric=METRIC)
     return s.groupBy("label").agg(F.avg("score").alias("label_avg"))
 
 
 @register("silhouette_points", sql=O.with_ctes(SIL, select="""
 SELECT vec_id, label, score, avg(score) OVER (PARTITION BY label) AS label_avg FROM sil"""))
 def q_silhouette_points(spark, sf):
-    return V.silhouette(_vectors(spark, sf), "vec_id", "embedding", "label").select("vec_id", "label", "score",
-                                                                                     "label_avg")
+    s = V.silhouette(_vectors(spark, sf), "vec_id", "embedding", "label", metric=METRIC)
+    return s.select("vec_id", "label", "score", "label_avg")
 
 
 @register("silhouette_sqeuclidean", sql=O.with_ctes(VEC, select="""

@@ -72,12 +72,25 @@ def test_silhouette_matches_brute_force(spark, metric):
     df = spark.createDataFrame([(i, x[i].tolist(), int(labels[i])) for i in range(60)],
                                "vid int, v array<float>, lab int")
     got = {r.vid: r.score for r in V.silhouette_samples(df, "vid", "v", "lab", metric=metric,
-                                                        block_rows=16).collect()}
+                                                        block_rows=16, block_labels=2).collect()}
     want = silhouette_brute(x.astype(np.float64), labels, sq=(metric == "sqeuclidean"))
     assert np.allclose([got[i] for i in range(60)], want, atol=1e-9)
     assert got[59] == 0.0
 
 
+def test_linear_silhouette_with_many_labels(spark):
+    """More labels than any former limit: statistics are a table, in several blocks."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 3))
+    labels = np.arange(2400) % 1200
+    df = spark.createDataFrame([(i, x[i].tolist(), int(labels[i])) for i in range(2400)],
+                               "vid int, v array<double>, lab int")
+    got = {r.vid: r.score for r in V.silhouette_samples(df, "vid", "v", "lab", metric="sqeuclidean").collect()}
+    assert len(got) == 2400
+    want = silhouette_brute(x, labels, sq=True)
+    assert np.allclose([got[i] for i in range(2400)], want, atol=1e-7)
+
+
 def test_mean_pool(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [5.0, 5.0])], "k int, v array<double>")
     assert {r.k: r.v for r in V.mean_pool(df, "k", "v").collect()} == {1: [2.0, 4.0], 2: [5.0, 5.0]}

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from comboscore.operators.evaluation import classification_report
-from comboscore.operators.textmetrics import corpus_bleu, lcs_length, rouge, rouge_scores
+from comboscore.operators.textmetrics import bleu_row_counts, corpus_bleu, lcs_length, rouge
 
 
 def lcs_brute(a, b):
@@ -26,13 +26,39 @@ def test_lcs_matches_textbook_dp():
         assert lcs_length(a, b) == lcs_brute(a, b)
 
 
-def test_rouge_hand_example():
-    ref = "the cat sat on the mat".split()
-    cand = "the cat on the mat".split()
-    p1, r1, f1, pl, rl, fl = rouge_scores(ref, cand)
-    assert (p1, r1) == (1.0, 5 / 6) and f1 == pytest.approx(10 / 11)
-    assert (pl, rl) == (1.0, 5 / 6)
-    assert rouge_scores([], ["a"]) == (0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+def prf(hit, n_cand, n_ref):
+    p = hit / n_cand if n_cand else 0.0
+    r = hit / n_ref if n_ref else 0.0
+    return p, r, 2 * p * r / (p + r) if p + r else 0.0
+
+
+def test_rouge_hand_example(spark):
+    df = spark.createDataFrame([(1, "the cat sat on the mat", "the cat on the mat"), (2, "", "a"), (3, None, "a"),
+                                (4, "a", None)], "k int, ref string, cand string")
+    got = {r.k: tuple(r)[3:] for r in rouge(df, "ref", "cand").collect()}
+    assert got[1] == pytest.approx((1.0, 5 / 6, 10 / 11) * 2)
+    assert got[2] == got[3] == got[4] == (0.0,) * 6
+    with pytest.raises(ValueError):
+        rouge(df, "ref", "cand", kinds=("rouge2",))
+
+
+def test_rouge_and_bleu_counts_match_brute_force(spark):
+    rnd = random.Random(5)
+    texts = [(i, " ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 30))),
+              " ".join(rnd.choice("abcde") for _ in range(rnd.randint(0, 30)))) for i in range(200)]
+    df = spark.createDataFrame(texts, "k int, ref string, cand string")
+    counts = bleu_row_counts(rouge(df, "ref", "cand"), "ref", "cand")
+    assert "ArrowEvalPython" not in bleu_row_counts(rouge(df, "ref", "cand", kinds=("rouge1",)), "ref", "cand") \
+        ._jdf.queryExecution().executedPlan().toString()
+    for row in counts.collect():
+        r, c = row.ref.split(), row.cand.split()
+        hit = sum((Counter(r) & Counter(c)).values())
+        assert (row.rouge1_p, row.rouge1_r, row.rouge1_f) == pytest.approx(prf(hit, len(c), len(r)))
+        assert (row.rougeL_p, row.rougeL_r, row.rougeL_f) == pytest.approx(prf(lcs_brute(r, c), len(c), len(r)))
+        grams = [[Counter(tuple(t[i:i + n]) for i in range(len(t) - n + 1)) for t in (r, c)] for n in range(1, 5)]
+        assert list(row.clipped) == [sum((a & b).values()) for a, b in grams]
+        assert list(row.total) == [max(1, sum(b.values())) for _, b in grams]
+        assert (row.hyp_len, row.ref_len) == (len(c), len(r))
 
 
 def test_rouge_in_spark(spark):
