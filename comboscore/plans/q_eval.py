@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from comboscore.functions import text as T
 from comboscore.operators.evaluation import classification_report, metric_report, value_counts
+from comboscore.operators.evaluator import Evaluator, evaluate, paired
 from comboscore.operators.ordinal import (align, batches, contiguous_split, head, pad_length, random_split,
                                           slice_rows, tail, with_ordinal)
 from comboscore.operators.textmetrics import bleu_row_counts, corpus_bleu, rouge
@@ -180,8 +181,7 @@ def q_sort_desc_counts(spark, sf):
 
 # --------------------------------------------------------------------- ROUGE / BLEU over conversation turns
 
-_RT = O.with_ctes(O.TURNS, select=r"""
-, rt AS (
+_ROUGE1 = r""", rt AS (
   SELECT conv_id, turn,
     list_filter(string_split(regexp_replace(lower(ref_text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS r,
     list_filter(string_split(regexp_replace(lower(cand_text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS c
@@ -196,24 +196,26 @@ r1 AS (
 r1p AS (SELECT conv_id, turn, CASE WHEN nc > 0 THEN h / nc ELSE 0.0 END AS p,
                CASE WHEN nr > 0 THEN h / nr ELSE 0.0 END AS r FROM r1),
 r1f AS (SELECT conv_id, turn, p AS rouge1_p, r AS rouge1_r,
-               CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS rouge1_f FROM r1p)""")
+               CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS rouge1_f FROM r1p)"""
+_RT = O.with_ctes(O.TURNS, select=_ROUGE1)
 
 
 @register("rouge1", sql=_RT + "\nSELECT conv_id, turn, rouge1_p, rouge1_r, rouge1_f FROM r1f")
 def q_rouge1(spark, sf):
-    return rouge(L.turns(spark, sf), "ref_text", "cand_text").select("conv_id", "turn", "rouge1_p", "rouge1_r",
-                                                                     "rouge1_f")
+    r = rouge(L.turns(spark, sf), "ref_text", "cand_text", kinds=("rouge1",))
+    return r.select("conv_id", "turn", "rouge1_p", "rouge1_r", "rouge1_f")
 
 
 @register("rouge_mean", sql=_RT + "\nSELECT avg(rouge1_f) AS rouge1_f FROM r1f")
 def q_rouge_mean(spark, sf):
-    return rouge(L.turns(spark, sf), "ref_text", "cand_text").agg(F.avg("rouge1_f").alias("rouge1_f"))
+    r = rouge(L.turns(spark, sf), "ref_text", "cand_text", kinds=("rouge1",))
+    return r.agg(F.avg("rouge1_f").alias("rouge1_f"))
 
 
 @register("rougeL", note="LCS per row; checked against a brute-force DP in tests (no SQL twin)")
 def q_rougeL(spark, sf):
-    return rouge(L.turns(spark, sf), "ref_text", "cand_text").select("conv_id", "turn", "rougeL_p", "rougeL_r",
-                                                                     "rougeL_f")
+    r = rouge(L.turns(spark, sf), "ref_text", "cand_text", kinds=("rougeL",))
+    return r.select("conv_id", "turn", "rougeL_p", "rougeL_r", "rougeL_f")
 
 
 @register("rouge_stemmed", note="Porter-stemmed ROUGE-1/L per turn (the reference's setting); no SQL twin")
@@ -230,10 +232,11 @@ def q_rouge_mean_stemmed(spark, sf):
 
 @register("rougeL_mean", note="mean LCS F over all turns; brute-force checked in tests")
 def q_rougeL_mean(spark, sf):
-    return rouge(L.turns(spark, sf), "ref_text", "cand_text").agg(F.avg("rougeL_f").alias("rougeL_f"))
+    r = rouge(L.turns(spark, sf), "ref_text", "cand_text", kinds=("rougeL",))
+    return r.agg(F.avg("rougeL_f").alias("rougeL_f"))
 
 
-def _bleu_ctes() -> str:
+def _bleu_ctes(*source: str) -> str:
     ws = r"list_filter(string_split_regex({t}, '\s+'), lambda x: x <> '')"
     grams = []
     for n in range(1, 5):
@@ -242,7 +245,7 @@ def _bleu_ctes() -> str:
   SELECT conv_id, turn, side, {n} AS n, unnest({g}) AS gram
   FROM tk)""")
     body = ",\n".join(grams)
-    return O.with_ctes(O.TURNS, select=f"""
+    return O.with_ctes(*(source or (O.TURNS,)), select=f"""
 , tk AS (
   SELECT conv_id, turn, 'r' AS side, {ws.format(t='ref_text')} AS tok FROM turns
   UNION ALL SELECT conv_id, turn, 'c', {ws.format(t='cand_text')} FROM turns),
@@ -280,12 +283,12 @@ def q_bleu_formula(spark, sf):
                      *[F.col("total")[k].alias(f"total_{k + 1}") for k in range(4)], "hyp_len", "ref_len")
 
 
-def _bleu_final_sql() -> str:
+def _bleu_final_sql(*source: str) -> str:
     def p(k):
         return (f"CASE WHEN c{k} = 0 THEN 0.1 / CAST(t{k} AS DOUBLE) "
                 f"ELSE CAST(c{k} AS DOUBLE) / CAST(t{k} AS DOUBLE) END")
     logp = " + ".join(f"ln({p(k)}) / 4" for k in range(1, 5))
-    return _bleu_ctes() + f"""
+    return _bleu_ctes(*source) + f"""
 , tot AS (SELECT CAST(sum(c1) AS BIGINT) AS c1, CAST(sum(c2) AS BIGINT) AS c2, CAST(sum(c3) AS BIGINT) AS c3,
                  CAST(sum(c4) AS BIGINT) AS c4, CAST(sum(t1) AS BIGINT) AS t1, CAST(sum(t2) AS BIGINT) AS t2,
                  CAST(sum(t3) AS BIGINT) AS t3, CAST(sum(t4) AS BIGINT) AS t4,
@@ -303,6 +306,69 @@ def q_corpus_bleu(spark, sf):
     return corpus_bleu(L.turns(spark, sf), "ref_text", "cand_text")
 
 
+# --------------------------------------------------------------------- whole evaluators over prompts and answers
+
+FULL_ROWS = O.FULL + (O.RESPONSES,)
+LABEL_EVALUATOR = Evaluator()
+TEXT_EVALUATOR = Evaluator(truth="prompt", first_n=1001, strip_first=True, rouge_on="response")
+
+
+def _answers(d):
+    """Answers of every combination but the pairs (a shorter table, so positions drift); every
+    second one starts with a line of its own."""
+    text = F.when(F.col("combo_id") % 2 == 0, F.concat(F.lit("Answer\n"), F.col("response"))).otherwise(F.col("response"))
+    return d.responses.where(F.col("k") >= 3).select("combo_id", text.alias("response"))
+
+
+def _evaluated(spark, sf, how, **options):
+    d = L.Derived(spark, sf)
+    return evaluate(paired(d.final, _answers(d), "combo_id", "combo_id", "response", how), **options)
+
+
+def _evaluator_sql(how: Evaluator) -> str:
+    body = "CASE WHEN combo_id % 2 = 0 THEN 'Answer' || chr(10) || response ELSE response END"
+    text = "substr(response, strpos(response, chr(10)) + 1)" if how.strip_first else "response"
+    limit = f"WHERE fo.ordinal < {how.first_n}" if how.first_n is not None else ""
+    rows = f"""ans AS (SELECT resp.combo_id, {body} AS response FROM resp JOIN combo_ids USING (combo_id) WHERE k >= 3),
+fo AS (SELECT {how.truth} AS truth_text, {how.reference} AS reference, row_number() OVER (ORDER BY combo_id) - 1 AS ordinal
+       FROM fin),
+ro AS (SELECT {text} AS response, row_number() OVER (ORDER BY combo_id) - 1 AS ordinal FROM ans),
+pe AS MATERIALIZED (SELECT fo.ordinal, fo.reference, ro.response, {O.kw("fo.truth_text")} AS truth, {O.kw("ro.response")} AS pred
+       FROM fo JOIN ro ON ro.ordinal = fo.ordinal {limit})"""
+
+    def turns(candidate):
+        return f"turns AS (SELECT ordinal AS conv_id, 0 AS turn, reference AS ref_text, {candidate} AS cand_text FROM pe)"
+    labels = O.with_ctes("ev AS (SELECT truth, pred FROM pe)", select=PRF_SQL + "\nSELECT * FROM rep")
+    r1 = O.with_ctes(turns("pred" if how.rouge_on == "label" else "response"),
+                     select=_ROUGE1 + "\nSELECT coalesce(avg(rouge1_f), 0.0) AS rouge1 FROM r1f")
+    parts = [f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS value, 2 AS digits FROM labels"
+             for m in ("accuracy", "precision", "recall", "f1")]
+    parts += [f"SELECT '{m}', CAST({m} AS DOUBLE), 0 FROM labels" for m in ("tp", "tn", "fp", "fn")]
+    parts += ["SELECT 'rouge1', rouge1, 4 FROM r1", "SELECT 'bleu', bleu, 4 FROM bl"]
+    one_row = [f"labels AS MATERIALIZED ({labels})", f"r1 AS MATERIALIZED ({r1})",
+               f"bl AS MATERIALIZED ({_bleu_final_sql(turns('response'))})", f"rp AS ({' UNION ALL '.join(parts)})"]
+    return O.with_ctes(*FULL_ROWS, rows, *one_row, select="""
+SELECT metric, value, digits, CASE digits WHEN 0 THEN printf('%.0f', value) WHEN 2 THEN printf('%.2f', value)
+       ELSE printf('%.4f', value) END AS text FROM rp""")
+
+
+@register("evaluate_labels", sql=_evaluator_sql(LABEL_EVALUATOR),
+          note="truth from the label column, ROUGE on the label word, BLEU on the whole answer")
+def q_evaluate_labels(spark, sf):
+    return _evaluated(spark, sf, LABEL_EVALUATOR, kinds=("rouge1",), stem=False)
+
+
+@register("evaluate_texts", sql=_evaluator_sql(TEXT_EVALUATOR),
+          note="truth from the prompt, first line of an answer dropped, first 1,001 positions")
+def q_evaluate_texts(spark, sf):
+    return _evaluated(spark, sf, TEXT_EVALUATOR, kinds=("rouge1",), stem=False)
+
+
+@register("evaluate_labels_stemmed", note="the full report with stemmed ROUGE-1 and ROUGE-L; no SQL twin")
+def q_evaluate_labels_stemmed(spark, sf):
+    return _evaluated(spark, sf, LABEL_EVALUATOR)
+
+
 # --------------------------------------------------------------------- streaming form of a row-local operator
 
 @register("stream_keyword_label", sql=O.with_ctes(*EV, select=f"""
