@@ -3,7 +3,7 @@
 Every public operator is a function ``DataFrame -> DataFrame`` or ``Column -> Column``
 built from the DataFrame / SQL API, so Catalyst plans the whole chain and Spark
 distributes it. Python only runs inside Arrow-batched pandas UDFs where Spark has no
-built-in (longest common subsequence, n-gram overlap counting, silhouette blocks).
+built-in (longest common subsequence, stemming, exact-Euclidean silhouette blocks).
 """
 
 from comboscore.session import get_spark, checkpoint_dir
