@@ -2,22 +2,31 @@
 
 Statistics of every whole text are counted with numpy over Arrow batches. Each (language,
 source) group then gets a minimum-covariance-determinant estimate of centre and scatter of the
-transformed statistics: start from medians and interquartile ranges, and repeat concentration
-steps (keep the ``SHARE`` of rows with the smallest Mahalanobis distance, estimate mean and
-covariance anew). A document whose squared distance is over ``CUT`` is rejected.
+transformed statistics: from three starts (medians and median deviations; the same scaled by the
+covariance of spatial signs; and of tanh scores), concentration steps (keep the ``SHARE`` of rows
+with the smallest Mahalanobis distance, estimate mean and covariance anew) go on until the
+determinant falls no further, the smallest determinant of all wins, and one reweighting step
+takes mean and covariance of the rows within ``NEAR`` of it. Just under half of a group's rows
+may be anything, a pile of copies included. A document whose squared distance is over ``CUT``
+is rejected.
+
+Groups of fewer than ``LEAST`` rows that pass the base rule have no estimate yet and keep them.
 
 All steps are aggregates over all rows: the distance that bounds the nearest ``SHARE`` comes
-from counts per logarithmic distance bin, so a group of any size is never collected, and the
-estimates are joined back as a table with one row per group. ``FLOOR`` is added to the scatter,
+from moments per logarithmic distance bin, so a group of any size is never collected, and the
+estimates are joined back as a table with a few rows per group. ``FLOOR`` is added to the scatter,
 so that statistics which hardly vary in a group don't make a small difference an outlier.
 
 Defined results: a null text has no words (the base rule rejects it); null language or source
-is a group of its own; groups of fewer than ``LEAST`` rows that pass the base rule have no
-estimate and keep them; other columns are ignored.
+is a group of its own; the distance is null without an estimate;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,11 +35,14 @@ from pyspark.sql import functions as F
 from comboscore.llm import columnar as C
 from comboscore.session import cut_lineage
 
-SHARE, LEAST, STEPS = 0.75, 30, 4
+SHARE, LEAST = 0.5, 30
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
 FLOOR = (0.6, 0.10, 0.15, 0.08, 0.08)            # least standard deviation of each feature
 CUT = 30.0                                       # squared distance, five features
 BINS = 16                                        # distance bins per factor of e
+NEAR_SHARE, NEAR = 0.975, 12.8325                # reweighting: this quantile of chi-squared, five features
+FALL = 1e-3                                      # least fall of the log determinant that is worth another step
+KEY = ["level", "g_lang", "g_source"]            # 2: (language, source), 1: language, 0: whole table
 COUNTS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 _SYMBOL = np.zeros(256, bool)
@@ -95,77 +107,154 @@ def transformed() -> list[Column]:
             F.sqrt(F.col("n_repeat_words") / words).alias("f_repeats")]
 
 
-def _estimate(batches):
-    """Inverse scatter from moments, one group a row."""
-    p = len(FEATURES)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+P = len(FEATURES)
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+ESTIMATE = ", ".join(["level int, g_lang string, g_source string, start int", *(f"m{i} double" for i in range(P)),
+                      *(f"w{i}{j} double" for i, j in PAIRS), "logdet double, moving boolean"])
+
+
+def _chi2(x: float, dof: int) -> float:
+    """Distribution function of chi-squared, odd ``dof``."""
+    out = math.erf(math.sqrt(x / 2))
+    for k in range(1, dof, 2):
+        out -= (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1)
+    return out
+
+
+def consistency(share: float) -> float:
+    """What scales the scatter of the nearest ``share`` of a normal group up to the whole group's."""
+    if share >= 1 - 1e-9:
+        return 1.0
+    low, high = 0.0, 100.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi2(middle, P) < share else (low, middle)
+    return share / _chi2(high, P + 2)
+
+
+def _matrix(row, name: str) -> np.ndarray:
+    out = np.zeros((P, P))
+    for i, j in PAIRS:
+        out[i, j] = out[j, i] = row[f"{name}{i}{j}"]
+    return out
+
+
+def _batch(rows):
+    """Estimates (key, start, centre, scatter, log determinant, moving) as a batch with inverse scatters."""
+    out = []
+    for key, start, m, scatter, logdet, moving in rows:
+        w = np.linalg.inv(scatter)
+        out.append([*key, start, *m, *(w[i, j] * (2 if i != j else 1) for i, j in PAIRS), logdet, moving])
+    cols = list(zip(*out)) if out else [[] for _ in range(6 + P + len(PAIRS))]
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), *[pa.float64()] * (P + len(PAIRS) + 1), pa.bool_()]
+    names = [*KEY, "start", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS), "logdet", "moving"]
+    return pa.record_batch([pa.array(list(map(float, c)) if k == pa.float64() else c, k) for c, k in zip(cols, kinds)], names=names)
+
+
+def _starts(batches):
+    """Three first estimates of a group from its medians, scales and the moments of its scores."""
     for batch in batches:
-        rows = batch.to_pylist()
         out = []
-        for r in rows:
-            m = np.array([r[f"m{i}"] for i in range(p)])
-            s = np.zeros((p, p))
-            for i, j in pairs:
-                s[i, j] = s[j, i] = r[f"s{i}{j}"] - m[i] * m[j]
-            # the kept share is the core only: scale its scatter up to the whole of a normal group
-            inverse = np.linalg.inv(s * r["scale"] + np.diag(np.square(FLOOR)))
-            out.append([r["lang"], r["source"], *m, *(inverse[i, j] * (2 if i != j else 1) for i, j in pairs)])
-        cols = list(zip(*out)) if out else [[] for _ in range(2 + p + len(pairs))]
-        yield pa.record_batch([pa.array(c, pa.string() if k < 2 else pa.float64()) for k, c in enumerate(cols)],
-                              names=["lang", "source", *(f"m{i}" for i in range(p)), *(f"w{i}{j}" for i, j in pairs)])
+        for r in batch.to_pylist():
+            m, d = [r[f"m{i}"] for i in range(P)], np.diag([r[f"d{i}"] for i in range(P)])
+            key = [r[k] for k in KEY]
+            for start, scores in enumerate((np.eye(P), P * _matrix(r, "u"), _matrix(r, "t"))):
+                out.append((key, start, m, d @ (scores + 0.01 * np.eye(P)) @ d, math.inf, True))
+        yield _batch(out)
+
+
+def _estimate(share: float | None):
+    """Estimates from the moments of the core about the former centre; ``share``: the core's, if fixed."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                shift = np.array([r[f"d{i}"] for i in range(P)]) / r["n"]
+                s = _matrix(r, "s") / r["n"] - np.outer(shift, shift)
+                # the kept rows are the core only: scale their scatter up to the whole of a normal group
+                scatter = s * consistency(share or r["n"] / r["of"]) + np.diag(np.square(FLOOR))
+                logdet = float(np.linalg.slogdet(scatter)[1])
+                out.append(([r[k] for k in KEY], r["start"], np.array([r[f"m{i}"] for i in range(P)]) + shift, scatter,
+                            logdet, logdet < r["before"] - FALL))
+            yield _batch(out)
+    return run
 
 
 def _distance() -> Column:
-    p = len(FEATURES)
     dev = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
-    terms = [F.col(f"w{i}{j}") * dev[i] * dev[j] for i in range(p) for j in range(i, p)]
+    terms = [F.col(f"w{i}{j}") * dev[i] * dev[j] for i, j in PAIRS]
     return F.greatest(sum(terms[1:], terms[0]), F.lit(1e-9))
 
 
-def _moments(rows: DataFrame, scale: float) -> DataFrame:
-    """Estimates from the means and products of the rows of each group."""
-    p = len(FEATURES)
-    means = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]
-    products = [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}{j}") for i in range(p) for j in range(i, p)]
-    out = ", ".join(["lang string", "source string", *(f"m{i} double" for i in range(p)),
-                     *(f"w{i}{j} double" for i in range(p) for j in range(i, p))])
-    return (rows.groupBy("lang", "source").agg(*means, *products).withColumn("scale", F.lit(scale))
-            .mapInArrow(_estimate, out))
+def _moments() -> list[Column]:
+    dev = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
+    return [F.count(F.lit(1)).alias("n"), F.max("logdet").alias("before"), *(F.max(f"m{i}").alias(f"m{i}") for i in range(P)),
+            *(F.sum(x).alias(f"d{i}") for i, x in enumerate(dev)), *(F.sum(dev[i] * dev[j]).alias(f"s{i}{j}") for i, j in PAIRS)]
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    middle = lambda x: F.percentile_approx(x, 0.5, 1000)
+    medians = cut_lineage(rows.groupBy(*KEY).agg(*(middle(f).alias(f"m{i}") for i, f in enumerate(FEATURES))))
+    scale = [F.sqrt(F.pow(1.4826 * middle(F.abs(F.col(f) - F.col(f"m{i}"))), 2) + FLOOR[i] ** 2).alias(f"d{i}")
+             for i, f in enumerate(FEATURES)]
+    scales = cut_lineage(rows.join(medians, KEY).groupBy(*KEY, *(f"m{i}" for i in range(P))).agg(*scale))
+    z = rows.join(scales, KEY).select(*KEY, *(((F.col(f) - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i, f in enumerate(FEATURES)))
+    square = F.greatest(reduce(lambda a, b: a + b, (F.col(f"z{i}") * F.col(f"z{i}") for i in range(P))), F.lit(1e-12))
+    signs = [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / square).alias(f"u{i}{j}") for i, j in PAIRS]
+    tanhs = [F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}{j}") for i, j in PAIRS]
+    return scales.join(z.groupBy(*KEY).agg(*signs, *tanhs), KEY).mapInArrow(_starts, ESTIMATE)
+
+
+def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """One step of every estimate: the bins up to the one that holds the SHARE-th nearest row are the core."""
+    one = [*KEY, "start"]
+    bins = (rows.join(estimate, KEY).withColumn("bin", F.floor(F.log(_distance()) * BINS))
+            .groupBy(*one, "bin").agg(*_moments()))
+    by = Window.partitionBy(*one)
+    core = (bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("of", F.sum("n").over(by))
+            .where(F.col("upto") - F.col("n") < F.col("of") * SHARE))
+    total = [F.sum(c).alias(c) for c in ["n", *(f"d{i}" for i in range(P)), *(f"s{i}{j}" for i, j in PAIRS)]]
+    same = [F.max(c).alias(c) for c in ["of", "before", *(f"m{i}" for i in range(P))]]
+    return core.groupBy(*one).agg(*total, *same).mapInArrow(_estimate(None), ESTIMATE)
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """Centre and inverse scatter of each (lang, source); ``rows`` hold the features."""
-    p = len(FEATURES)
-    quartiles = [F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}")
-                 for i, f in enumerate(FEATURES)]
-    start = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= LEAST)
-    inverse = [(1 / (F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOOR[i] ** 2)).alias(f"w{i}{i}") for i in range(p)]
-    zero = [F.lit(0.0).alias(f"w{i}{j}") for i in range(p) for j in range(i + 1, p)]
-    estimate = start.select("lang", "source", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)), *inverse, *zero)
-    for step in range(STEPS):
-        estimate = cut_lineage(estimate)
-        # BINS per factor of e; the bin that holds the SHARE-th nearest row ends the core
-        near = rows.join(estimate, ["lang", "source"]).withColumn("bin", F.floor(F.log(_distance()) * BINS)).select(
-            "lang", "source", "bin", *FEATURES)
-        counts = near.groupBy("lang", "source", "bin").agg(F.count(F.lit(1)).alias("n"))
-        by = Window.partitionBy("lang", "source")
-        upto = F.sum("n").over(by.orderBy("bin"))
-        edge = (counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(by))
-                .where(F.col("upto") >= F.col("all") * SHARE).groupBy("lang", "source").agg(F.min("bin").alias("edge")))
-        core = near.join(edge, ["lang", "source"]).where("bin <= edge")
-        estimate = _moments(core, 1.0 / (0.55 + 0.45 * (SHARE - 0.5) * 2))
-    return cut_lineage(estimate)
+    """Centre and inverse scatter of each key; ``rows`` hold the key and the features."""
+    steps = [cut_lineage(_first(rows))]
+    while not (moving := steps[-1].where("moving")).isEmpty():
+        # each step lowers a determinant that FLOOR bounds from below, so this ends
+        steps.append(cut_lineage(_concentrate(rows, moving)))
+    best = Window.partitionBy(*KEY).orderBy("logdet", "start")
+    raw = (reduce(DataFrame.unionByName, steps).withColumn("place", F.row_number().over(best))
+           .where("place = 1").drop("place"))
+    near = rows.join(cut_lineage(raw), KEY).where(_distance() <= NEAR)
+    return cut_lineage(near.groupBy(*KEY, "start").agg(*_moments()).mapInArrow(_estimate(NEAR_SHARE), ESTIMATE))
+
+
+def _with_keys(groups: DataFrame) -> DataFrame:
+    """(lang, source) and the key of the estimate that judges it: its own, its language's or the table's."""
+    languages = groups.groupBy("lang").agg(F.sum("n").alias("of_lang"))
+    level = F.when(F.col("n") >= LEAST, 2).when(F.col("of_lang") >= LEAST, 1).otherwise(0)
+    return groups.join(languages, "lang").select("lang", "source", level.alias("level")).where("level = 2").select(
+        "lang", "source", "level", F.when(F.col("level") > 0, F.col("lang")).otherwise("").alias("g_lang"),
+        F.when(F.col("level") > 1, F.col("source")).otherwise("").alias("g_source"))
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   source_col: str = "source", cut: float = CUT) -> DataFrame:
-    """One row per document: the counts, base_failed, distance (squared, null without an estimate), kept."""
+    """One row per document: the counts, base_failed, distance (squared), kept."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                         F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     counts = cut_lineage(texts.mapInArrow(text_counts, COUNTS).withColumn("base_failed", base).select("*", *transformed()))
-    estimate = robust_estimates(counts.where("not base_failed").select("lang", "source", *FEATURES))
-    out = counts.join(estimate, ["lang", "source"], "left").withColumn("distance", _distance())
+    keys = cut_lineage(_with_keys(counts.groupBy("lang", "source").agg(F.sum((~F.col("base_failed")).cast("long")).alias("n"))))
+    # a row counts for its group, its language and the table, where that key judges anything
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), (F.col("lang") if k > 0 else F.lit("")).alias("g_lang"),
+                                (F.col("source") if k > 1 else F.lit("")).alias("g_source")) for k in (2, 1, 0)))
+    rows = counts.where("not base_failed").select(F.explode(levels).alias("key"), *FEATURES).select("key.*", *FEATURES)
+    rows = rows.join(keys.select(*KEY).distinct(), KEY)
+    estimate = robust_estimates(rows).drop("start", "logdet", "moving")
+    out = counts.join(keys, ["lang", "source"], "left").join(estimate, KEY, "left").withColumn("distance", _distance())
     return out.withColumn("distance", F.when(F.col("w00").isNotNull(), F.col("distance"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)).alias("kept"))

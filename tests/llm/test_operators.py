@@ -130,6 +130,19 @@ def test_quality_counts_and_outliers(spark, rows):
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in got)
 
 
+def prose(rng, least=60, most=140):
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(rng.randint(least, most)))
+
+
+def test_quality_rejects_a_third_of_copies(spark):
+    rng = random.Random(6)
+    copy = " ".join(prose(rng, 1, 1) + "|#$" for _ in range(2000))            # 2,000 words, 6,000 symbols
+    rows = [(i, prose(rng)) for i in range(132)] + [(1000 + i, copy) for i in range(68)]
+    got = {r.doc_id: r for r in quality.score_quality(frame(spark, rows).withColumn("lang", F.lit("en"))).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[i].kept == (i < 1000) for i in got)
+
+
 def token_ids(texts):
     import public_tokenizers as P
     from tokenizers import Tokenizer
