@@ -10,7 +10,8 @@ takes mean and covariance of the rows within ``NEAR`` of it. Just under half of
 may be anything, a pile of copies included. A document whose squared distance is over ``CUT``
 is rejected.
 
-Groups of fewer than ``LEAST`` rows that pass the base rule have no estimate yet and keep them.
+A group of fewer than ``LEAST`` rows that pass the base rule is judged by the estimate of its
+language, and a language of fewer by that of the whole table, so every row gets a distance.
 
 All steps are aggregates over all rows: the distance that bounds the nearest ``SHARE`` comes
 from moments per logarithmic distance bin, so a group of any size is never collected, and the
@@ -18,7 +19,7 @@ estimates are joined back as a table with a few rows per group. ``FLOOR`` is add
 so that statistics which hardly vary in a group don't make a small difference an outlier.
 
 Defined results: a null text has no words (the base rule rejects it); null language or source
-is a group of its own; the distance is null without an estimate;
+is a group of its own; the distance is null only if no row of the table passes the base rule;
 other columns are ignored.
 """
 
@@ -235,7 +236,7 @@ def _with_keys(groups: DataFrame) -> DataFrame:
     """(lang, source) and the key of the estimate that judges it: its own, its language's or the table's."""
     languages = groups.groupBy("lang").agg(F.sum("n").alias("of_lang"))
     level = F.when(F.col("n") >= LEAST, 2).when(F.col("of_lang") >= LEAST, 1).otherwise(0)
-    return groups.join(languages, "lang").select("lang", "source", level.alias("level")).where("level = 2").select(
+    return groups.join(languages, "lang").select("lang", "source", level.alias("level")).select(
         "lang", "source", "level", F.when(F.col("level") > 0, F.col("lang")).otherwise("").alias("g_lang"),
         F.when(F.col("level") > 1, F.col("source")).otherwise("").alias("g_source"))
 
@@ -254,7 +255,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = counts.where("not base_failed").select(F.explode(levels).alias("key"), *FEATURES).select("key.*", *FEATURES)
     rows = rows.join(keys.select(*KEY).distinct(), KEY)
     estimate = robust_estimates(rows).drop("start", "logdet", "moving")
-    out = counts.join(keys, ["lang", "source"], "left").join(estimate, KEY, "left").withColumn("distance", _distance())
+    out = counts.join(keys, ["lang", "source"]).join(estimate, KEY, "left").withColumn("distance", _distance())
     return out.withColumn("distance", F.when(F.col("w00").isNotNull(), F.col("distance"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)).alias("kept"))

@@ -143,6 +143,17 @@ def test_quality_rejects_a_third_of_copies(spark):
     assert all(got[i].kept == (i < 1000) for i in got)
 
 
+def test_quality_judges_small_groups(spark):
+    rng = random.Random(7)
+    junk = {i: i % 50 == 7 for i in range(200)}
+    rows = [(i, "".join(rng.choices("xyz", k=900)).join([" # | $ " * 5 + prose(rng)] * 2) if junk[i] else prose(rng)) for i in junk]
+    few = frame(spark, rows).withColumn("source", (F.col("doc_id") % 40).cast("string"))
+    for lang in (F.lit("en"), (F.col("doc_id") % 20).cast("string")):        # the language's estimate; the table's
+        got = {r.doc_id: r for r in quality.score_quality(few.withColumn("lang", lang)).collect()}
+        assert all(r.distance is not None for r in got.values())
+        assert all(got[i].kept != junk[i] for i in junk)
+
+
 def token_ids(texts):
     import public_tokenizers as P
     from tokenizers import Tokenizer
