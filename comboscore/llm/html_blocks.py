@@ -7,10 +7,17 @@ import re
 
 # Elements that stay inside a block; every other tag ends one.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark "
-                   "nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+                   "nobr q s samp small span strike strong sub sup time tt u var wbr "
+                   # formulas are part of their sentence
+                   "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow "
+                   "ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements whose content is no text of the page.
-RAW = frozenset("script style title noscript template textarea iframe svg math head object select".split())
+# Elements whose content is no text of the page; one that is never closed has no content.
+RAW = frozenset("script style title textarea iframe svg annotation annotation-xml".split())
+# Elements that may stand in a paragraph and count as open only if they are closed somewhere.
+CLOSED = frozenset("noscript object select template".split())
+# What may stand in a head; anything else, and text, ends it.
+HEAD = frozenset("base link meta noscript object script style template title".split())
 # An opening tag on the left ends an open element of the kinds on the right.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
         "th": {"td", "th"}, "option": {"option"}}
@@ -49,6 +56,21 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked, links = 0, 0
     at, n = 0, len(page)
+    head = False
+    ends: dict[str, tuple[int, int]] = {}
+
+    def closing_tag(tag):
+        """(begin, end) of the next closing tag; begin is ``n`` if there is none."""
+        if ends.get(tag, (-1, 0))[0] < at:
+            m = re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*>", re.I).search(page, at)
+            ends[tag] = m.span() if m else (n, n)
+        return ends[tag]
+
+    def end_head():
+        nonlocal head
+        if head:
+            stack[:] = [x for x in stack if x[0] != "head"]
+            head = False
 
     def flush():
         nonlocal parts, linked
@@ -65,6 +87,8 @@ def blocks(page: str) -> list[Block]:
         m = TAG.search(page, at)
         stop = m.start() if m else n
         if stop > at:
+            if stack and stack[-1][0] == "head" and not page[at:stop].isspace():
+                end_head()
             parts.append(page[at:stop])
             if links:
                 linked += stop - at
@@ -87,11 +111,9 @@ def blocks(page: str) -> list[Block]:
         links = 0
         if tag in RAW:
             if not closing and not (m[3] or m[6] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                else:                                   # never closed: nothing after it is text
-                    break
+                begin, end = closing_tag(tag)
+                if begin < n:                           # never closed: read on after the opening tag
+                    at = end
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
@@ -101,7 +123,11 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in VOID:
             continue
-        if stack and stack[-1][0] == "p":
+        if tag not in HEAD:                             # also a second head
+            end_head()
+        if tag in CLOSED and closing_tag(tag)[0] == n:
+            continue
+        if stack and stack[-1][0] == "p" and tag not in CLOSED:
             stack.pop()                                 # a block element ends an open paragraph
         if tag in ENDS:
             for k in range(len(stack) - 1, -1, -1):
@@ -110,6 +136,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in SCOPES:
                     break
+        head = head or tag == "head"
         stack.append((tag, names(m[3] or m[6] or "") if (m[3] or m[6]) else ()))
     flush()
     return out

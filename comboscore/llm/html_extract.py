@@ -8,13 +8,15 @@ AdaGrad rates on the exact gradient (forward and backward sums), and decoded by
 
 Labelled pages are of two kinds, both bounded: ``LAYOUTS`` pages put together here from layout
 rules (``layout_page``: articles in different containers among menus, banners, notices, forms,
-related links and reader comments), and ``SAMPLE`` pages of the input, picked by a hash of the
+related links and reader comments; select, template, noscript and object parts), and ``SAMPLE`` pages of the input, picked by a hash of the
 id, that mark their parts with elements of fixed meaning (article or main; nav, header, footer,
 aside, form). Every page is then decoded, over its whole html.
 
 Defined results: null or empty html gives an empty text; blocks are joined by \\n, white space
-inside a block (also <br>) is one blank; malformed markup is read as far as it goes; repeated
-rows and null ids are separate rows; other columns are ignored.
+inside a block (also <br>) is one blank; malformed markup is read to its end (an element that is
+never closed hides nothing); the text of script, style, title, textarea, iframe, svg and formula
+annotations is none of the page's; repeated rows and null ids are separate rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -135,6 +137,15 @@ def layout_page(seed: int) -> str:
             body.append("<table><tr>" + "".join(f"<td>{mark(_words(rng, 1, 3))}</td>" for _ in range(3)) + "</tr></table>")
         if rng.random() < 0.06:
             body.append(_named(rng, _ADS, "div aside", _sentences(rng, 1)))
+    extra = random.Random(-1 - seed)          # numbers of its own: the rest of the page stays as it is
+    if extra.random() < 0.1:
+        options = "".join(f"<option>{_words(extra, 1, 3)}</option>" for _ in range(extra.randint(2, 5)))
+        hidden = [f"<select>{options}</select>", f"<template><p>{_sentences(extra, 1)}</p></template>"]
+        body.insert(extra.randint(0, len(body)), extra.choice(hidden))
+    if extra.random() < 0.1:
+        tag = extra.choice(["noscript", "object"])
+        body.insert(extra.randint(0, len(body)), f"<{tag}><p>{mark(_sentences(extra, 2))}</p></{tag}>")
+    notice = f"<noscript>{_sentences(extra, 1)}</noscript>" if extra.random() < 0.1 else ""
     inner = "".join(body)
     way = rng.random()
     if way < 0.4:
@@ -159,7 +170,7 @@ def layout_page(seed: int) -> str:
     end = [x for x in end if rng.random() < 0.6]
     if comments and comments not in end:
         end.insert(0, comments)
-    return f"<html><head><title>x</title></head><body>{''.join(top)}{inner}{''.join(end)}</body></html>"
+    return f"<html><head><title>x</title></head><body>{notice}{''.join(top)}{inner}{''.join(end)}</body></html>"
 
 
 def labelled_layout(seed: int):

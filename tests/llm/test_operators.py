@@ -224,6 +224,23 @@ def test_html_blocks_and_extraction(spark):
     assert right >= 0.97 * total
 
 
+def test_html_optional_and_missing_end_tags(spark):
+    body = "<article><h1>Title here</h1><p>This is a long paragraph with text, and more words to read.</article>"
+    text = "Title here\nThis is a long paragraph with text, and more words to read."
+    assert [b.text for b in blocks("<html><head><title>t</title><body>" + body)] == text.split("\n")
+    for tag in "noscript object select svg math template iframe script".split():
+        assert [b.text for b in blocks(f"<div><{tag}></div>{body}")] == text.split("\n"), tag
+    assert [b.path[-1][0] for b in blocks("<head><meta charset=x><p>a")] == ["p"]
+    assert [b.text for b in blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds")] == ["so x=1 holds"]
+    inside = blocks("<article><object><p>a</object><noscript>b</noscript><p>c</article>")
+    assert [(b.text, b.path[1][0]) for b in inside] == [("a", "object"), ("b", "noscript"), ("c", "p")]
+    hidden = "<article><p>First part of it, with words.</p><select><option>Red<option>Blue</select>"
+    pages = ["<html><head><title>t</title><body>" + body, hidden + body[9:]]
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("u"))
+    got = {r.page_id: r.text for r in html_extract.extract_text(table).collect()}
+    assert got == {0: text, 1: "First part of it, with words.\n" + text}
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [(1, "x")]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
