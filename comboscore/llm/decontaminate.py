@@ -5,8 +5,10 @@ test terms in its own documents, so the corpus is never shuffled. Test phrases a
 of ``window`` neighbouring words of an item (a shorter item is one phrase). For each phrase
 and shard, candidates come from the term with the shortest postings list there; the lists of
 the other terms, rarest next, are intersected at their offsets by binary search. What is left
-are exact phrase matches. With ``slack`` the same lists also give proximity matches: all the
-phrase's words within ``slack`` words of its rarest one, in any order.
+are exact phrase matches. With ``slack`` the same lists also give proximity matches: documents
+that hold all of the phrase's words in any order, a repeated word as often as the phrase does,
+inside one span of at most the phrase's length plus ``slack`` words. The rarest term only names
+the places to look at; what matches doesn't depend on it, nor on the documents beside.
 
 Items reach the tasks as broadcasts of at most about ``BLOCK`` bytes of text each; a larger
 benchmark is cut into blocks by a hash of the item, and the documents pass through one search
@@ -30,6 +32,7 @@ from comboscore.session import cut_lineage
 
 BLOCK = 4 << 20
 CHAIN = 4
+SEEDS = 1 << 16                  # places of rarest terms looked at together
 SPANS = "array<struct<lo:int,hi:int>>"
 FOUND = {"n_words": "long", "n_hit": "long", "spans": SPANS, "items": "array<string>", "near_items": "array<string>"}
 _SPAN_TYPE = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
@@ -53,12 +56,20 @@ class Phrases:
         table = np.array(rows, np.int64).reshape(-1, window)
         self.phrases, which = np.unique(table, axis=0, return_inverse=True)
         self.sizes = (self.phrases >= 0).sum(axis=1)
+        # how often a phrase holds each of its words, at the word's first place; 0 at the others
+        equal = (self.phrases[:, :, None] == self.phrases[:, None, :]) & (self.phrases >= 0)[:, :, None]
+        first = equal.argmax(axis=2) == np.arange(window)
+        self.needs = np.where((self.phrases >= 0) & first, equal.sum(axis=2), 0)
         self.items = sorted(set(owner))
         place = {x: i for i, x in enumerate(self.items)}
         pairs = np.unique(np.stack([which.ravel(), np.array([place[x] for x in owner], np.int64)], 1), axis=0) \
             if owner else np.zeros((0, 2), np.int64)
         self.item_of, self.item_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.phrases) + 1))
 
+    def word(self, phrase, place):
+        """(term, how often it is needed) at a place of each phrase."""
+        return self.phrases[phrase, place], self.needs[phrase, place]
+
     def owners(self, phrase: np.ndarray):
         """(row of ``phrase``, item number) pairs."""
         many = self.item_at[phrase + 1] - self.item_at[phrase]
@@ -83,10 +94,38 @@ class Postings:
         p = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
         return (self.key[p] == want) & (position >= 0) & (position < self.n)
 
-    def near(self, term, low, high) -> np.ndarray:
-        p = np.searchsorted(self.key, term * self.n + low)
-        q = np.minimum(p, len(self.key) - 1)
-        return (p < len(self.key)) & (self.key[q] <= term * self.n + high)
+    def count(self, term, low, high) -> np.ndarray:
+        """Postings of ``term`` from ``low`` up to before ``high``."""
+        return np.searchsorted(self.key, term * self.n + high) - np.searchsorted(self.key, term * self.n + low)
+
+    def near(self, phrases: Phrases, rare, phrase, seed, low, high, slack: int) -> np.ndarray:
+        """Rows whose phrase has all its words in one span around ``seed``, inside [low, high)."""
+        width = phrases.sizes[phrase] + slack
+        low, high = np.maximum(low, seed - width + 1), np.minimum(high, seed + width)
+        rows = np.arange(len(phrase))
+        for k in range(phrases.window):                       # each word often enough around the seed
+            term, need = phrases.word(phrase[rows], rare[phrase[rows], k])
+            ok = need == 0
+            ok[~ok] = self.count(term[~ok], low[rows][~ok], high[rows][~ok]) >= need[~ok]
+            rows = rows[ok]
+        # a span that holds them all can begin at one of its words: try the words of the phrase before the seed
+        span_row, span_at = [], []
+        for k in range(phrases.window):
+            term, need = phrases.word(phrase[rows], k)
+            own = rows[need > 0]
+            term = term[need > 0]
+            p = np.searchsorted(self.key, term * self.n + low[own])
+            many = np.searchsorted(self.key, term * self.n + seed[own], "right") - p
+            span_row.append(np.repeat(own, many))
+            span_at.append(self.position[C.ranges(p, many)])
+        at, own = np.concatenate(span_at), np.concatenate(span_row)
+        for k in range(phrases.window):
+            term, need = phrases.word(phrase[own], rare[phrase[own], k])
+            ok = need == 0
+            stop = np.minimum(at + width[own], high[own])
+            ok[~ok] = self.count(term[~ok], at[~ok], stop[~ok]) >= need[~ok]
+            at, own = at[ok], own[ok]
+        return np.unique(own)
 
     def search(self, phrases: Phrases, document: np.ndarray, bounds: np.ndarray, slack: int | None):
         """(phrase, first word) of exact matches; (phrase, document) of proximity matches."""
@@ -118,14 +157,12 @@ class Postings:
         near_p, near_d = none, none
         if slack is not None and len(phrase):
             d = document[seed]
-            low, high = np.maximum(seed - slack, bounds[d]), np.minimum(seed + slack, bounds[d + 1] - 1)
-            q, rows = phrase, np.arange(len(phrase))
-            for k in range(1, phrases.window):
-                term = phrases.phrases[q[rows], rare[q[rows], k]]
-                ok = term < 0
-                ok[~ok] = self.near(term[~ok], low[rows][~ok], high[rows][~ok])
-                rows = rows[ok]
-            near_p, near_d = q[rows], d[rows]
+            found = [np.zeros(0, np.int64)]
+            for i in range(0, len(phrase), SEEDS):            # bounds what is held at once
+                j = slice(i, i + SEEDS)
+                found.append(i + self.near(phrases, rare, phrase[j], seed[j], bounds[d[j]], bounds[d[j] + 1], slack))
+            rows = np.concatenate(found)
+            near_p, near_d = phrase[rows], d[rows]
         return p, start, near_p, near_d
 
 

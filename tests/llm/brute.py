@@ -89,6 +89,20 @@ def hits(rows, items, n):
     return out
 
 
+def near(rows, items, n, slack):
+    """Items with a phrase all of whose words, repeated ones included, are in one span of its length plus slack."""
+    phrases = set()
+    for i, t in items:
+        w = TERMS.findall((t or "").translate(LOWER))
+        phrases |= {("" if i is None else str(i), tuple(w[k:k + n])) for k in range(max(1, len(w) - n + 1) if w else 0)}
+    out = []
+    for i, t in rows:
+        w = TERMS.findall((t or "").translate(LOWER))
+        found = {x for x, p in phrases if any(collections.Counter(p) <= collections.Counter(w[k:k + len(p) + slack]) for k in range(len(w)))}
+        out.append((i, tuple(sorted(found))))
+    return out
+
+
 def counts(text):
     text = text or ""
     w = WORDS.findall(text)

@@ -94,6 +94,21 @@ def test_decontaminate(spark, rows):
     assert len(none) == len(rows) and not any(r.n_hit for r in none)
 
 
+def test_proximity_in_any_partitioning(spark, rows):
+    rng = random.Random(9)
+    filler = [f"x{i}" for i in range(30)]
+    spread = [(700, " ".join(["a"] + rng.choices(filler, k=14) + ["b"] + rng.choices(filler, k=14) + ["c"])),
+              (701, "a b a c x0"), (702, "a b x1 c"), (703, "c " * 40 + "b"), (704, "b " * 40)]
+    docs = rows + spread + [(800 + i, " ".join(rng.choices(["a", "b", "c", *filler], k=60))) for i in range(40)]
+    items = [(1, "a b c"), (2, "a b a c"), (3, rows[0][1]), (4, "x1 x2 x3 x1 x5"), (5, "")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for slack in (0, 4, 12):
+        want = brute.near(docs, items, 10, slack)
+        for part in (1, len(docs)):
+            got = decontaminate.find_items(frame(spark, docs).repartition(part), table, window=10, slack=slack).collect()
+            same([(r.doc_id, tuple(r.near_items)) for r in got], want)
+
+
 PII = ["a@b.com_x@c.de a@b.c.@d.e é x@y.z", "1.2.3.4.5.6.7.8 001.2.3.255 256.1.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1112, 9" * 3,
        "+1 (988) 555-2485 +49 30 1234567- +12 ", "no data", None, "", "IBAN DE89 3704 0044 0532 0130 00 or DE88 3704 0044 0532 0130 00",
        "ssn 123-45-6789", "123-45-6789", "call 555-123-4567"]
