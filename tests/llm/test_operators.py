@@ -193,6 +193,16 @@ def test_packing_and_token_output_round_trip(spark, rows, tmp_path):
     assert row.cu_seqlens[0] == 0 and all(position[a] == 0 for a in row.cu_seqlens[:-1]) and len(position) == 64
 
 
+def test_ids_of_added_tokens_and_of_white_ends(spark):
+    eot = "<|endoftext|>"
+    texts = [f"a{eot}b", eot, eot * 3, f"two  {eot}  two\n\n{eot}\n", f"x{eot}.y <|endoftext| >", "<|endof", "text|>", "blanks  ",
+             "<next>  ", "visible", f"\u00a0{eot}\u3000 {eot}é", "end \n ", None, "'s"]
+    ids = dict(enumerate(token_ids(texts)))
+    assert ids[0] == [64, 50256, 65, 1]
+    one = frame(spark, list(enumerate(texts))).coalesce(1)
+    brute.pieces_hold(packing.pack(one, size=64).collect(), ids, 64)
+
+
 def test_best_fit_is_tight():
     *_, n = packing.best_fit(np.array([60, 50, 40, 30, 24, 14, 10, 4, 4, 128]), 64)
     assert n == 6                                                  # two full windows; 60+4 50+14 40+24 30+10+4
