@@ -98,7 +98,7 @@ def near(rows, items, n, slack):
     out = []
     for i, t in rows:
         w = TERMS.findall((t or "").translate(LOWER))
-        found = {x for x, p in phrases if any(collections.Counter(p) <= collections.Counter(w[k:k + len(p) + slack]) for k in range(len(w)))}
+        found = {x for x, p in phrases if set(p) <= set(w) and any(collections.Counter(p) <= collections.Counter(w[k:k + len(p) + slack]) for k in range(len(w)))}
         out.append((i, tuple(sorted(found))))
     return out
 
