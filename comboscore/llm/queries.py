@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comboscore.llm import (decontaminate, html_extract, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup,
-                            token_output, toxicity)
+from comboscore.llm import (decontaminate, html_extract, ngram_join, packing, phrases, pii, prefix_trie, quality, secrets,
+                            substring_dedup, suffix_dedup, token_output, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), every=5, heads=9)
+    return nodes.drop("a", "b", "pa", "pb")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.summary(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", sha("base_spans").alias("base_sha256"), "spans")
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_html_extract, op3_substring_dedup, op4_decontaminate, op5_suffix_dedup,
-                            op6_quality, op7_token_output, op8_ngram_join, op9_packing, op10_toxicity)}
+                            op6_quality, op7_token_output, op8_ngram_join, op9_packing, op10_toxicity, op11_prefix_trie, op12_secret_scan,
+                            op13_phrase_mining)}
 ORACLE_SQL: dict[str, str] = {}

@@ -152,3 +152,63 @@ def pieces_hold(pieces, documents, size):
             assert p.ids_crc32 == zlib.crc32(np.array(ids[place:place + p.length], "<u4").tobytes())
             place += p.length
         assert place == len(ids)
+
+
+def trie(rows):
+    """Rows conv_id, turn, role, text -> the nodes' columns."""
+    own = collections.defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            own[c].append((t is not None, t or 0, r or "", x or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+    new = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 9
+        leader = c - (abs(c) % 5 if c >= 0 else -(abs(c) % 5))
+        new[c] = tuple(own.get(leader, [])[:h] + own[c][h:])
+    members, children = collections.defaultdict(list), collections.defaultdict(list)
+    for c, s in new.items():
+        for d in range(len(s) + 1):
+            members[s[:d]].append(c)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[k] for k in children[p]) if children[p] else 1
+        saved[p] = (len(members[p]) - 1) * (len(p[-1][1].encode()) if p else 0) + sum(saved[k] for k in children[p])
+    return [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(children[p]), leaves[p], saved[p],
+             sha(",".join(map(str, sorted(c for c in m if len(new[c]) == len(p)))))) for p, m in members.items()]
+
+
+def secrets(text, rules):
+    out = []
+    for k, r in enumerate(rules):
+        for m in re.finditer(f"({r.head})(?:{r.body})", text or ""):
+            if m.end() - m.end(1) >= r.least:
+                out.append((m.start(), k, m.end()))
+    return [(rules[k].kind, s, e, rules[k].base) for s, k, e in sorted(out)]
+
+
+def phrases(rows, least, longest, top):
+    count, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, t in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    count[lang][tuple(w[i:i + k])] += 1
+    out = []
+    for lang, c in count.items():
+        found = {p: a for p, a in c.items() if len(p) >= 2 and a >= least}
+        inside = {p[i:j] for p, a in found.items() for i in range(len(p)) for j in range(i + 2, len(p) + 1)
+                  if j - i < len(p) and 100 * a >= 100 * found[p[i:j]]}
+        ranked = []
+        for p, a in found.items():
+            if p not in inside:
+                s, k = min((1000 * a * n[lang] // (c[p[:k]] * c[p[k:]]), k) for k in range(1, len(p)))
+                ranked.append((-s, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(ranked)[:top])]
+    return out
