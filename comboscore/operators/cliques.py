@@ -5,22 +5,32 @@ partitioning or re-execution after a lost executor, and plain SQL can reproduce
 Candidate arrays stay sorted (``array_intersect`` / ``array_except`` keep the order of
 their first argument), so "the k-th candidate" is well defined and a pick costs one hash.
 
-``sample_cliques`` grows every draw in lock-step: one equi-join per step with the
-adjacency table on the item just picked (at most ``size_range[1] - 1`` joins). Each draw
-carries its candidate array — the common neighbours of everything chosen so far — so a
-step never looks at the whole item list. The first pick is uniform over all items: items
-get dense positions 0..n-1 (``with_ordinal``) and the draw joins on ``hash mod n``.
+Neighbour lists are kept in blocks (``adjacency_blocks``): a row holds the neighbours of one
+item whose ids fall into one range of ``BLOCK`` ids, so no row is as long as a hub's degree,
+a hub's list is spread over as many rows as it has blocks, and two lists meet block by block.
+``sample_cliques`` and ``common_neighbours`` have one plan for hubs and others.
+
+``sample_cliques`` grows every draw in lock-step. A draw is one row per block of its remaining
+candidates (the common neighbours of everything chosen so far). The k-th candidate lies in the
+block whose running count reaches k, which a window over the draw's rows finds; an equi-join on
+(item, block) intersects the candidates with the new item's neighbours. The first two items need
+no candidates at all: they are looked up by position. The first pick is uniform over all items:
+items get dense positions 0..n-1 (``with_ordinal``) and the draw joins on ``hash mod n``.
+
+``common_neighbours`` begins with the member of the smallest degree, so a hub's list is read
+only in the blocks where the other members leave candidates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from comboscore.operators.ordinal import with_ordinal
 from comboscore.session import cut_lineage
 
 HEX8 = 8  # hex digits used for a uniform integer
+BLOCK = 1024  # ids of one block, so neighbours of one row at most
 
 
 def edges(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
@@ -40,6 +50,37 @@ def adjacency(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
             .withColumnRenamed("src", "id"))
 
 
+def _block(c: str | Column, size: int) -> Column:
+    return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(size)).cast("long")
+
+
+def adjacency_blocks(pairs: DataFrame, a: str = "id_a", b: str = "id_b", size: int = BLOCK) -> DataFrame:
+    """(id, block, neighbours ARRAY sorted): undirected neighbour sets in blocks of ``size`` ids.
+
+    Duplicates go in a partial aggregate first; the lists are grouped by (id, block), so a hub's
+    neighbours are dealt over tasks.
+    """
+    return _blocks_of(edges(pairs, a, b), size)
+
+
+def _blocks_of(edge_table: DataFrame, size: int) -> DataFrame:
+    return (edge_table.groupBy(F.col("src").alias("id"), _block("dst", size).alias("block"))
+            .agg(F.array_sort(F.collect_set("dst")).alias("neighbours")))
+
+
+def in_blocks(adj: DataFrame, size: int = BLOCK) -> DataFrame:
+    """An adjacency in blocks; whole lists (id, neighbours) are split."""
+    if "block" in adj.columns:
+        return adj.select("id", "block", "neighbours")
+    return _blocks_of(adj.select(F.col("id").alias("src"), F.explode("neighbours").alias("dst")), size)
+
+
+def whole_lists(blocks: DataFrame) -> DataFrame:
+    """(id, neighbours ARRAY sorted) from blocks, for consumers that need one row per item."""
+    parts = blocks.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("block", "neighbours"))).alias("_p"))
+    return parts.select("id", F.flatten(F.transform("_p", lambda x: x["neighbours"])).alias("neighbours"))
+
+
 def symmetric(adj: DataFrame) -> DataFrame:
     """Keep only edges present in both directions (for hand-made adjacency input)."""
     e = adj.select(F.col("id").alias("src"), F.explode("neighbours").alias("dst"))
@@ -61,20 +102,39 @@ def valid_extensions(groups: DataFrame, edge_table: DataFrame, key: str = "key",
     return j.groupBy(key).agg(F.bool_and(ok).alias("valid"))
 
 
-def common_neighbours(groups: DataFrame, adj: DataFrame, key: str = "combo_id",
-                      members: str = "ids") -> DataFrame:
-    """(key, candidates ARRAY sorted): items adjacent to every member and not a member.
+def common_neighbour_blocks(groups: DataFrame, adj: DataFrame, key: str = "combo_id", members: str = "ids",
+                            size: int = BLOCK) -> DataFrame:
+    """(key, block, candidates ARRAY sorted): items adjacent to every member and not a member, in
+    blocks; a group without candidates has no row.
 
-    Relational form of intersect-then-except: each member's neighbour list is joined in
-    and exploded, candidates are counted per group (partial aggregation), and a candidate
-    seen once per member survives.
+    Lists are intersected block by block, in order of degree: the shortest list is the only one
+    that is read whole.
     """
-    nb = adj.select(F.col("id").alias("_m"), F.col("neighbours").alias("_nb"))
-    m = groups.select(key, members, F.explode(members).alias("_m")).join(nb, "_m", "left")
-    hits = (m.select(key, members, F.explode("_nb").alias("_cand"))
-            .groupBy(key, members, "_cand").agg(F.count(F.lit(1)).alias("_h")))
-    ok = hits.where((F.col("_h") == F.size(members)) & ~F.array_contains(members, F.col("_cand")))
-    agg = ok.groupBy(key).agg(F.array_sort(F.collect_list("_cand")).alias("candidates"))
+    blocks = cut_lineage(in_blocks(adj, size))
+    degree = blocks.groupBy("id").agg(F.sum(F.size("neighbours")).alias("_deg"))
+    longest = groups.agg(F.max(F.size(members))).first()[0] or 0
+    # a group's members stand in one row already, so they may meet in one row again
+    ranked = (groups.select(key, F.explode(F.array_distinct(members)).alias("id")).join(degree, "id", "left")
+              .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_deg", F.lit(0)).alias("d"), "id"))).alias("_s"))
+              .select(key, F.transform("_s", lambda x: x["id"]).alias("_m")))
+    state = (ranked.withColumn("id", F.get("_m", F.lit(0))).join(blocks, "id")
+             .select(key, "_m", "block", F.array_except("neighbours", "_m").alias("candidates")))
+    other = blocks.select(F.col("id").alias("_jk"), "block", F.col("neighbours").alias("_nb"))
+    for k in range(1, longest):
+        # a group of k members or fewer has a NULL key and keeps its candidates
+        state = state.withColumn("_jk", F.get("_m", F.lit(k))).join(other, ["_jk", "block"], "left")
+        both = F.when(F.col("_jk").isNull(), F.col("candidates")).otherwise(F.array_intersect("candidates", "_nb"))
+        state = state.select(key, "_m", "block", both.alias("candidates")).where(F.size("candidates") > 0)
+    return state.select(key, "block", "candidates").where(F.size("candidates") > 0)
+
+
+def common_neighbours(groups: DataFrame, adj: DataFrame, key: str = "combo_id",
+                      members: str = "ids") -> DataFrame:
+    """(key, candidates ARRAY sorted): items adjacent to every member and not a member; one row
+    per group, so the result's lists are as long as the answer."""
+    found = common_neighbour_blocks(groups, adj, key, members)
+    agg = (found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "candidates"))).alias("_p"))
+           .select(key, F.flatten(F.transform("_p", lambda x: x["candidates"])).alias("candidates")))
     return (groups.select(key).join(agg, key, "left")
             .select(key, F.coalesce("candidates", F.array().cast("array<int>")).alias("candidates")))
 
@@ -84,52 +144,61 @@ def _uniform(seed: int, draw: Column, tag: str) -> Column:
     return F.conv(F.substring(h, 1, HEX8), 16, 10).cast("long")
 
 
-def _pick(seed: int, draw: Column, step: int, cand: Column) -> Column:
-    """Uniform choice from the (sorted) candidate array: one hash per draw and step."""
-    k = _uniform(seed, draw, str(step)) % F.size(cand)
-    return F.element_at(cand, (k + 1).cast("int"))
-
-
 def sample_cliques(adj: DataFrame, draws: DataFrame, seed: int, size_range=(2, 5),
-                   draw: str = "draw") -> DataFrame:
+                   draw: str = "draw", size: int = BLOCK) -> DataFrame:
     """(draw, target, combo ARRAY<INT>) for every draw that reached its target size.
 
-    Per draw: target uniform in ``size_range``; first item uniform over all items; each
-    next item uniform over the common neighbours of the chosen items not yet chosen; a
-    draw whose candidates run out is dropped. Items and neighbours are integer ids.
+    Per draw: target uniform in ``size_range`` (two items or more); first item uniform over all
+    items; each next item uniform over the common neighbours of the chosen items; a draw whose
+    candidates run out is dropped. Items and neighbours are integer ids; an item is never its own
+    neighbour. ``adj``: whole lists or blocks.
     """
     lo, hi = size_range
-    # the adjacency feeds the item count, the item index and every step's join:
-    # materialise it once in the shared checkpoint folder
-    adj = cut_lineage(adj)
-    items = adj.select("id")
+    if lo < 2:
+        raise ValueError("a draw has two items at least")
+    # the blocks feed the item count, the item index and every step's join: store them once
+    places = Window.partitionBy("id")
+    ahead = F.sum("n").over(places.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = cut_lineage(in_blocks(adj, size).withColumn("neighbours", F.array_remove("neighbours", F.col("id")))
+                         .withColumn("n", F.size("neighbours").cast("long"))
+                         .withColumn("before", F.coalesce(ahead, F.lit(0).cast("long"))).withColumn("degree", F.sum("n").over(places)))
+    items = blocks.select("id").distinct()
     n_items = items.count()
     if n_items == 0:
         return draws.select(F.col(draw), F.lit(0).alias("target"),
                             F.array().cast("array<int>").alias("combo")).where(F.lit(False))
     indexed = with_ordinal(items, "id", "_idx")
     d = F.col(draw)
-    start = draws.select(d, (F.lit(lo) + _uniform(seed, d, "size") % (hi - lo + 1)).cast("int").alias("target"),
-                         (_uniform(seed, d, "first") % n_items).alias("_idx"))
-    nb = adj.select(F.col("id").alias("_jk"), F.col("neighbours").alias("_nb"))
-    state = (start.join(indexed, "_idx").join(nb, F.col("id") == F.col("_jk"))
-             .select(d, "target", F.array(F.col("id")).alias("combo"),
-                     F.array_remove(F.col("_nb"), F.col("id")).alias("cand")))
-    for step in range(2, hi + 1):
-        # One lineage for all draws. A draw that is complete or dead carries a NULL pick;
-        # a draw taking its last item needs no neighbour list, so only draws that keep
-        # growing join the adjacency (NULL keys never match) and intersect candidates.
-        grow = (F.size("combo") < F.col("target")) & (F.size("cand") > 0)
-        pick = F.when(grow, _pick(seed, d, step, F.col("cand")))
-        more = grow & (F.size("combo") + 1 < F.col("target"))
-        stepped = (state.withColumn("_pick", pick)
-                   .withColumn("_jk", F.when(more, F.col("_pick")))
-                   .join(nb, "_jk", "left"))
-        picked = F.col("_pick").isNotNull()
-        cand = (F.when(F.col("_nb").isNotNull(), F.array_remove(F.array_intersect("cand", "_nb"), F.col("_pick")))
-                .otherwise(F.col("cand")))
-        state = stepped.select(
-            d, "target",
-            F.when(picked, F.concat("combo", F.array("_pick"))).otherwise(F.col("combo")).alias("combo"),
-            cand.alias("cand"))
-    return state.where(F.size("combo") == F.col("target")).select(d, "target", "combo")
+    # draws are narrow rows that come from few files and cost much work each: deal them out by key,
+    # once and always; the windows below keep this partitioning
+    parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    start = (draws.select(d, (F.lit(lo) + _uniform(seed, d, "size") % (hi - lo + 1)).cast("int").alias("target"),
+                          (_uniform(seed, d, "first") % n_items).alias("_idx")).repartition(parts, draw).join(indexed, "_idx"))
+    k = _uniform(seed, d, "2") % F.nullif(F.col("degree"), F.lit(0))
+    pairs = (start.join(blocks, "id").withColumn("_k", k).where("_k >= before and _k < before + n")
+             .select(d, "target", F.array(F.col("id"), F.element_at("neighbours", (F.col("_k") - F.col("before") + 1).cast("int"))).alias("combo")))
+    # a draw that is complete has one row without candidates; one that still grows a row per block
+    nb = blocks.select(F.col("id").alias("_jk"), "block", F.col("neighbours").alias("_nb"))
+    growing = F.size("combo") < F.col("target")
+    first = blocks.select(F.col("id").alias("_first"), "block", F.col("neighbours").alias("cand"))
+    state = (pairs.withColumn("_first", F.when(growing, F.get("combo", F.lit(0)))).join(first, "_first", "left")
+             .withColumn("_jk", F.when(growing, F.get("combo", F.lit(1)))).join(nb, ["_jk", "block"], "left"))
+    of_draw = Window.partitionBy(draw)
+    for step in range(3, hi + 1):
+        left = F.array_intersect("cand", "_nb")
+        state = state.select(d, "target", "combo", "block", F.when(growing, left).alias("cand")).where(~growing | (F.size("cand") > 0))
+        n = F.when(growing, F.size("cand")).otherwise(0).cast("long")
+        upto = F.sum("_n").over(of_draw.orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+        state = (state.withColumn("_n", n).withColumn("_upto", upto).withColumn("_k", _uniform(seed, d, str(step)) % F.nullif(F.sum("_n").over(of_draw), F.lit(0))))
+        place = F.col("_k") - F.col("_upto") + F.col("_n")
+        state = state.withColumn("_here", F.when((place >= 0) & (place < F.col("_n")), F.get("cand", place.cast("int"))))
+        state = state.withColumn("_pick", F.max("_here").over(of_draw))
+        was_done = F.col("_pick").isNull()
+        last = F.size("combo") + 1 == F.col("target")
+        # of a draw that is now complete the row with the pick stays
+        state = (state.where(was_done | ~last | F.col("_here").isNotNull())
+                 .select(d, "target", F.when(was_done, F.col("combo")).otherwise(F.array_append("combo", F.col("_pick"))).alias("combo"),
+                         F.when(~was_done & ~last, F.col("_pick")).alias("_jk"), F.when(~was_done & ~last, F.col("block")).alias("block"),
+                         F.when(~was_done & ~last, F.col("cand")).alias("cand"))
+                 .join(nb, ["_jk", "block"], "left"))
+    return state.where(~growing).select(d, "target", "combo")

@@ -37,6 +37,22 @@ def q_adjacency(spark, sf):
     return sparse_adj(spark, sf).select("id", join_ids("neighbours").alias("neighbours"))
 
 
+# ids of one block in the queries below; the library's default is larger
+SMALL_BLOCK = 128
+BLOCK_LISTS = f"""bl AS (SELECT src AS id, dst // {SMALL_BLOCK} AS block, list_sort(list(dst)) AS nb
+  FROM edges GROUP BY src, dst // {SMALL_BLOCK})"""
+
+
+def graph_blocks(spark, sf):
+    return G.adjacency_blocks(fx.pair_scores(spark, sf, graph=True), size=SMALL_BLOCK)
+
+
+@register("adjacency_blocks", sql=O.with_ctes(O.PAIR_SCORES_GRAPH, EDGES, BLOCK_LISTS, select="""
+SELECT id, CAST(block AS BIGINT) AS block, array_to_string(nb, ', ') AS neighbours FROM bl"""))
+def q_adjacency_blocks(spark, sf):
+    return graph_blocks(spark, sf).select("id", "block", join_ids("neighbours").alias("neighbours"))
+
+
 @register("distinct_pairs", sql=O.with_ctes(O.PAIR_SCORES_SPARSE, EDGES, select="SELECT src, dst FROM edges"))
 def q_distinct_pairs(spark, sf):
     return G.edges(fx.pair_scores(spark, sf, sparse=True))
@@ -74,6 +90,20 @@ def q_candidate_except(spark, sf):
                     join_ids("candidates").alias("candidates"))
 
 
+@register("candidate_blocks", sql=O.with_ctes(O.PAIR_SCORES_GRAPH, EDGES, O.COMBOS, select=f"""
+, hits AS (SELECT c.combo_id, e.dst AS cand, count(*) AS h FROM combos c JOIN edges e ON e.src = c.id
+           GROUP BY c.combo_id, e.dst)
+SELECT h.combo_id, CAST(h.cand // {SMALL_BLOCK} AS BIGINT) AS block, CAST(count(*) AS INTEGER) AS n_candidates,
+       string_agg(CAST(h.cand AS VARCHAR), ', ' ORDER BY h.cand) AS candidates
+FROM hits h JOIN combo_ids ci ON ci.combo_id = h.combo_id
+WHERE h.h = ci.k AND h.cand NOT IN (SELECT id FROM combos x WHERE x.combo_id = h.combo_id)
+GROUP BY h.combo_id, h.cand // {SMALL_BLOCK}"""))
+def q_candidate_blocks(spark, sf):
+    c = G.common_neighbour_blocks(fx.combos(spark, sf), graph_blocks(spark, sf), size=SMALL_BLOCK)
+    return c.select("combo_id", "block", F.size("candidates").cast("int").alias("n_candidates"),
+                    join_ids("candidates").alias("candidates"))
+
+
 def _clique_sql() -> str:
     s = f"'{SEED}:'"
     ctes = [O.PAIR_SCORES_GRAPH, EDGES, f"""items AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM adj),
@@ -132,6 +162,15 @@ def q_complete_only(spark, sf):
             .select("target", F.coalesce("complete", F.lit(0)).alias("complete"), "draws"))
 
 
+@register("complete_draws", sql=CLIQUES_SQL + """
+SELECT draw, target, combo[1] AS first_id, combo[len(combo)] AS last_id FROM s5 WHERE len(combo) = target""",
+          note="the kept draws themselves, from an adjacency in blocks")
+def q_complete_draws(spark, sf):
+    draws = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("draw"))
+    kept = G.sample_cliques(graph_blocks(spark, sf), draws, SEED, size=SMALL_BLOCK)
+    return kept.select("draw", "target", F.element_at("combo", 1).alias("first_id"), F.element_at("combo", -1).alias("last_id"))
+
+
 @register("number_combos", sql=CLIQUES_SQL + """
 SELECT row_number() OVER (ORDER BY draw) AS combination_number, array_to_string(combo, ', ') AS drug_combination
 FROM s5 WHERE len(combo) = target""")
@@ -364,6 +403,14 @@ def q_json_adjacency(spark, sf):
     return back.select("id", join_ids(F.array_sort("neighbours")).alias("neighbours"))
 
 
+@register("json_adjacency_blocks", sql=O.with_ctes(O.PAIR_SCORES_GRAPH, EDGES, BLOCK_LISTS, select="""
+SELECT id, CAST(block AS BIGINT) AS block, CAST(len(nb) AS INTEGER) AS n, array_to_string(nb, ', ') AS neighbours FROM bl"""))
+def q_json_adjacency_blocks(spark, sf):
+    path = S.write_adjacency(graph_blocks(spark, sf), S.landing_dir(spark, "adjacency-blocks"))
+    back = S.read_adjacency(spark, path, in_blocks=True)
+    return back.select("id", "block", F.size("neighbours").alias("n"), join_ids("neighbours").alias("neighbours"))
+
+
 @register("write_adjacency", sql=O.with_ctes(O.PAIR_SCORES_SPARSE, EDGES, select="""
 SELECT CAST(id AS VARCHAR) AS id, CAST(len(nb) AS INTEGER) AS degree, array_to_string(nb, ', ') AS neighbours FROM adj"""))
 def q_write_adjacency(spark, sf):

@@ -101,21 +101,24 @@ def read_pages(spark: SparkSession, path: str, schema: T.StructType, n: int | No
 
 
 def write_adjacency(adj: DataFrame, path: str) -> str:
-    """One JSON object per line: {"id": "...", "neighbours": ["...", ...]} (ids as text)."""
-    (adj.select(F.col("id").cast("string").alias("id"),
+    """One JSON object per line, ids as text: {"id": "...", "neighbours": ["...", ...]}, or with a
+    "block" number for an adjacency in blocks (no line is as long as a hub's degree)."""
+    block = ["block"] if "block" in adj.columns else []
+    (adj.select(F.col("id").cast("string").alias("id"), *block,
                 F.transform("neighbours", lambda x: x.cast("string")).alias("neighbours"))
      .write.mode("overwrite").json(path))
     return path
 
 
-def read_adjacency(spark: SparkSession, path: str, single_object: bool = False) -> DataFrame:
+def read_adjacency(spark: SparkSession, path: str, single_object: bool = False, in_blocks: bool = False) -> DataFrame:
     """(id INT, neighbours ARRAY<INT>) from JSON lines, or from one JSON object per file
-    (``single_object``; such a file cannot be split and is read whole by one task)."""
+    (``single_object``; such a file cannot be split and is read whole by one task).
+    ``in_blocks``: lines of (id, block, neighbours), as ``write_adjacency`` lands blocks."""
     if single_object:
         raw = spark.read.text(path, wholetext=True)
         m = raw.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("k", "v"))
         df = m.select(F.col("k").alias("id"), F.col("v").alias("neighbours"))
     else:
-        df = spark.read.schema("id string, neighbours array<string>").json(path)
-    return df.select(F.col("id").cast("int").alias("id"),
+        df = spark.read.schema("id string, block long, neighbours array<string>").json(path)
+    return df.select(F.col("id").cast("int").alias("id"), *(["block"] if in_blocks else []),
                      F.transform("neighbours", lambda x: x.cast("int")).alias("neighbours"))

@@ -42,6 +42,45 @@ def test_adjacency_and_valid_extensions(spark):
     assert got == {1: True, 2: False, 3: True}
 
 
+def hub_graph(spark, n=3000):
+    """Item 0 neighbours everything; the others stand in a ring and in triples."""
+    pairs = [(0, i) for i in range(1, n)] + [(i, i + 1) for i in range(1, n - 1)] + [(i, i + 2) for i in range(1, n - 2, 3)]
+    return spark.createDataFrame(pairs + pairs[:50] + [(5, 5)], "id_a int, id_b int"), {frozenset(p) for p in pairs}
+
+
+def test_blocks_bound_a_hub(spark):
+    pairs, _ = hub_graph(spark)
+    b = G.adjacency_blocks(pairs, size=100)
+    assert b.agg(F.max(F.size("neighbours"))).first()[0] <= 100
+    assert b.where("id = 0").count() == 30
+    whole = {r.id: r.neighbours for r in G.whole_lists(b).collect()}
+    assert whole == {r.id: r.neighbours for r in G.adjacency(pairs).collect()}
+    assert {(r.id, r.block): r.neighbours for r in G.in_blocks(G.adjacency(pairs), 100).collect()} == \
+        {(r.id, r.block): r.neighbours for r in b.collect()}
+
+
+def test_blocks_do_not_change_cliques(spark):
+    pairs, edges = hub_graph(spark, 400)
+    pairs = pairs.where("id_a <> id_b")
+    draws = spark.range(300).select(F.col("id").alias("draw"))
+    got = [{(r.draw, r.target, tuple(r.combo)) for r in G.sample_cliques(G.adjacency_blocks(pairs, size=s), draws, 3, size=s).collect()}
+           for s in (1000, 7)]
+    assert got[0] == got[1] and len(got[0]) > 100
+    for _, target, combo in got[0]:
+        assert len(combo) == target and all(frozenset((a, b)) in edges for i, a in enumerate(combo) for b in combo[:i])
+
+
+def test_common_neighbours_with_hubs_and_odd_groups(spark):
+    pairs, edges = hub_graph(spark, 200)
+    groups = [(1, [0, 1]), (2, [1, 2, 0]), (3, [7]), (4, [0]), (5, [9999, 0]), (6, []), (7, [3, 3, 0]), (8, None), (9, [5, 5])]
+    df = spark.createDataFrame(groups, "combo_id int, ids array<int>")
+    ids = {x for e in edges for x in e}
+    got = {r.combo_id: r.candidates for r in G.common_neighbours(df, G.adjacency_blocks(pairs, size=16)).collect()}
+    for key, members in groups:
+        expected = sorted(c for c in ids if members and c not in members and all(frozenset((c, m)) in edges for m in members))
+        assert got[key] == expected, key
+
+
 def test_symmetric_keeps_two_way_edges(spark):
     adj = spark.createDataFrame([(1, [2, 3]), (2, [1]), (3, [])], "id int, neighbours array<int>")
     got = {r.id: r.neighbours for r in G.symmetric(adj).collect()}
