@@ -2,15 +2,16 @@
 
 The vocabulary is a table (token, count, token_id) with ids by (count desc, token); ids
 come from the distributed ``with_ordinal``, never from a single-partition ranking. Tokens
-are mapped to ids with an equi-join on the token (a hot token is a skewed key on the probe
-side only; the vocabulary side is unique per token, so AQE can split it). Only positions
-that can reach the block are joined — the block is the feature — while the full token
-count of every text is kept for the ``truncated`` flag.
+are mapped to ids with two equi-joins on the token: the frequent head of the vocabulary, as
+large as the session's broadcast threshold allows, is broadcast, so hot tokens are no shuffle
+keys; the rest is shuffled. Only positions that can reach the block are joined (the block is
+the feature), while the full token count of every text is kept for the ``truncated`` flag.
+``pad_batches`` collates rows of any length into batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from comboscore.functions.text import ws_tokens
@@ -29,6 +30,51 @@ def vocabulary(df: DataFrame, text: str, tokenizer=ws_tokens, first_id: int = 1)
     return o.select("token", "count", (F.col("_r") + first_id).alias("token_id"))
 
 
+def _head_and_tail(vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The most frequent tokens, as many as fit the session's broadcast threshold, and the others.
+
+    Ids follow the counts, so the head is a range of ids. Its bytes are measured on the stored
+    vocabulary; below the threshold the tail is empty.
+    """
+    spark = vocab.sparkSession
+    v = cut_lineage(vocab.select("token", "token_id"))
+    size = v.agg(F.sum(F.octet_length("token") + 16).alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("token_id").alias("first")).first()
+    limit = max(0, int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))
+    keep = size.n if not size.bytes else min(size.n, size.n * limit // size.bytes)
+    in_head = F.col("token_id") < F.lit((size.first or 0) + keep)
+    return v.where(in_head), v.where(~in_head)
+
+
+def token_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, limit: int | None = None,
+              pad_id: int = PAD_ID, tokenizer=ws_tokens) -> DataFrame:
+    """(key, ids, n_tokens): ids of the first ``limit`` tokens (all without it) and the full count.
+
+    The hottest tokens, which would meet in few tasks, are looked up in a broadcast head of
+    the vocabulary; the rare rest joins the tail by a shuffle. A token that the vocabulary lacks
+    becomes ``pad_id``.
+    """
+    toks = df.select(key, tokenizer(F.col(text)).alias("_t"))
+    cut = F.col("_t") if limit is None else F.slice("_t", 1, limit)
+    pos = toks.select(key, F.size("_t").alias("n_tokens"), F.posexplode_outer(cut).alias("_pos", "token"))
+    head, tail = _head_and_tail(vocab)
+    pos = pos.join(F.broadcast(head.withColumnRenamed("token_id", "_head")), "token", "left")
+    known = F.col("token").isNull() | F.col("_head").isNotNull()
+    rest = pos.where(~known).drop("_head").join(tail.withColumnRenamed("token_id", "_head"), "token", "left")
+    ided = pos.where(known).select(key, "n_tokens", "_pos", "_head").unionByName(rest.select(key, "n_tokens", "_pos", "_head"))
+    place = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_head", F.lit(pad_id)).cast("long").alias("id")))
+    grouped = ided.groupBy(key).agg(F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(place)).alias("_s"))
+    return grouped.select(key, F.transform("_s", lambda x: x["id"]).alias("ids"), "n_tokens")
+
+
+def _padded(ids: Column, length: Column, side: str, pad_id: int) -> tuple[Column, Column]:
+    """(ids, mask) of ``length`` places."""
+    if side not in ("right", "left"):
+        raise ValueError("side must be 'right' or 'left'")
+    k, room = F.size(ids), (length - F.size(ids)).cast("int")
+    pad, ones, zeros = F.array_repeat(F.lit(pad_id).cast("long"), room), F.array_repeat(F.lit(1), k), F.array_repeat(F.lit(0), room)
+    return (F.concat(ids, pad), F.concat(ones, zeros)) if side == "right" else (F.concat(pad, ids), F.concat(zeros, ones))
+
+
 def blocks(df: DataFrame, key: str, text: str, vocab: DataFrame, size: int = 128,
            side: str = "right", pad_id: int = PAD_ID, tokenizer=ws_tokens) -> DataFrame:
     """(key, ids, mask, n_tokens, truncated): first ``size`` token ids, padded on ``side``.
@@ -36,27 +82,29 @@ def blocks(df: DataFrame, key: str, text: str, vocab: DataFrame, size: int = 128
     Truncation keeps the first ``size`` tokens (as the reference does with right
     truncation); padding goes to the right or the left.
     """
-    toks = df.select(key, tokenizer(F.col(text)).alias("_t"))
-    lens = toks.select(key, F.size("_t").alias("n_tokens"))
-    pos = toks.select(key, F.posexplode(F.slice("_t", 1, size)).alias("_pos", "token"))
-    v = cut_lineage(vocab.select("token", "token_id"))
-    ided = pos.join(v, "token", "left")
-    grouped = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "token_id"))).alias("_s"))
-    ids = F.transform("_s", lambda x: F.coalesce(x["token_id"], F.lit(pad_id)))
-    out = lens.join(grouped.select(key, ids.alias("_ids")), key, "left")
-    real = F.coalesce(F.col("_ids"), F.array().cast("array<long>"))
-    k = F.size(real)
-    pad = F.array_repeat(F.lit(pad_id).cast("long"), F.lit(size) - k)
-    ones = F.array_repeat(F.lit(1), k)
-    zeros = F.array_repeat(F.lit(0), F.lit(size) - k)
-    if side == "right":
-        ids_c, mask = F.concat(real, pad), F.concat(ones, zeros)
-    elif side == "left":
-        ids_c, mask = F.concat(pad, real), F.concat(zeros, ones)
+    out = token_ids(df, key, text, vocab, size, pad_id, tokenizer)
+    ids, mask = _padded(F.col("ids"), F.lit(size), side, pad_id)
+    return out.select(key, ids.alias("ids"), mask.alias("mask"), "n_tokens", (F.col("n_tokens") > size).alias("truncated"))
+
+
+def pad_batches(df: DataFrame, ids: str = "ids", batch: str | None = "batch_id", side: str = "right",
+                pad_id: int = PAD_ID, limit: int | None = None) -> DataFrame:
+    """Collate: ids padded to the longest row of their batch, with ``mask`` and ``pad_len``.
+
+    ``batch=None`` pads to the longest row of the table (one number, measured first). ``limit``
+    cuts longer rows before, as a model's window does. A null list is an empty one. All other
+    columns stay.
+    """
+    row = F.coalesce(F.col(ids), F.array().cast("array<long>"))
+    df = df.withColumn(ids, row if limit is None else F.slice(row, 1, limit))
+    if batch is None:
+        length = F.lit(df.agg(F.max(F.size(ids))).first()[0] or 0)
     else:
-        raise ValueError("side must be 'right' or 'left'")
-    return out.select(key, ids_c.alias("ids"), mask.alias("mask"), "n_tokens",
-                      (F.col("n_tokens") > size).alias("truncated"))
+        # batches are of a fixed small size, so a window over one is bounded
+        length = F.max(F.size(ids)).over(Window.partitionBy(batch))
+    df = df.withColumn("pad_len", length)
+    padded, mask = _padded(F.col(ids), F.col("pad_len"), side, pad_id)
+    return df.withColumn("mask", mask).withColumn(ids, padded)
 
 
 def lm_labels(ids, mask) -> Column:

@@ -9,7 +9,7 @@ from comboscore.functions.pairs import join_ids
 from comboscore.operators import blocks as B
 from comboscore.operators import cliques as G
 from comboscore.operators import vectors as V
-from comboscore.operators.ordinal import with_ordinal
+from comboscore.operators.ordinal import batches, with_ordinal
 from comboscore.plans import fixtures as fx
 from comboscore.plans import lineage as L
 from comboscore.plans import oracle as O
@@ -426,6 +426,44 @@ PROMPT_BUDGET = 924     # 1,024-token window minus 100 kept free for the answer
 _PTOK = r"list_filter(string_split_regex(prompt, '\s+'), lambda x: x <> '')"
 
 
+# prompts as word ids, cut into batches of eight in key order
+_COLLATED = f"""
+, ptok AS (SELECT combo_id, {_PTOK} AS t FROM fin),
+pvoc AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(t) AS token FROM ptok) GROUP BY token),
+pvid AS (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) AS token_id FROM pvoc),
+pf AS (SELECT combo_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM ptok),
+pids AS (SELECT f.combo_id, list(v.token_id ORDER BY f.pos) AS ids FROM pf f JOIN pvid v ON v.token = f.token
+         GROUP BY f.combo_id),
+pb AS (SELECT combo_id, ids, len(ids) AS n, CAST(floor((row_number() OVER (ORDER BY combo_id) - 1) / 8) AS BIGINT) AS batch_id FROM pids)"""
+
+
+def _prompt_ids(spark, sf):
+    f = L.final(spark, sf).select("combo_id", "prompt")
+    return B.token_ids(f, "combo_id", "prompt", B.vocabulary(f, "prompt"))
+
+
+@register("padded_batches", sql=O.with_ctes(*O.FULL, select=_COLLATED + """
+, pm AS (SELECT *, CAST(max(n) OVER (PARTITION BY batch_id) AS INTEGER) AS pad_len FROM pb)
+SELECT combo_id, batch_id, pad_len, CAST(n AS INTEGER) AS mask_sum,
+       array_to_string(list_transform(range(pad_len - n), lambda x: 0) || ids, ' ') AS ids FROM pm"""),
+          note="dynamic padding: the longest row of each batch, left side")
+def q_padded_batches(spark, sf):
+    b = B.pad_batches(batches(_prompt_ids(spark, sf), "combo_id", 8), side="left")
+    return b.select("combo_id", "batch_id", "pad_len", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
+                    F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@register("padded_longest", sql=O.with_ctes(*O.FULL, select=_COLLATED + """
+, pm AS (SELECT *, CAST((SELECT max(n) FROM pb) AS INTEGER) AS pad_len FROM pb)
+SELECT combo_id, pad_len, CAST(n AS INTEGER) AS mask_sum,
+       array_to_string(ids || list_transform(range(pad_len - n), lambda x: 0), ' ') AS ids FROM pm"""),
+          note="padding to the longest row of the table")
+def q_padded_longest(spark, sf):
+    b = B.pad_batches(_prompt_ids(spark, sf), batch=None)
+    return b.select("combo_id", "pad_len", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
+                    F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
 @register("prompt_blocks", sql=O.with_ctes(*O.FULL, select=f"""
 , ptok AS (SELECT combo_id, {_PTOK} AS t FROM fin),
 pvoc AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(t) AS token FROM ptok) GROUP BY token),
