@@ -1,46 +1,44 @@
 """ROUGE-1 / ROUGE-L per row and corpus BLEU.
 
-Clipped n-gram overlap is the size of a multiset intersection. Each row's grams are sorted
-and numbered within runs of equal grams, which makes them distinct, so the overlap is the
-size of a plain ``array_intersect``: row-local column expressions, n log n per row, no shuffle
-and no Python. The longest common subsequence has no built-in; it runs in one Arrow-batched
-pandas UDF, and only when ``rougeL`` is asked for (stemming likewise). The corpus-level
-numbers are plain Spark sums (map-side partial aggregation, one row out).
+ROUGE-1: clipped overlap is the size of a multiset intersection. Each row's tokens are sorted
+and numbered within runs of equal ones, which makes them distinct, so the overlap is the
+size of a plain ``array_intersect``. BLEU needs four n-gram lengths of the same tokens: the
+n-grams of both sides become integers in a sorted array, and a fold counts them (row-local,
+no shuffle, no Python). The longest common subsequence has no built-in and runs
+bit-parallel in a pandas UDF, only when ``rougeL`` is asked for (stemming likewise). The
+corpus-level numbers are plain Spark sums (map-side partial aggregation, one row out).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from comboscore.functions.text import ngrams, rouge_tokens, ws_tokens
+from comboscore.functions.text import rouge_tokens, ws_tokens
 
 ROUGE_KINDS = ("rouge1", "rougeL")
 BLEU_MAX_N = 4
 
 
 def lcs_length(a, b) -> int:
-    """Length of the longest common subsequence of two token lists.
+    """Length of the longest common subsequence of two token lists, bit-parallel.
 
-    One DP row per token of ``a``: new[j] = running max of max(old[j], old[j-1] + 1 if match).
+    Bit j of ``row`` is zero where the best length grows at token j of ``b``; one token of ``a`` is one
+    addition of long integers, so memory is linear and a step handles 64 tokens of ``b`` a word.
     """
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    vocab = {}
-    bi = np.fromiter((vocab.setdefault(t, len(vocab)) for t in b), dtype=np.int64, count=len(b))
-    row = np.zeros(len(b) + 1, dtype=np.int64)
+    where: dict = {}
+    for j, t in enumerate(b):
+        where[t] = where.get(t, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for t in a:
-        k = vocab.get(t)
-        if k is None:
-            continue
-        cand = np.maximum(row[1:], np.where(bi == k, row[:-1] + 1, 0))
-        row[1:] = np.maximum.accumulate(cand)
-    return int(row[-1])
+        hit = row & where.get(t, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
 
 
 @F.pandas_udf(T.LongType())
@@ -78,6 +76,49 @@ def overlap(ref: Column, cand: Column) -> Column:
     return F.size(F.array_intersect(numbered(ref), numbered(cand))).cast("long")
 
 
+def _matched(ref: Column, cand: Column) -> Column:
+    """Sum over values of the smaller of the two counts, for two arrays of even integers.
+
+    Both sides lie in one sorted array, the candidate's values plus one, so each value's
+    references come just before its candidates. The fold holds the references not matched yet.
+    """
+    both = F.array_sort(F.concat(ref, F.transform(cand, lambda x: x + 1)))
+    zero = F.lit(0).cast("long")
+
+    def step(acc, x):
+        value = x.bitwiseAND(-2)
+        free = F.when(acc["value"] == value, acc["free"]).otherwise(zero)
+        hit = (x != value) & (free > 0)
+        return F.struct(value.alias("value"), F.when(x == value, free + 1).when(hit, free - 1).otherwise(free).alias("free"),
+                        F.when(hit, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
+    # an odd value is no gram
+    start = F.struct(F.lit(1).cast("long").alias("value"), zero.alias("free"), zero.alias("n"))
+    return F.aggregate(both, start, step, lambda acc: acc["n"])
+
+
+def clipped_counts(ref: Column, cand: Column, max_n: int) -> Column:
+    """Array with, per n-gram length 1..``max_n``, the sum over n-grams of the smaller of the two counts.
+
+    Tokens become 64-bit hashes once; a longer gram's hash is made of the gram without its
+    last token and that token. Row-local, n log n, no strings beyond the first step.
+    """
+    def even(tokens):
+        return F.transform(tokens, lambda t: F.xxhash64(t).bitwiseAND(-2))
+
+    def longer(grams, words, n):
+        return F.transform(F.slice(grams, 1, F.greatest(F.size(grams) - 1, F.lit(0))),
+                           lambda g, i: F.xxhash64(g, F.get(words, i + (n - 1))).bitwiseAND(-2))
+
+    def of(x, n):
+        counts = F.array(_matched(x["r"], x["c"]))
+        if n == max_n:
+            return counts
+        more = F.struct(longer(x["r"], x["rw"], n + 1).alias("r"), longer(x["c"], x["cw"], n + 1).alias("c"), x["rw"].alias("rw"), x["cw"].alias("cw"))
+        return F.concat(counts, _bind(more, lambda y: of(y, n + 1)))
+    words = F.struct(even(ref).alias("r"), even(cand).alias("c"))
+    return _bind(words, lambda w: _bind(F.struct(w["r"].alias("r"), w["c"].alias("c"), w["r"].alias("rw"), w["c"].alias("cw")), lambda x: of(x, 1)))
+
+
 def _no_tokens() -> Column:
     return F.array().cast("array<string>")
 
@@ -116,9 +157,8 @@ def bleu_row_counts(df: DataFrame, reference: str, candidate: str, tokenizer=ws_
     """Adds ``clipped`` and ``total`` (arrays, one entry per n-gram length), ``hyp_len``, ``ref_len``."""
     t = _with_tokens(df, reference, candidate, tokenizer)
     n_cand = F.size("_cand")
-    clipped = [overlap(ngrams("_ref", n), ngrams("_cand", n)) for n in range(1, max_n + 1)]
     total = [F.greatest(F.lit(1), n_cand - n + 1).cast("long") for n in range(1, max_n + 1)]
-    return t.select(*df.columns, F.array(*clipped).alias("clipped"), F.array(*total).alias("total"),
+    return t.select(*df.columns, clipped_counts(F.col("_ref"), F.col("_cand"), max_n).alias("clipped"), F.array(*total).alias("total"),
                     n_cand.cast("long").alias("hyp_len"), F.size("_ref").cast("long").alias("ref_len"))
 
 
