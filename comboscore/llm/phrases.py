@@ -3,8 +3,9 @@
 Words stand in pieces (a piece ends at punctuation or a line break); everything is counted per
 language. For lengths 2 to ``longest`` one pass over the texts makes stripes: a task emits, for each
 prefix of ``length`` - 1 words, the words that follow it with their counts, and one entry for
-all places where no candidate follows. Stripes of one prefix meet by a shuffle on the prefix and
-are added elementwise there, without another shuffle. A merged stripe gives three things: its
+all places where no candidate follows. A task packs the stripes that go to the same place into one
+row (a block of prefixes, four blocks for each shuffle partition). Stripes of one prefix meet by a
+shuffle on the block and are added elementwise there, without another shuffle. A merged stripe gives three things: its
 entries are the counts of the longer phrases, its sum is the count of the prefix, and its largest
 entry tells whether one extension to the right takes in every occurrence of the prefix.
 
@@ -14,8 +15,8 @@ place without its bit proves that the phrase is too rare. Two phrases may share
 alone decide; a table that fills up prunes less and changes no result.
 
 Hot prefixes: of each length at most ``HEAVY`` prefixes can hold a ``HEAVY``-th of all words; their
-stripes are dealt to ``DEALT`` buckets by the next word, at every input size. Merged stripes are
-partial sums of few rows. Nothing is gathered but the bit table and that list.
+stripes are dealt to ``DEALT`` places by the next word, at every input size, and their sums and
+maxima are added up afterwards. Nothing is gathered but the bit table and that list.
 
 Score: for a phrase with count a, cut into parts with counts l and r, floor(1000 * a * n / (l * r)),
 n being the words of the language, in exact decimals; the lowest cut counts, of equal ones the
@@ -45,14 +46,14 @@ from comboscore.session import cut_lineage
 BITS = 25
 HEAVY, DEALT = 256, 64
 HELD = 1 << 21           # occurrences that a task gathers before it emits their stripes
-ENTRIES, ROWS = 256, 4096   # entries of an emitted stripe, stripes of an Arrow batch
+ENTRIES, ROWS = 8192, 32    # entries of an emitted row, rows of an Arrow batch
 _END = [*b".,;:!?", *range(0x0A, 0x0E)]
 _WORD = C.table([0x20, 0x09, *_END])
 _BREAK = np.zeros(256, np.int64)
 _BREAK[_END] = 1
 _STEP = C.U64(0xBF58476D1CE4E5B9)
 WORDS = "lang string, key long, word string, n long"
-STRIPES = "prefix long, bucket int, next array<long>, n array<long>"
+STRIPES = "block int, prefix array<long>, next array<long>, n array<long>"
 
 
 def extend(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -98,28 +99,33 @@ def count_words(batches):
                                    pa.array(n.tolist() + list(total.values()), pa.int64())], names=["lang", "key", "word", "n"])
 
 
-def _stripes(prefix, following, heavy):
-    """Record batches of the stripes of occurrences (prefix, next word; 0: none that counts)."""
+def _stripes(prefix, following, heavy, blocks: int):
+    """Record batches of the stripes of occurrences (prefix, next word; 0: none that counts).
+
+    A row holds stripes of one block, side by side: prefixes that go to the same place in the shuffle.
+    """
     both = extend(prefix, following)
     _, at, n = np.unique(both, return_index=True, return_counts=True)
     prefix, following = prefix[at], following[at]
-    bucket = np.where(np.isin(prefix, heavy), (C.mix(following) % C.U64(DEALT)).astype(np.int32), np.int32(0))
-    order = np.lexsort([bucket, prefix])
-    prefix, following, bucket, n = prefix[order], following[order], bucket[order], n[order]
-    new = np.ones(len(prefix), bool)
-    new[1:] = (prefix[1:] != prefix[:-1]) | (bucket[1:] != bucket[:-1])
+    with np.errstate(over="ignore"):
+        dealt = np.where(np.isin(prefix, heavy), C.mix(following) % C.U64(DEALT), C.U64(0))
+        block = (C.mix(prefix + dealt) % C.U64(blocks)).astype(np.int32)
+    order = np.lexsort([prefix, block])
+    prefix, following, block, n = prefix[order], following[order], block[order], n[order]
+    new = np.ones(len(block), bool)
+    new[1:] = block[1:] != block[:-1]
     begin = np.flatnonzero(new)
-    place = np.arange(len(prefix)) - np.repeat(begin, np.diff(np.append(begin, len(prefix))))
+    place = np.arange(len(block)) - np.repeat(begin, np.diff(np.append(begin, len(block))))
     begin = np.flatnonzero(place % ENTRIES == 0)
-    stop = np.append(begin[1:], len(prefix))
+    stop = np.append(begin[1:], len(block))
     for i in range(0, len(begin), ROWS):
         b, e = begin[i:i + ROWS], stop[i:i + ROWS]
         bounds = pa.array(np.append(b, e[-1]) - b[0], pa.int32())
-        lists = [pa.ListArray.from_arrays(bounds, pa.array(x[b[0]:e[-1]])) for x in (following.view(np.int64), n.astype(np.int64))]
-        yield pa.record_batch([pa.array(prefix[b].view(np.int64)), pa.array(bucket[b], pa.int32()), *lists], names=["prefix", "bucket", "next", "n"])
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x[b[0]:e[-1]].view(np.int64))) for x in (prefix, following, n.astype(np.int64))]
+        yield pa.record_batch([pa.array(block[b], pa.int32()), *lists], names=["block", "prefix", "next", "n"])
 
 
-def make_stripes(length: int, table: np.ndarray, heavy: np.ndarray, bits: int):
+def make_stripes(length: int, table: np.ndarray, heavy: np.ndarray, bits: int, blocks: int):
     """Stripes of the prefixes of ``length`` - 1 words that ``table`` doesn't rule out."""
     def frequent(keys):
         at = (keys & C.U64((1 << bits) - 1)).astype(np.int64)
@@ -143,23 +149,22 @@ def make_stripes(length: int, table: np.ndarray, heavy: np.ndarray, bits: int):
                 held.append((keys[at], following))
                 waiting += len(at)
                 if waiting >= HELD:
-                    yield from _stripes(*map(np.concatenate, zip(*held)), heavy)
+                    yield from _stripes(*map(np.concatenate, zip(*held)), heavy, blocks)
                     held, waiting = [], 0
         if waiting:
-            yield from _stripes(*map(np.concatenate, zip(*held)), heavy)
+            yield from _stripes(*map(np.concatenate, zip(*held)), heavy, blocks)
     return run
 
 
 def merge(stripes: DataFrame, least: int) -> DataFrame:
-    """Stripes added elementwise: prefix, bucket, total, most, kept (entries of ``least`` or more).
+    """Stripes added elementwise: prefix, block, total, most, kept (entries of ``least`` or more).
 
-    The shuffle on (prefix, bucket) serves both groupings below.
+    The shuffle on the block serves both groupings below.
     """
-    entries = (stripes.repartition("prefix", "bucket")
-               .select("prefix", "bucket", F.explode(F.arrays_zip("next", "n")).alias("x"))
-               .groupBy("prefix", "bucket", F.col("x.next").alias("next")).agg(F.sum("x.n").alias("n")))
+    entries = (stripes.repartition("block").select("block", F.explode(F.arrays_zip("prefix", "next", "n")).alias("x"))
+               .groupBy("block", F.col("x.prefix").alias("prefix"), F.col("x.next").alias("next")).agg(F.sum("x.n").alias("n")))
     real = F.col("next") != 0
-    return entries.groupBy("prefix", "bucket").agg(
+    return entries.groupBy("block", "prefix").agg(
         F.sum("n").alias("total"), F.max(F.when(real, F.col("n"))).alias("most"),
         F.collect_list(F.when(real & (F.col("n") >= least), F.struct("next", "n"))).alias("kept"))
 
@@ -232,11 +237,12 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, bits:
     words = counted.where("word is not null").select("key", "lang", F.array("key").alias("words"), F.col("word").alias("phrase"), "n")
     everything = size.agg(F.sum("words_total")).first()[0] or 0
     phrases, prefixes = [words], []
+    blocks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for length in range(2, longest + 1):
         shorter = phrases[-1]
         # at most HEAVY rows, as counts of one length add up to at most all words
         heavy = shorter.where(F.col("n") * HEAVY >= everything).select("key").toArrow().column("key").to_numpy().view(C.U64)
-        stripes = rows.mapInArrow(make_stripes(length, bit_table(shorter, bits), heavy, bits), STRIPES)
+        stripes = rows.mapInArrow(make_stripes(length, bit_table(shorter, bits), heavy, bits, blocks), STRIPES)
         merged = cut_lineage(merge(stripes, least))
         prefixes.append(merged.groupBy(F.col("prefix").alias("key")).agg(F.sum("total").alias("total"), F.max("most").alias("most"))
                         .where(F.col("total") >= least))
