@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comboscore.llm.html_blocks import Block, blocks
+from comboscore.session import cut_lineage
 
 LAYOUTS, SAMPLE, PASSES, RATE, L2 = 600, 200, 6, 0.3, 1e-4
+SAMPLE_BYTES = 1 << 17          # largest page of the sample, so it is 25 MB at most
 ARTICLE = {"article", "main"}
 OTHER = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "button"}
 RESULT = "page_id long, url string, text string, blocks int, kept int"
@@ -280,13 +282,24 @@ def extract_pages(model):
     return run
 
 
+def sampled_pages(pages: DataFrame, sample: int, html_col: str, id_col: str) -> list:
+    """At most ``sample`` pages with elements of fixed meaning, none over ``SAMPLE_BYTES``: those whose
+    ids have the smallest hashes. Hashes alone are ranked, and only those below a bound that few
+    pass; the driver gets the winners' pages, one for each id."""
+    marked = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]") & (F.octet_length(html_col) <= SAMPLE_BYTES))
+    marked = marked.select(F.xxhash64(F.col(id_col), F.lit(5)).alias("place"), F.col(html_col).alias("html"))
+    places = cut_lineage(marked.select("place").distinct())
+    n = places.count()
+    # four times the share that is needed; the hashes are spread evenly over 64 bits
+    bound = -(1 << 63) + min(1 << 64, (1 << 64) * 4 * sample // max(n, 1)) - 1
+    winners = places.where(F.col("place") <= F.lit(bound).cast("long")).orderBy("place").limit(sample)
+    return marked.join(F.broadcast(winners), "place").groupBy("place").agg(F.min("html").alias("html")).orderBy("place").collect()
+
+
 def training_pages(pages: DataFrame, sample: int = SAMPLE, layouts: int = LAYOUTS, html_col: str = "html", id_col: str = "page_id"):
     """(blocks, labels) of rule-made pages and of sampled pages with elements of fixed meaning."""
     out = [labelled_layout(seed) for seed in range(layouts)]
-    picked = (pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]"))
-              .orderBy(F.xxhash64(F.col(id_col), F.lit(5)), F.col(id_col)).limit(sample)
-              .select(F.col(html_col).alias("html")).collect())
-    for r in picked:
+    for r in sampled_pages(pages, sample, html_col, id_col):
         page = blocks(r["html"])
         out.append((page, [label(b) for b in page]))
     return out
