@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Python's str.split() whitespace set, written as one Java regex class.
+WS_CLASS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -17,8 +20,9 @@ def pair_key(a, b) -> tuple[Column, Column]:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading and trailing whitespace of any kind (also no-break
+    spaces and the separators 0x1C-0x1F, which ``\\s`` leaves)."""
+    return F.regexp_replace(_col(c), rf"\A{WS_CLASS}+|{WS_CLASS}+\z", "")
 
 
 def parse_ids(c, sep: str = ",") -> Column:

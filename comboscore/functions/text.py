@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from comboscore.functions.pairs import strip_ws
+from comboscore.functions.pairs import WS_CLASS, strip_ws
 
 # Fixed values that results depend on (prompt wording, markers, label keywords).
 NAMES_MARKER = "The drug combination to analyze is:"
@@ -20,8 +20,6 @@ KEYWORDS = ("antagonistic", "synergistic", "additive")   # first match wins, in
 NO_PRED = "no_pred"
 LABEL_INDEX = {"Additive": 0, "Synergistic": 1, "Antagonistic": 2}
 NAMES_PATTERN = r"The drug combination to analyze is: ([^.]+)\."
-# Python's str.split() whitespace set, written as one Java regex class.
-WS_CLASS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def _col(c) -> Column:
@@ -164,6 +162,17 @@ def sentence_split(text) -> Column:
     return F.split(_col(text), r"\.", -1)
 
 
+def sentences_of(columns) -> Column:
+    """Sentences of several text columns: array of (col, pos, sentence), by column, then place.
+
+    ``col`` is the column's number in ``columns``. A NULL text has no sentences.
+    """
+    def numbered(k, c):
+        return F.transform(sentence_split(c), lambda s, i: F.struct(F.lit(k).alias("col"), i.alias("pos"), s.alias("sentence")))
+    none = F.array().cast("array<struct<col:int,pos:int,sentence:string>>")
+    return F.concat(*(F.coalesce(numbered(k, c), none) for k, c in enumerate(columns)))
+
+
 def ngrams(tokens, n: int) -> Column:
     """Space-joined n-grams of a token array (empty when shorter than n)."""
     t = _col(tokens)

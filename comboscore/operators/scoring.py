@@ -42,9 +42,13 @@ def score_pairs(looked_up: DataFrame, key: str = "combo_id", order=("i", "j"),
 
 
 def combo_verdict(scored: DataFrame, key: str = "combo_id", order=("i", "j"),
-                  carry: tuple[str, ...] = ()) -> DataFrame:
+                  carry: tuple[str, ...] = (), on_missing: str = "skip") -> DataFrame:
     """One row per combination.
 
+    ``on_missing``, for combinations with a pair that has no score: ``skip`` judges by the pairs
+    found, ``null`` leaves the verdict NULL and the reasoning empty, ``error`` fails the job with
+    the combination's key.
+
     prediction: any found pair with zip < -1 -> Antagonistic; else any zip > 15 ->
     Synergistic; else Additive; NULL when no pair was found. reasoning: pair sentences in
     pair order. synergistic / additive: pair-label counts. ``carry`` columns are
@@ -52,6 +56,8 @@ def combo_verdict(scored: DataFrame, key: str = "combo_id", order=("i", "j"),
     """
     found = F.col("found")
     ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("sentence").alias("s"))))
+    if on_missing not in ("skip", "null", "error"):
+        raise ValueError("on_missing must be 'skip', 'null' or 'error'")
     agg = (scored.groupBy(key)
            .agg(*[F.any_value(c).alias(c) for c in carry],
                 F.bool_or(found & (F.col("zip") < C.ZIP_FLAG)).alias("_ant"),
@@ -66,6 +72,13 @@ def combo_verdict(scored: DataFrame, key: str = "combo_id", order=("i", "j"),
                   .when(F.col("_ant"), C.ANTAGONISTIC)
                   .when(F.col("_syn"), C.SYNERGISTIC)
                   .otherwise(C.ADDITIVE))
+    short = F.col("missing_pairs") > 0
+    if on_missing == "null":
+        prediction = F.when(~short, prediction)
+        agg = agg.withColumn("reasoning", F.when(short, "").otherwise(F.col("reasoning")))
+    elif on_missing == "error":
+        text = F.concat(F.lit("pairs without a score in combination "), F.col(key).cast("string"))
+        prediction = F.when(short, F.raise_error(text).cast("string")).otherwise(prediction)
     return agg.select(key, *carry, prediction.alias("prediction"), "reasoning", "n_pairs",
                       "missing_pairs", "synergistic", "additive")
 

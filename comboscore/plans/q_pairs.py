@@ -40,6 +40,18 @@ def q_combo_verdict_sparse(spark, sf):
     return combo_verdict(score_pairs(lk), carry=("drugs",))
 
 
+@register("combo_verdict_strict", sql=O.with_ctes(O.PAIR_SCORES_SPARSE, *CORE[1:], select="""
+SELECT vd.combo_id, CASE WHEN vd.missing_pairs = 0 THEN vd.prediction END AS prediction,
+       CASE WHEN vd.missing_pairs = 0 THEN vd.reasoning ELSE '' END AS reasoning, vd.n_pairs, vd.missing_pairs
+FROM vd"""), note="no verdict for a combination with a missing pair")
+def q_combo_verdict_strict(spark, sf):
+    from comboscore.operators.pairs import lookup_pairs
+    from comboscore.operators.scoring import combo_verdict, score_pairs
+    lk = lookup_pairs(L.pairs(spark, sf), fx.pair_scores(spark, sf, sparse=True), order=fx.ORDER_COLS,
+                      keep="first", how="left", columns=L.SCORE_COLS)
+    return combo_verdict(score_pairs(lk), on_missing="null").select("combo_id", "prediction", "reasoning", "n_pairs", "missing_pairs")
+
+
 @register("pair_key", sql=O.with_ctes(O.PAIR_SCORES, select=f"""
 SELECT {ORD_SQL}, least(id_a, id_b) AS id_lo, greatest(id_a, id_b) AS id_hi FROM ps"""))
 def q_pair_key(spark, sf):

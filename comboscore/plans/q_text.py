@@ -201,6 +201,16 @@ def q_sentence_split(spark, sf):
     return d.select("doc_id", F.posexplode(T.sentence_split("text")).alias("pos", "sentence"))
 
 
+@register("sentence_split_columns", sql="""
+WITH c AS (SELECT conv_id, turn, 0 AS col, role AS t FROM conversations
+           UNION ALL SELECT conv_id, turn, 1, text FROM conversations)
+SELECT conv_id, turn, col, CAST(unnest(range(len(string_split(t, '.')))) AS INTEGER) AS pos,
+       unnest(string_split(t, '.')) AS sentence FROM c""", note="several text columns of a row, in a fixed order")
+def q_sentence_split_columns(spark, sf):
+    c = fx.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.inline(T.sentences_of(["role", "text"])))
+
+
 @register("strip_first_line", sql="""
 SELECT conv_id, turn, CASE WHEN position(chr(10) IN text) > 0 THEN substr(text, position(chr(10) IN text) + 1)
                            ELSE text END AS body FROM conversations""")
