@@ -45,7 +45,7 @@ from comboscore.session import cut_lineage
 
 BITS = 25
 HEAVY, DEALT = 256, 64
-HELD = 1 << 21           # occurrences that a task gathers before it emits their stripes
+HELD = 1 << 20           # occurrences that a task gathers before it emits their stripes
 ENTRIES, ROWS = 8192, 32    # entries of an emitted row, rows of an Arrow batch
 _END = [*b".,;:!?", *range(0x0A, 0x0E)]
 _WORD = C.table([0x20, 0x09, *_END])
