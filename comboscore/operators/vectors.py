@@ -146,9 +146,16 @@ def silhouette(df: DataFrame, id_col: str, vec: str, label: str, metric: str = "
 
 
 def project_2d(df: DataFrame, vec: str, k: int = 2, name: str = "xy") -> DataFrame:
-    """PCA projection to ``k`` dimensions (Spark ML), as ``array<double>``."""
+    """PCA projection to ``k`` dimensions (Spark ML), as ``array<double>``.
+
+    An axis has no sign of its own: the component of largest size (the first of equals) is made
+    positive, so that every solver gives the same coordinates.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
     v = df.withColumn("_v", array_to_vector(F.col(vec)))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
-    return model.transform(v).withColumn(name, vector_to_array("_p")).drop("_v", "_p")
+    axes = model.pc.toArray()
+    signs = np.where(axes[np.abs(axes).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
+    turned = F.zip_with(vector_to_array("_p"), F.array(*(F.lit(float(x)) for x in signs)), lambda x, sign: x * sign)
+    return model.transform(v).withColumn(name, turned).drop("_v", "_p")

@@ -212,7 +212,29 @@ def q_rouge_mean(spark, sf):
     return r.agg(F.avg("rouge1_f").alias("rouge1_f"))
 
 
-@register("rougeL", note="LCS per row; checked against a brute-force DP in tests (no SQL twin)")
+# longest common subsequence, one reference token a step: ``best[j]`` is the length within the first
+# j - 1 candidate tokens, and a step's new lengths are running maxima
+_ROUGE_L = """, lt AS MATERIALIZED (SELECT row_number() OVER () AS k, conv_id, turn, r, c FROM rt),
+lcs AS (
+  SELECT k, 0 AS i, list_transform(range(len(c) + 1), lambda x: 0) AS best FROM lt
+  UNION ALL
+  SELECT k, i + 1, list(val ORDER BY j) FROM (
+    SELECT k, i, j, max(val) OVER (PARTITION BY k ORDER BY j) AS val FROM (
+      SELECT s.k, s.i, s.j,
+             CASE WHEN s.j > 1 AND lt.c[s.j - 1] = lt.r[s.i + 1] THEN s.best[s.j - 1] + 1 ELSE s.best[s.j] END AS val
+      FROM (SELECT lcs.k, lcs.i, lcs.best, unnest(range(1, len(lcs.best) + 1)) AS j
+            FROM lcs JOIN lt USING (k) WHERE lcs.i < len(lt.r)) s JOIN lt ON lt.k = s.k))
+  GROUP BY k, i),
+ll AS (SELECT lt.conv_id, lt.turn, CAST(lcs.best[-1] AS DOUBLE) AS h, CAST(len(lt.r) AS DOUBLE) AS nr,
+              CAST(len(lt.c) AS DOUBLE) AS nc FROM lt JOIN lcs ON lcs.k = lt.k AND lcs.i = len(lt.r)),
+llp AS (SELECT conv_id, turn, CASE WHEN nc > 0 THEN h / nc ELSE 0.0 END AS p,
+               CASE WHEN nr > 0 THEN h / nr ELSE 0.0 END AS r FROM ll),
+llf AS (SELECT conv_id, turn, p AS rougeL_p, r AS rougeL_r,
+               CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS rougeL_f FROM llp)"""
+_RTL = (_RT + _ROUGE_L).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("rougeL", sql=_RTL + "\nSELECT conv_id, turn, rougeL_p, rougeL_r, rougeL_f FROM llf")
 def q_rougeL(spark, sf):
     r = rouge(L.turns(spark, sf), "ref_text", "cand_text", kinds=("rougeL",))
     return r.select("conv_id", "turn", "rougeL_p", "rougeL_r", "rougeL_f")
@@ -230,7 +252,7 @@ def q_rouge_mean_stemmed(spark, sf):
     return r.agg(F.avg("rouge1_f").alias("rouge1_f"), F.avg("rougeL_f").alias("rougeL_f"))
 
 
-@register("rougeL_mean", note="mean LCS F over all turns; brute-force checked in tests")
+@register("rougeL_mean", sql=_RTL + "\nSELECT avg(rougeL_f) AS rougeL_f FROM llf")
 def q_rougeL_mean(spark, sf):
     r = rouge(L.turns(spark, sf), "ref_text", "cand_text", kinds=("rougeL",))
     return r.agg(F.avg("rougeL_f").alias("rougeL_f"))

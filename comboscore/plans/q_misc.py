@@ -10,6 +10,7 @@ from comboscore.operators import blocks as B
 from comboscore.operators import cliques as G
 from comboscore.operators import vectors as V
 from comboscore.operators.ordinal import batches, with_ordinal
+from comboscore.operators.pairs import dedup_pairs
 from comboscore.plans import fixtures as fx
 from comboscore.plans import lineage as L
 from comboscore.plans import oracle as O
@@ -258,7 +259,38 @@ def q_label_mask(spark, sf):
     return _vectors(spark, sf).where(F.col("label") == 3).select("vec_id")
 
 
-@register("pca_2d", note="Spark ML PCA (axis signs are solver-defined); rows-only check")
+def _axis_ctes(source: str, axis: str, squarings: int = 24) -> str:
+    """``axis`` (i, w, share): the first principal axis of the matrix ``source`` (i, j, val), its largest
+    component positive, and the variance along it. Squaring the matrix over and over (scaled to
+    trace 1) leaves the projector onto that axis."""
+    steps, last = [], source
+    for k in range(squarings):
+        steps.append(f"""{axis}_{k} AS MATERIALIZED (
+  SELECT a.i, b.j, sum(a.val * b.val) / (SELECT sum(val * val) FROM {last}) AS val
+  FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY a.i, b.j)""")
+        last = f"{axis}_{k}"
+    return ",\n".join(steps) + f""",
+{axis}_top AS (SELECT i AS j, val FROM {last} WHERE i = j ORDER BY val DESC, i LIMIT 1),
+{axis}_w AS MATERIALIZED (SELECT m.i, m.val / sqrt(t.val) AS w FROM {last} m JOIN {axis}_top t ON t.j = m.j),
+{axis} AS MATERIALIZED (SELECT i, w, (SELECT sum(p.w * s.val * q.w) FROM {source} s JOIN {axis}_w p ON p.i = s.i
+                                      JOIN {axis}_w q ON q.i = s.j) AS share FROM {axis}_w)"""
+
+
+PCA = f"""
+, e AS MATERIALIZED (SELECT vec_id, label, unnest(range(len(x))) AS i, unnest(x) AS val FROM v),
+mu AS (SELECT i, avg(val) AS m, count(*) AS n FROM e GROUP BY i),
+cov AS MATERIALIZED (
+  SELECT a.i, b.i AS j, sum((a.val - p.m) * (b.val - q.m)) / (any_value(p.n) - 1) AS val
+  FROM e a JOIN e b ON b.vec_id = a.vec_id JOIN mu p ON p.i = a.i JOIN mu q ON q.i = b.i GROUP BY a.i, b.i),
+{_axis_ctes("cov", "ax1")},
+rest AS MATERIALIZED (SELECT c.i, c.j, c.val - p.share * p.w * q.w AS val
+                      FROM cov c JOIN ax1 p ON p.i = c.i JOIN ax1 q ON q.i = c.j),
+{_axis_ctes("rest", "ax2")}"""
+
+
+@register("pca_2d", sql=O.with_ctes(VEC, select=PCA + """
+SELECT e.vec_id, e.label, sum(e.val * ax1.w) AS x, sum(e.val * ax2.w) AS y
+FROM e JOIN ax1 ON ax1.i = e.i JOIN ax2 ON ax2.i = e.i GROUP BY e.vec_id, e.label"""))
 def q_pca_2d(spark, sf):
     p = V.project_2d(_vectors(spark, sf), "embedding")
     return p.select("vec_id", "label", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
@@ -327,6 +359,52 @@ def q_read_shards(spark, sf):
     return S.read_shards(spark, [a, b], [PAIR_CSV_SCHEMA, schema_b]).select(*PAIR_COLS)
 
 
+def _ordered_shards(spark, sf):
+    """Pair scores landed as two shard groups of several files each, read back with their file order:
+    lines 1 to 3 of all orders first, then the others."""
+    ps = fx.pair_scores(spark, sf).select(*PAIR_COLS)
+    base = S.landing_dir(spark, "ordered")
+    groups = {"a": F.col("l_linenumber") <= 3, "b": F.col("l_linenumber") > 3}
+    for name, kept in groups.items():
+        part = ps.where(kept).repartitionByRange(*fx.ORDER_COLS).sortWithinPartitions(*fx.ORDER_COLS)
+        S.write_table(part.drop("hsa") if name == "b" else part, f"{base}/{name}")
+    return S.read_shards(spark, [f"{base}/a", f"{base}/b"],
+                         [PAIR_CSV_SCHEMA, PAIR_CSV_SCHEMA.replace("hsa double, ", "")], with_order=True)
+
+
+SHARD_ORDER = f"l_linenumber > 3, {', '.join(fx.ORDER_COLS)}"
+
+
+@register("shards_in_file_order", sql=O.with_ctes(O.PAIR_SCORES, select=f"""
+SELECT l_orderkey, l_linenumber, id_a, id_b, row_number() OVER (ORDER BY {SHARD_ORDER}) - 1 AS file_row FROM ps"""))
+def q_shards_in_file_order(spark, sf):
+    rows = _ordered_shards(spark, sf).select("l_orderkey", "l_linenumber", "id_a", "id_b", S.ORDER)
+    return with_ordinal(rows, S.ORDER, "file_row").drop(S.ORDER)
+
+
+def _dedup_shards_sql(direction: str) -> str:
+    return O.with_ctes(O.PAIR_SCORES, select=f"""
+SELECT least(id_a, id_b) AS id_lo, greatest(id_a, id_b) AS id_hi, id_a, id_b, bliss, loewe,
+       CASE WHEN l_linenumber <= 3 THEN hsa END AS hsa, zip, l_orderkey, l_linenumber
+FROM ps QUALIFY row_number() OVER (PARTITION BY least(id_a, id_b), greatest(id_a, id_b)
+                                   ORDER BY {direction}) = 1""")
+
+
+def _dedup_shards(spark, sf, keep):
+    d = dedup_pairs(_ordered_shards(spark, sf), [S.ORDER], keep=keep)
+    return d.select("id_lo", "id_hi", "id_a", "id_b", "bliss", "loewe", "hsa", "zip", "l_orderkey", "l_linenumber")
+
+
+@register("dedup_first_in_files", sql=_dedup_shards_sql(SHARD_ORDER))
+def q_dedup_first_in_files(spark, sf):
+    return _dedup_shards(spark, sf, "first")
+
+
+@register("dedup_last_in_files", sql=_dedup_shards_sql(", ".join(f"{c} DESC" for c in SHARD_ORDER.split(", "))))
+def q_dedup_last_in_files(spark, sf):
+    return _dedup_shards(spark, sf, "last")
+
+
 @register("read_csv_raw", sql=O.with_ctes(O.PAIR_SCORES, select="""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, id_a, id_b, bliss, loewe, hsa, zip FROM ps"""))
 def q_read_csv_raw(spark, sf):

@@ -41,6 +41,53 @@ def test_pages_first_n_in_order(spark):
     assert {r.page for r in rows} == {1, 2}
 
 
+def test_pages_share_files_and_first_rows_open_few_of_them(spark):
+    df = spark.range(1234).select(F.col("id").alias("k"), (F.col("id") % 7 == 0).alias("odd"),
+                                  F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("s"))
+    path = S.write_pages(df, S.landing_dir(spark, "pages"), "k", page_size=10, pages_per_file=4)
+    index = spark.read.parquet(f"{path}/index").collect()
+    assert sorted((r.page, r.first_row) for r in index) == [(p + 1, p * 10) for p in range(124)]
+    per_file = {}
+    for r in index:
+        per_file.setdefault(r.file, []).append(r.page)
+    assert max(map(len, per_file.values())) <= 4 and all(max(p) - min(p) == len(p) - 1 for p in per_file.values())
+    whole = sorted(map(tuple, df.collect()))
+    for n in (0, 1, 10, 95, 1234, 5000):
+        back = S.read_pages(spark, path, df.schema, n=n)
+        assert back.columns == ["page", "_pos", "k", "odd", "s"]
+        assert sorted(map(tuple, back.drop("page", "_pos").collect())) == whole[:n]
+        assert len(back.inputFiles()) <= n // 10 + 1
+    assert S.read_pages(spark, path, df.schema).count() == 1234
+    none = S.write_pages(df.where("k < 0"), S.landing_dir(spark, "pages"), "k")
+    assert S.read_pages(spark, none, df.schema, n=3).count() == 0
+
+
+def test_file_order_over_many_files_and_blocks(spark):
+    from comboscore.operators.ordinal import with_ordinal
+    from comboscore.operators.pairs import dedup_pairs
+    base = S.landing_dir(spark, "order")
+    first, second = f"{base}/z_first", f"{base}/a_second"     # the list decides, not the folder's name
+    rows = [(k, (k * 37) % 50) for k in range(4000)]
+    for path, part in ((first, rows[:3000]), (second, rows[3000:])):
+        os.makedirs(path)
+        for f in range(0, len(part), 600):
+            with open(os.path.join(path, f"part-{f:05d}.csv"), "w") as out:
+                out.write("k,v\n" + "".join(f"{k},{v}\n" for k, v in part[f:f + 600]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", "64kb", old):                  # blocks of a file, single files, all in one task
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            read = S.read_shards(spark, [first, second], ["k long, v long"] * 2, with_order=True)
+            got = with_ordinal(read, S.ORDER, "row").select("row", "k").collect()
+            assert sorted(map(tuple, got)) == [(k, k) for k, _ in rows], size
+            pairs = read.select(F.col("v").alias("id_a"), (F.col("v") + 100).alias("id_b"), "k", S.ORDER)
+            for keep, want in (("first", min), ("last", max)):
+                kept = {r.id_a: r.k for r in dedup_pairs(pairs, [S.ORDER], keep=keep).collect()}
+                assert kept == {v: want(k for k, x in rows if x == v) for v in range(50)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_adjacency_json_forms(spark):
     adj = spark.createDataFrame([(1, [2, 3]), (2, [1])], "id int, neighbours array<int>")
     path = S.write_adjacency(adj, S.landing_dir(spark, "adj"))
