@@ -74,6 +74,16 @@ def join_pairs(pairs: DataFrame, table: DataFrame, keep: str = "first", how: str
     return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
 
 
+def join_both(pairs: DataFrame, table: DataFrame, first: Sequence[str], last: Sequence[str],
+              prefix: str = "last_") -> DataFrame:
+    """Attach columns of the first row and (under ``prefix``) of the last row of every pair in one
+    left join. A pair has both rows or none, so one ``found`` serves both."""
+    right = table.select("id_lo", "id_hi", *(F.col("first")[c].alias(c) for c in first),
+                         *(F.col("last")[c].alias(prefix + c) for c in last), F.lit(True).alias("found"))
+    out = pairs.join(right, on=["id_lo", "id_hi"], how="left")
+    return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
+
+
 def lookup_pairs(pairs: DataFrame, scores: DataFrame, order: Sequence[str], keep: str = "first",
                  how: str = "left", a: str = "id_a", b: str = "id_b",
                  columns: Sequence[str] | None = None) -> DataFrame:

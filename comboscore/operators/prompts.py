@@ -1,16 +1,35 @@
 """Prompt and context rendering, dataset assembly and typo injection.
 
 ``render_prompts`` aggregates the looked-up pairs of each combination (at most ten) in pair
-order; it runs on the same ``combo_id`` partitioning as scoring, so building labels and
-prompts together costs one shuffle on the key plus the pair lookup.
+order. ``labelled_prompts`` builds labels and prompts together: one pair lookup, one shuffle on
+the key and one aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comboscore.functions import text as T
+from comboscore.operators.scoring import score_pairs, verdict_aggregates, verdict_columns
+
+
+def prompt_aggregates(order=("i", "j"), score_text: str = "loewe_text", prefix: str = "") -> list[Column]:
+    """Aggregates over the looked-up pairs of one combination that ``prompt_columns`` reads;
+    ``prefix`` stands before the looked-up columns."""
+    found = F.col("found")
+    a, b = prefix + "name_a", prefix + "name_b"
+    sent = F.when(found, T.score_sentence(a, b, prefix + score_text))
+    ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], sent.alias("s"))))
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(found, F.array(a, b))))))
+    return [F.array_join(F.transform(ordered, lambda x: x["s"]), " ").alias("_ctx"),
+            F.array_join(names, ", ").alias("names")]
+
+
+def prompt_columns(rule: str = T.LOEWE_RULE) -> list[Column]:
+    """prompt, context and names, from the aggregates; see ``render_prompts``."""
+    context = F.concat(F.lit(T.CONTEXT_PREFIX), F.col("_ctx"))
+    return [T.render_prompt(context, F.col("names"), rule).alias("prompt"), context.alias("context"), F.col("names")]
 
 
 def render_prompts(looked_up: DataFrame, key: str = "combo_id", order=("i", "j"),
@@ -21,16 +40,21 @@ def render_prompts(looked_up: DataFrame, key: str = "combo_id", order=("i", "j")
     blank. names: distinct names over both sides of the found pairs, sorted, joined by
     ``", "``. A combination without found pairs keeps an empty context and name list.
     """
-    found = F.col("found")
-    sent = F.when(found, T.score_sentence("name_a", "name_b", score_text))
-    ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], sent.alias("s"))))
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(found, F.array("name_a", "name_b"))))))
-    agg = looked_up.groupBy(key).agg(
-        F.array_join(F.transform(ordered, lambda x: x["s"]), " ").alias("_ctx"),
-        F.array_join(names, ", ").alias("names"))
-    context = F.concat(F.lit(T.CONTEXT_PREFIX), F.col("_ctx"))
-    return agg.select(key, T.render_prompt(context, F.col("names"), rule).alias("prompt"),
-                      context.alias("context"), "names")
+    return looked_up.groupBy(key).agg(*prompt_aggregates(order, score_text)).select(key, *prompt_columns(rule))
+
+
+def labelled_prompts(looked_up: DataFrame, key: str = "combo_id", order=("i", "j"), carry: tuple[str, ...] = (),
+                     score_text: str = "loewe_text", rule: str = T.LOEWE_RULE, prefix: str = "last_",
+                     on_missing: str = "skip") -> DataFrame:
+    """Verdict and prompt of every combination from pairs that carry both rows (``join_both``): the
+    window of the sticky flag and one aggregate, on one partitioning by ``key``.
+
+    (key, carry, prediction, reasoning, n_pairs, missing_pairs, synergistic, additive, prompt,
+    context, names), as ``combo_verdict`` and ``render_prompts`` give them.
+    """
+    agg = score_pairs(looked_up, key, order).groupBy(key).agg(
+        *[F.any_value(c).alias(c) for c in carry], *verdict_aggregates(order), *prompt_aggregates(order, score_text, prefix))
+    return agg.select(key, *carry, *verdict_columns(key, on_missing), *prompt_columns(rule))
 
 
 def dedup_combo_key(labelled: DataFrame, combo_key: str = "drugs", position: str = "combo_id",

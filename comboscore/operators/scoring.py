@@ -9,7 +9,7 @@ is bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from comboscore.functions import classify as C
@@ -41,46 +41,55 @@ def score_pairs(looked_up: DataFrame, key: str = "combo_id", order=("i", "j"),
             .withColumn("sentence", F.when(found, C.pair_sentence(name_a, name_b, word))))
 
 
-def combo_verdict(scored: DataFrame, key: str = "combo_id", order=("i", "j"),
-                  carry: tuple[str, ...] = (), on_missing: str = "skip") -> DataFrame:
-    """One row per combination.
-
-    ``on_missing``, for combinations with a pair that has no score: ``skip`` judges by the pairs
-    found, ``null`` leaves the verdict NULL and the reasoning empty, ``error`` fails the job with
-    the combination's key.
-
-    prediction: any found pair with zip < -1 -> Antagonistic; else any zip > 15 ->
-    Synergistic; else Additive; NULL when no pair was found. reasoning: pair sentences in
-    pair order. synergistic / additive: pair-label counts. ``carry`` columns are
-    functionally dependent on ``key`` and passed through.
-    """
+def verdict_aggregates(order=("i", "j")) -> list[Column]:
+    """Aggregates over the scored pairs of one combination that ``verdict_columns`` reads."""
     found = F.col("found")
     ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("sentence").alias("s"))))
+    return [F.bool_or(found & (F.col("zip") < C.ZIP_FLAG)).alias("_ant"),
+            F.bool_or(found & (F.col("zip") > C.ZIP_HIGH)).alias("_syn"),
+            F.count_if(found).alias("_found"),
+            F.count(F.lit(1)).alias("n_pairs"),
+            F.count_if(~found).alias("missing_pairs"),
+            F.count_if(F.col("pair_label") == C.SYNERGISTIC).alias("synergistic"),
+            F.count_if(F.col("pair_label") == C.ADDITIVE).alias("additive"),
+            F.array_join(F.transform(ordered, lambda x: x["s"]), "").alias("reasoning")]
+
+
+def verdict_columns(key: str = "combo_id", on_missing: str = "skip") -> list[Column]:
+    """prediction, reasoning and the counts, from the aggregates; see ``combo_verdict``."""
     if on_missing not in ("skip", "null", "error"):
         raise ValueError("on_missing must be 'skip', 'null' or 'error'")
-    agg = (scored.groupBy(key)
-           .agg(*[F.any_value(c).alias(c) for c in carry],
-                F.bool_or(found & (F.col("zip") < C.ZIP_FLAG)).alias("_ant"),
-                F.bool_or(found & (F.col("zip") > C.ZIP_HIGH)).alias("_syn"),
-                F.count_if(found).alias("_found"),
-                F.count(F.lit(1)).alias("n_pairs"),
-                F.count_if(~found).alias("missing_pairs"),
-                F.count_if(F.col("pair_label") == C.SYNERGISTIC).alias("synergistic"),
-                F.count_if(F.col("pair_label") == C.ADDITIVE).alias("additive"),
-                F.array_join(F.transform(ordered, lambda x: x["s"]), "").alias("reasoning")))
     prediction = (F.when(F.col("_found") == 0, F.lit(None).cast("string"))
                   .when(F.col("_ant"), C.ANTAGONISTIC)
                   .when(F.col("_syn"), C.SYNERGISTIC)
                   .otherwise(C.ADDITIVE))
+    reasoning = F.col("reasoning")
     short = F.col("missing_pairs") > 0
     if on_missing == "null":
         prediction = F.when(~short, prediction)
-        agg = agg.withColumn("reasoning", F.when(short, "").otherwise(F.col("reasoning")))
+        reasoning = F.when(short, "").otherwise(reasoning)
     elif on_missing == "error":
         text = F.concat(F.lit("pairs without a score in combination "), F.col(key).cast("string"))
         prediction = F.when(short, F.raise_error(text).cast("string")).otherwise(prediction)
-    return agg.select(key, *carry, prediction.alias("prediction"), "reasoning", "n_pairs",
-                      "missing_pairs", "synergistic", "additive")
+    return [prediction.alias("prediction"), reasoning.alias("reasoning"),
+            *(F.col(c) for c in ("n_pairs", "missing_pairs", "synergistic", "additive"))]
+
+
+def combo_verdict(scored: DataFrame, key: str = "combo_id", order=("i", "j"),
+                  carry: tuple[str, ...] = (), on_missing: str = "skip") -> DataFrame:
+    """One row per combination.
+
+    ``on_missing``, for combinations with a pair that has no score: ``skip`` judges by the pairs
+    found, ``null`` leaves the verdict NULL and the reasoning empty, ``error`` fails the job with
+    the combination's key.
+
+    prediction: any found pair with zip < -1 -> Antagonistic; else any zip > 15 ->
+    Synergistic; else Additive; NULL when no pair was found. reasoning: pair sentences in
+    pair order. synergistic / additive: pair-label counts. ``carry`` columns are
+    functionally dependent on ``key`` and passed through.
+    """
+    agg = scored.groupBy(key).agg(*[F.any_value(c).alias(c) for c in carry], *verdict_aggregates(order))
+    return agg.select(key, *carry, *verdict_columns(key, on_missing))
 
 
 def count_responses(scored: DataFrame, key: str = "combo_id") -> DataFrame:

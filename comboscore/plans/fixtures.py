@@ -63,15 +63,33 @@ def pair_scores(spark: SparkSession, sf_dir: str, sparse: bool = False, graph: b
             .withColumn("loewe_text", decimal_text(F.col("loewe"))))
 
 
-def combo_members(spark: SparkSession, sf_dir: str, modulus: int = MODULUS) -> DataFrame:
-    """(combo_id, pos, id): per order the distinct ``l_partkey % modulus`` in order of first
-    appearance, cut into groups of ``COMBO_MAX`` at most; groups of at least two. Every item of
+def growing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair-score rows whose ids grow with the data: every item (``l_partkey``) with the next line's
+    item of its order; the columns of ``pair_scores``. There are nearly as many pairs as lines, so
+    the lookup outgrows a broadcast as the tables grow."""
+    li = table(spark, sf_dir, "lineitem")
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*ORDER_COLS[1:]))
+    zip_ = (F.when(F.col("l_returnflag") == "R", F.round((F.col("l_quantity") - 25) * F.lit(0.8), 4))
+            .otherwise(F.round((F.col("l_quantity") - 1) * F.lit(0.4), 4)))
+    df = li.select(*ORDER_COLS, F.col("l_partkey").cast("int").alias("id_a"), after.cast("int").alias("id_b"),
+                   F.round(F.col("l_discount") * 10 - 0.5, 4).alias("bliss"),
+                   F.round(F.col("l_tax") * 10 - 0.4, 4).alias("loewe"),
+                   F.round((F.col("l_linenumber") - 4) / F.lit(10.0), 4).alias("hsa"),
+                   zip_.alias("zip")).where(F.col("id_a") != F.col("id_b"))
+    return (df.withColumn("name_a", drug_name(F.col("id_a"))).withColumn("name_b", drug_name(F.col("id_b")))
+            .withColumn("loewe_text", decimal_text(F.col("loewe"))))
+
+
+def combo_members(spark: SparkSession, sf_dir: str, modulus: int | None = MODULUS) -> DataFrame:
+    """(combo_id, pos, id): per order the distinct ``l_partkey % modulus`` (the key itself without a
+    modulus) in order of first appearance, cut into groups of ``COMBO_MAX`` at most; groups of at least two. Every item of
     an order stays; group g of order o is combination ``o * GROUPS + g``.
 
     The first-appearance step is a hash aggregate (map-side partial).
     """
     li = table(spark, sf_dir, "lineitem")
-    first = (li.select(F.col("l_orderkey"), (F.col("l_partkey") % modulus).cast("int").alias("id"),
+    item = F.col("l_partkey") if modulus is None else F.col("l_partkey") % modulus
+    first = (li.select(F.col("l_orderkey"), item.cast("int").alias("id"),
                        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("k"))
              .groupBy("l_orderkey", "id").agg(F.min("k").alias("k")))
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("k")) - 1
@@ -83,7 +101,7 @@ def combo_members(spark: SparkSession, sf_dir: str, modulus: int = MODULUS) -> D
     return ranked.withColumn("_n", n).where(F.col("_n") >= 2).select("combo_id", "pos", "id")
 
 
-def combos(spark: SparkSession, sf_dir: str, modulus: int = MODULUS) -> DataFrame:
+def combos(spark: SparkSession, sf_dir: str, modulus: int | None = MODULUS) -> DataFrame:
     """(combo_id, ids ARRAY<INT>) in member order — the parsed combination list."""
     m = combo_members(spark, sf_dir, modulus)
     return (m.groupBy("combo_id")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from comboscore.functions import classify as C
 from comboscore.functions import text as T
 from comboscore.functions.pairs import join_ids
-from comboscore.operators.pairs import combo_pairs, join_pairs, pair_table
-from comboscore.operators.prompts import render_prompts
+from comboscore.operators.pairs import combo_pairs, join_both, join_pairs, pair_table
+from comboscore.operators.prompts import labelled_prompts, render_prompts
 from comboscore.operators.scoring import combo_verdict, score_pairs
 from comboscore.plans import fixtures as fx
 from comboscore.session import cut_lineage
@@ -26,12 +26,13 @@ SCORE_COLS = ["name_a", "name_b", "bliss", "loewe", "hsa", "zip"]
 
 
 class Derived:
-    def __init__(self, spark: SparkSession, sf: str):
-        self.spark, self.sf = spark, sf
+    def __init__(self, spark: SparkSession, sf: str, growing: bool = False):
+        """``growing``: items and pairs whose number grows with the data, part of the pairs missing."""
+        self.spark, self.sf, self.growing = spark, sf, growing
 
     @cached_property
     def combos(self) -> DataFrame:
-        return (fx.combos(self.spark, self.sf).withColumn("drugs", join_ids("ids"))
+        return (fx.combos(self.spark, self.sf, None if self.growing else fx.MODULUS).withColumn("drugs", join_ids("ids"))
                 .withColumn("k", F.size("ids")))
 
     @cached_property
@@ -40,7 +41,7 @@ class Derived:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return fx.pair_scores(self.spark, self.sf)
+        return (fx.growing_scores if self.growing else fx.pair_scores)(self.spark, self.sf)
 
     @cached_property
     def pair_table(self) -> DataFrame:
@@ -72,9 +73,11 @@ class Derived:
 
     @cached_property
     def final(self) -> DataFrame:
-        """Labelled combinations joined to their prompts by key (combo_id)."""
-        v = self.verdicts.select("combo_id", "drugs", "prediction", "reasoning")
-        return v.join(self.prompts.select("combo_id", "prompt", "context"), "combo_id")
+        """Labels (from first rows) and prompts (from last rows) of every combination: one lookup, one
+        aggregate."""
+        both = join_both(self.pairs, self.pair_table, SCORE_COLS, ["name_a", "name_b", "loewe_text"])
+        return labelled_prompts(both, carry=("drugs",)).select(
+            "combo_id", "drugs", "prediction", "reasoning", "prompt", "context")
 
     @cached_property
     def responses(self) -> DataFrame:

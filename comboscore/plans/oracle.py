@@ -37,6 +37,20 @@ PAIR_SCORES_GRAPH = """ps AS (
   FROM lineitem
   WHERE l_partkey % 1000 <> (l_suppkey * 7 + l_orderkey) % 1000)"""
 
+# every item with the next line's item of its order
+PAIR_SCORES_GROWING = """ps AS (
+  SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal FROM (
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(l_partkey AS INTEGER) AS id_a,
+           CAST(lead(l_partkey) OVER (PARTITION BY l_orderkey
+                ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS id_b,
+           round(l_discount * 10 - 0.5, 4) AS bliss,
+           round(l_tax * 10 - 0.4, 4) AS loewe,
+           CAST(round((l_linenumber - 4) / CAST(10 AS DOUBLE), 4) AS DOUBLE) AS hsa,
+           CASE WHEN l_returnflag = 'R' THEN round((l_quantity - 25) * CAST(0.8 AS DOUBLE), 4)
+                ELSE round((l_quantity - 1) * CAST(0.4 AS DOUBLE), 4) END AS zip
+    FROM lineitem)
+  WHERE id_a <> id_b)"""
+
 # names, canonical key and the loewe text built from integers
 PAIR_NAMED = """psn AS (
   SELECT *, 'Drug-' || CAST(id_a AS VARCHAR) AS name_a, 'Drug-' || CAST(id_b AS VARCHAR) AS name_b,
@@ -182,4 +196,7 @@ TURNS = """turns AS (
   WHERE u.role = 'user')"""
 
 FULL = CORE + (LAST_PAIR, PROMPTS, FINAL)
+COMBOS_GROWING = COMBOS.replace("l_partkey % 60", "l_partkey")
+FULL_GROWING = (PAIR_SCORES_GROWING, PAIR_NAMED, FIRST_PAIR, COMBOS_GROWING, COMBO_PAIRS, SCORED, VERDICT,
+                LAST_PAIR, PROMPTS, FINAL)
 EVALS = FULL + (RESPONSES, EVAL)

@@ -40,6 +40,13 @@ def q_combo_verdict_sparse(spark, sf):
     return combo_verdict(score_pairs(lk), carry=("drugs",))
 
 
+@register("combo_verdict_growing", sql=O.with_ctes(*O.FULL_GROWING[:7], select="""
+SELECT combo_id, prediction, reasoning, n_pairs, missing_pairs, synergistic, additive FROM vd"""),
+          note="ids and pairs that grow with the data")
+def q_combo_verdict_growing(spark, sf):
+    return L.Derived(spark, sf, growing=True).verdicts.drop("drugs")
+
+
 @register("combo_verdict_strict", sql=O.with_ctes(O.PAIR_SCORES_SPARSE, *CORE[1:], select="""
 SELECT vd.combo_id, CASE WHEN vd.missing_pairs = 0 THEN vd.prediction END AS prediction,
        CASE WHEN vd.missing_pairs = 0 THEN vd.reasoning ELSE '' END AS reasoning, vd.n_pairs, vd.missing_pairs

@@ -51,6 +51,12 @@ def q_key_assign(spark, sf):
     return L.final(spark, sf).select("combo_id", "drugs", "prediction", "reasoning", "prompt", "context")
 
 
+@register("key_assign_growing", sql=O.with_ctes(*O.FULL_GROWING, select="""
+SELECT combo_id, drugs, prediction, reasoning, prompt, context FROM fin"""), note="ids and pairs that grow with the data")
+def q_key_assign_growing(spark, sf):
+    return L.Derived(spark, sf, growing=True).final
+
+
 @register("positional_assign", sql=O.with_ctes(*FULL, select="""
 , labd AS (
   SELECT ci.drugs, min(vd.combo_id) AS first_id, arg_max(vd.prediction, vd.combo_id) AS prediction

@@ -132,3 +132,26 @@ def test_hot_pair(spark):
     got = {r.combo_id: r.prediction for r in v.collect()}
     # combo 7: first hot row has zip -3 < -1; combo 100: pair (3, 60) is all-synergistic but zip 1
     assert got[7] == "Antagonistic" and got[100] == "Additive" and len(got) == 41
+
+
+def test_one_aggregate_gives_the_verdicts_and_prompts_of_two(spark):
+    from comboscore.operators.pairs import combo_pairs, join_both, join_pairs, pair_table
+    from comboscore.operators.prompts import labelled_prompts, render_prompts
+    from comboscore.operators.scoring import combo_verdict, score_pairs
+    scores = spark.createDataFrame(
+        [(0, 1, 2, "A", "B", 1.0, 0.5, 0.0, 20.0, "0.5"), (1, 2, 1, "B2", "A2", -1.0, -0.5, 0.0, -2.0, "-0.5"),
+         (2, 2, 3, "B", "C", 0.0, float("nan"), None, 3.0, "nan"), (3, 4, 5, "D", "E", 0.0, 0.0, 0.0, 0.0, "0.0")],
+        "o int, id_a int, id_b int, name_a string, name_b string, bliss double, loewe double, hsa double, "
+        "zip double, loewe_text string")
+    combos = spark.createDataFrame([(1, [1, 2, 3], "x"), (2, [3, 2], "y"), (3, [7, 8], "z"), (4, [5, 4, 1], "w")],
+                                   "combo_id long, ids array<int>, drugs string")
+    columns = ["name_a", "name_b", "bliss", "loewe", "hsa", "zip", "loewe_text"]
+    table = pair_table(scores, ["o"], columns)
+    pairs = combo_pairs(combos, keep=("drugs",))
+    both = labelled_prompts(join_both(pairs, table, columns[:-1], ["name_a", "name_b", "loewe_text"]), carry=("drugs",))
+    verdicts = combo_verdict(score_pairs(join_pairs(pairs, table, columns=columns[:-1])), carry=("drugs",))
+    prompts = render_prompts(join_pairs(pairs, table, keep="last"))
+    want = verdicts.join(prompts, "combo_id").select(*both.columns)
+    assert sorted(map(str, both.collect())) == sorted(map(str, want.collect()))
+    assert {r.combo_id: (r.prediction, r.names) for r in both.collect()} == {
+        1: ("Synergistic", "A2, B, B2, C"), 2: ("Additive", "B, C"), 3: (None, ""), 4: ("Additive", "D, E")}

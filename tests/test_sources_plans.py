@@ -129,6 +129,20 @@ def test_flagship_plan_has_no_cartesian_and_prunes(spark):
     assert "l_shipdate" not in plan and "l_linestatus" not in plan
 
 
+def test_labels_and_prompts_share_one_lookup_and_one_aggregate(spark):
+    import re
+    import __spark_entry__ as E
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")      # the form of a lookup beyond a broadcast
+    try:
+        plan = _plan(E.queries()["key_assign_growing"](spark, SF001)).split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    tree = plan.split("\n\n")[0]
+    assert len(re.findall(r"\bSortMergeJoin\b", tree)) == 1
+    assert "BroadcastHashJoin" not in tree and "CartesianProduct" not in tree
+
+
 def test_filters_reach_the_scan(spark):
     import __spark_entry__ as E
     plan = _plan(E.queries()["label_mask"](spark, SF001))
@@ -153,7 +167,7 @@ def test_oracle_subset_matches(spark):
     con = OC.duck(SF001)
     qs, sqls = E.queries(), E.oracle_sql()
     for name in ("combo_verdict", "render_prompt", "perturb_names", "weighted_prf", "rouge1", "corpus_bleu",
-                 "sample_cliques", "silhouette_samples", "fixed_blocks", "paged_first_n", "random_split"):
+                 "sample_cliques", "silhouette_samples", "fixed_blocks", "key_assign_growing", "paged_first_n", "random_split"):
         r = OC.compare(spark, name, qs[name], sqls[name], SF001, con)
         assert r["ok"], r
 
