@@ -7,12 +7,15 @@ of its characters starts (or where the last match ended), and repetition never b
 time is linear even in one very long run.
 
 Base kinds, kept whenever their check holds: email; ip (parts at most 255); card (13 to 19
-digits, Luhn); phone (9 to 15 digits). Added kinds carry a score: a prior, plus ``CHECKED`` if
-a checksum holds, plus ``NEAR`` if a context word stands within ``REACH`` characters before the
-span; spans with a score of ``ACCEPT`` or more are kept:
+digits, Luhn); phone (9 to 15 digits). Every span carries a score in hundredths, 100 at most: the
+kind's prior, plus ``CHECKED`` if a checksum holds, plus ``NEAR`` if a context word of the kind
+stands within ``REACH`` characters before the span, less ``AGAINST`` if a word stands there that
+speaks of another kind of number. Base spans stay whatever their score; spans of the added
+kinds are kept with a score of ``ACCEPT`` or more:
 
-* iban: mod-97 must hold (context alone is not enough);
-* national_id (3-2-4 digits) and local_phone (3-3-4 digits): need a context word.
+* iban: as many characters as its country's numbers have (so a word after it is no part of it), and
+  mod-97 must hold; then only a word against it, with none for it, drops it;
+* national_id (3-2-4 digits) and local_phone (3-3-4 digits): need a context word, and none against.
 
 Places are code points, ends exclusive. Defined results: a null text is empty and has no
 spans; rows are independent, so repeated rows and null ids need no rule; other columns are
@@ -30,8 +33,27 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Characters of an account number by country (ISO 13616)
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+
+
+def _iban_pattern() -> str:
+    """Country, two digits, then groups of four (a blank may stand before each) to the country's
+    length; other countries: two groups or more."""
+    def rest(n):
+        return f"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    known = [f"(?:{names.replace(' ', '|')})[0-9]{{2}}{rest(n - 4)}" for n, names in IBAN_LENGTHS.items()]
+    other = f"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return f"(?<![A-Za-z0-9])(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
 ADDED = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "national_id": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "local_phone": r"(?<![A-Za-z0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9-])",
 }
@@ -39,12 +61,18 @@ KINDS = [*BASE, *ADDED]
 # a text without this character cannot hold the kind
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "national_id": "-"}
 CONTEXT = {
+    "email": r"(?i)\b(e-?mail|mail|contact|write|correo|courriel)",
+    "ip": r"(?i)\b(ip|address|host|server|login|client)",
+    "card": r"(?i)\b(card|visa|mastercard|credit|karte|carte|tarjeta)",
+    "phone": r"(?i)\b(phone|tel|call|mobile|cell|fax|telefon|téléphone|teléfono|anruf)",
     "iban": r"(?i)\b(iban|account|konto|compte|cuenta|bank)",
     "national_id": r"(?i)\b(ssn|social|security|insurance|identity|sozial|sécurité|seguro)",
     "local_phone": r"(?i)\b(phone|tel|call|mobile|cell|fax|telefon|téléphone|teléfono|anruf)",
 }
-PRIOR = {"iban": 0.2, "national_id": 0.3, "local_phone": 0.3}
-CHECKED, NEAR, REACH, ACCEPT = 0.5, 0.3, 40, 0.6
+OTHER_NUMBER = r"(?i)\b(isbn|serial|sku|tracking|checksum|version|model)"
+PRIOR = {"email": 70, "ip": 40, "card": 20, "phone": 40, "iban": 20, "national_id": 30, "local_phone": 30}
+CHECKED, NEAR, AGAINST, REACH, ACCEPT = 50, 30, 20, 40, 60
+CHECKSUMS = ("card", "iban")
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -102,20 +130,31 @@ def _base_check(kind: str, x: Column) -> Column:
 
 
 def _score(text: Column, kind: str, x: Column) -> Column:
+    """Hundredths; the checksum of a base kind holds by then, that of an account number is tried here."""
     before = F.substring(text, F.greatest(x["start"] - REACH + 1, F.lit(1)), F.least(x["start"], F.lit(REACH)))
-    score = F.lit(PRIOR[kind]) + F.when(before.rlike(CONTEXT[kind]), NEAR).otherwise(0.0)
-    return score + F.when(mod97(x["value"]), CHECKED).otherwise(0.0) if kind == "iban" else score
+    score = (F.lit(PRIOR[kind]) + F.when(before.rlike(CONTEXT[kind]), NEAR).otherwise(0)
+             - F.when(before.rlike(OTHER_NUMBER), AGAINST).otherwise(0))
+    if kind in CHECKSUMS:
+        score = score + (F.when(mod97(x["value"]), CHECKED).otherwise(0) if kind == "iban" else CHECKED)
+    return F.least(score, F.lit(100))
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", prefix: str = "pii_") -> DataFrame:
-    """Add one array column per kind (``prefix`` + kind) of confirmed spans: start, end, value."""
+    """Add one array column per kind (``prefix`` + kind) of confirmed spans: start, end, value, score."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = docs.withColumns({f"{prefix}{k}": _matches(text, k) for k in KINDS})
     docs = docs.withColumns({f"{prefix}{k}": _places(text, F.col(f"{prefix}{k}"), k) for k in KINDS})
 
+    def scored(kind):
+        return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
+                                  _score(text, kind, x).alias("score"))
+
     def confirmed(kind):
-        return lambda x: _base_check(kind, x) if kind in BASE else _score(text, kind, x) >= ACCEPT
-    return docs.withColumns({f"{prefix}{k}": F.filter(F.col(f"{prefix}{k}"), confirmed(k)) for k in KINDS})
+        spans = F.col(f"{prefix}{kind}")
+        if kind in BASE:
+            return F.transform(F.filter(spans, lambda x: _base_check(kind, x)), scored(kind))
+        return F.filter(F.transform(spans, scored(kind)), lambda x: x["score"] >= ACCEPT)
+    return docs.withColumns({f"{prefix}{k}": confirmed(k) for k in KINDS})
 
 
 def _listed(kinds, prefix: str) -> Column:
@@ -126,11 +165,14 @@ def _listed(kinds, prefix: str) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, a count per base kind, base_spans, spans."""
+    """One row per document: doc_id, a count per base kind, base_spans, spans, scores (those of
+    ``spans``, in its order, joined by commas)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = with_spans(rows)
     return rows.select("doc_id", *(F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in BASE),
-                       _listed(BASE, "pii_").alias("base_spans"), _listed(KINDS, "pii_").alias("spans"))
+                       _listed(BASE, "pii_").alias("base_spans"), _listed(KINDS, "pii_").alias("spans"),
+                       F.array_join(F.concat(*(F.transform(F.col(f"pii_{k}"), lambda x: x["score"].cast("string"))
+                                               for k in KINDS)), ",").alias("scores"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", prefix: str = "pii_") -> DataFrame:

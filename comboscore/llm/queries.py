@@ -21,7 +21,7 @@ def sha(column) -> F.Column:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha("base_spans").alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha("base_spans").alias("base_sha256"), "spans", "scores")
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

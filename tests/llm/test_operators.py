@@ -125,6 +125,26 @@ def test_pii(spark):
     assert pii.find_pii(long).first().n_email == 1
 
 
+def test_account_numbers_end_with_their_country_and_context_moves_scores(spark):
+    cases = {
+        "ES91 2100 0418 4502 0005 1332 OK": ("iban:0:29", "70"),
+        "ES9121000418450200051332 BANK": ("iban:0:24", "70"),
+        "IBAN NO93 8601 1117 947 AND MORE": ("iban:5:23", "100"),
+        "FR14 2004 1010 0505 0001 3M02 606 ABC1 DEF2": ("iban:0:33", "70"),
+        "ES92 2100 0418 4502 0005 1332": ("", ""),                      # the check fails
+        "ES91 2100 0418 4502 0005 133": ("", ""),                       # one digit short
+        "serial ES91 2100 0418 4502 0005 1332": ("", ""),               # a word against it
+        "account, serial ES91 2100 0418 4502 0005 1332": ("iban:16:45", "80"),
+        "ssn 123-45-6789": ("national_id:4:15", "60"),
+        "ssn or serial 123-45-6789": ("", ""),
+        "mail a@b.cd, host 1.2.3.4": ("email:5:11,ip:18:25", "100,70"),
+        "serial 1.2.3.4": ("ip:7:14", "20"),                            # base spans stay whatever their score
+    }
+    rows = list(enumerate(cases)) + [(len(cases), None), (len(cases) + 1, "")]
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got == dict(enumerate([*cases.values(), ("", ""), ("", "")]))
+
+
 def test_redact_keeps_columns(spark):
     docs = frame(spark, list(enumerate(PII)))
     out = pii.redact(docs)
