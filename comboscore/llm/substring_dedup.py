@@ -95,29 +95,34 @@ def run_windows(window: int):
 
 
 def kept_words(window: int):
-    """Documents without the words covered by their removed windows."""
+    """Documents without the words covered by their removed windows; one mask over the bytes of many
+    documents, no loop over words."""
     def run(batches):
         for batch in batches:
             for sub, offsets, data in C.parts(batch):
                 w = C.Words(offsets, data, hashed=False)
                 spans = sub.column("spans")
-                ids = sub.column("doc_id")
-                raw = data.tobytes()
-                texts, gone = [], []
-                for k in range(sub.num_rows):
-                    i, j = int(w.bounds[k]), int(w.bounds[k + 1])
-                    removed = None
-                    if spans[k].is_valid and len(spans[k]):
-                        f = spans[k].values
-                        lo, hi = (f.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in range(2))
-                        removed = C.covered(lo, hi + window, j - i)
-                    words = (raw[s:e] for s, e in zip(w.starts[i:j].tolist(), w.ends[i:j].tolist()))
-                    if removed is not None:
-                        words = (x for x, r in zip(words, removed.tolist()) if not r)
-                    gone.append(0 if removed is None else int(removed.sum()))
-                    texts.append(b" ".join(words).decode("utf-8"))
-                yield pa.record_batch([ids, pa.array(w.counts, pa.int64()), pa.array(gone, pa.int64()),
-                                       pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+                per_doc = np.diff(spans.offsets.to_numpy())
+                per_doc[spans.is_null().to_numpy(zero_copy_only=False)] = 0
+                flat = spans.flatten()
+                lo, hi = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in range(2))
+                base = np.repeat(w.bounds[:-1], per_doc)
+                removed = C.covered(lo + base, hi + base + window, len(w))
+                kept = np.flatnonzero(~removed)
+                document = w.documents()
+                more = np.zeros(len(kept), bool)          # another kept word of the document follows
+                more[:-1] = document[kept[1:]] == document[kept[:-1]]
+                start, end = w.starts[kept], w.ends[kept]
+                # between two words of a document stands a separator at least: the first becomes the blank
+                out = data.copy()
+                out[end[more]] = 0x20
+                keep = C.covered(start, end + more, len(data))
+                ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
+                text = pa.Array.from_buffers(pa.large_string(), sub.num_rows, [None, pa.py_buffer(ends.astype(np.int64)),
+                                                                               pa.py_buffer(out[keep])])
+                gone = np.diff(np.concatenate([[0], np.cumsum(removed)])[w.bounds])
+                yield pa.record_batch([sub.column("doc_id"), pa.array(w.counts, pa.int64()), pa.array(gone, pa.int64()),
+                                       text.cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
     return run
 
 
