@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from comboscore.llm import (decontaminate, html_extract, ngram_join, packing, phrases, pii, prefix_trie, quality, secrets,
                             substring_dedup, suffix_dedup, token_output, toxicity)
+from comboscore.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,4 +87,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_html_extract, op3_substring_dedup, op4_decontaminate, op5_suffix_dedup,
                             op6_quality, op7_token_output, op8_ngram_join, op9_packing, op10_toxicity, op11_prefix_trie, op12_secret_scan,
                             op13_phrase_mining)}
-ORACLE_SQL: dict[str, str] = {}
