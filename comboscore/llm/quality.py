@@ -10,12 +10,16 @@ takes mean and covariance of the rows within ``NEAR`` of it. Just under half of
 may be anything, a pile of copies included. A document whose squared distance is over ``CUT``
 is rejected.
 
-A group of fewer than ``LEAST`` rows that pass the base rule is judged by the estimate of its
-language, and a language of fewer by that of the whole table, so every row gets a distance.
+Small groups lean on larger ones by one rule for every size: centre and scatter of a language are
+drawn towards the whole table's, and those of a (language, source) towards its language's, each with
+the weight n / (n + ``PRIOR``) for its own n rows that pass the base rule. So every row gets a
+distance, and no verdict hangs on which side of a size a group lies. Centres and scatters are drawn
+separately: the spread between a group and its language is not added to the scatter, where it would
+excuse every row of a small odd group.
 
 All steps are aggregates over all rows: the distance that bounds the nearest ``SHARE`` comes
 from moments per logarithmic distance bin, so a group of any size is never collected, and the
-estimates are joined back as a table with a few rows per group. ``FLOOR`` is added to the scatter,
+estimates are joined back as a table with one row per group. ``FLOOR`` is added to the scatter,
 so that statistics which hardly vary in a group don't make a small difference an outlier.
 
 Defined results: a null text has no words (the base rule rejects it); null language or source
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from comboscore.llm import columnar as C
 from comboscore.session import cut_lineage
 
-SHARE, LEAST = 0.5, 30
+SHARE, PRIOR = 0.5, 30
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
 FLOOR = (0.6, 0.10, 0.15, 0.08, 0.08)            # least standard deviation of each feature
 CUT = 30.0                                       # squared distance, five features
@@ -232,13 +236,41 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     return cut_lineage(near.groupBy(*KEY, "start").agg(*_moments()).mapInArrow(_estimate(NEAR_SHARE), ESTIMATE))
 
 
-def _with_keys(groups: DataFrame) -> DataFrame:
-    """(lang, source) and the key of the estimate that judges it: its own, its language's or the table's."""
-    languages = groups.groupBy("lang").agg(F.sum("n").alias("of_lang"))
-    level = F.when(F.col("n") >= LEAST, 2).when(F.col("of_lang") >= LEAST, 1).otherwise(0)
-    return groups.join(languages, "lang").select("lang", "source", level.alias("level")).select(
-        "lang", "source", "level", F.when(F.col("level") > 0, F.col("lang")).otherwise("").alias("g_lang"),
-        F.when(F.col("level") > 1, F.col("source")).otherwise("").alias("g_source"))
+LEVELS = ("whole", "language", "own")            # the order in which estimates are drawn together
+JUDGE = ", ".join(["lang string", "source string", *(f"m{i} double" for i in range(P)), *(f"w{i}{j} double" for i, j in PAIRS)])
+
+
+def _draw(batches):
+    """Centre and inverse scatter that judge a group: each level's own, weighted n / (n + PRIOR), over the level above."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            centre = scatter = None
+            for e in (r[x] for x in LEVELS):
+                if e is None:                                        # no row of this key passes the base rule
+                    continue
+                m = np.array([e[f"m{i}"] for i in range(P)])
+                w = _matrix(e, "w")
+                w[~np.eye(P, dtype=bool)] /= 2
+                s, own = np.linalg.inv(w), e["n"] / (e["n"] + PRIOR)
+                centre = m if centre is None else own * m + (1 - own) * centre
+                scatter = s if scatter is None else own * s + (1 - own) * scatter
+            if centre is not None:
+                w = np.linalg.inv(scatter)
+                out.append([r["lang"], r["source"], *map(float, centre), *(float(w[i, j]) * (2 if i != j else 1) for i, j in PAIRS)])
+        cols = list(zip(*out)) if out else [[] for _ in range(2 + P + len(PAIRS))]
+        yield pa.record_batch([pa.array(c, pa.string() if i < 2 else pa.float64()) for i, c in enumerate(cols)],
+                              names=[x.split()[0] for x in JUDGE.split(", ")])
+
+
+def _judges(groups: DataFrame, estimate: DataFrame) -> DataFrame:
+    """(lang, source, centre, inverse scatter) for every group of ``groups``."""
+    each = F.struct("n", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS))
+    whole, language, own = (estimate.where(F.col("level") == k).select(
+        F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), each.alias(name)) for k, name in enumerate(LEVELS))
+    out = groups.join(own, ["lang", "source"], "left").join(language.drop("source"), "lang", "left")
+    whole = whole.select(F.lit(0).alias("of"), "whole")              # one row
+    return out.withColumn("of", F.lit(0)).join(whole, "of", "left").select("lang", "source", *LEVELS).mapInArrow(_draw, JUDGE)
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -248,14 +280,14 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     counts = cut_lineage(texts.mapInArrow(text_counts, COUNTS).withColumn("base_failed", base).select("*", *transformed()))
-    keys = cut_lineage(_with_keys(counts.groupBy("lang", "source").agg(F.sum((~F.col("base_failed")).cast("long")).alias("n"))))
-    # a row counts for its group, its language and the table, where that key judges anything
+    # a row counts for its group, its language and the table
     levels = F.array(*(F.struct(F.lit(k).alias("level"), (F.col("lang") if k > 0 else F.lit("")).alias("g_lang"),
                                 (F.col("source") if k > 1 else F.lit("")).alias("g_source")) for k in (2, 1, 0)))
     rows = counts.where("not base_failed").select(F.explode(levels).alias("key"), *FEATURES).select("key.*", *FEATURES)
-    rows = rows.join(keys.select(*KEY).distinct(), KEY)
-    estimate = robust_estimates(rows).drop("start", "logdet", "moving")
-    out = counts.join(keys, ["lang", "source"]).join(estimate, KEY, "left").withColumn("distance", _distance())
+    sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    estimate = cut_lineage(robust_estimates(rows).drop("start", "logdet", "moving").join(sizes, KEY))
+    judges = cut_lineage(_judges(counts.select("lang", "source").distinct(), estimate))
+    out = counts.join(judges, ["lang", "source"], "left").withColumn("distance", _distance())
     return out.withColumn("distance", F.when(F.col("w00").isNotNull(), F.col("distance"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)).alias("kept"))

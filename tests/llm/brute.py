@@ -2,9 +2,12 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
+import numpy as np
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 TERMS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -115,6 +118,69 @@ def counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), sum(again)
 
 
+def chi2(x, dof):
+    """Distribution function of chi-squared by the sum over a fine grid."""
+    t = (np.arange(400_000) + 0.5) * (x / 400_000)
+    return float((t ** (dof / 2 - 1) * np.exp(-t / 2)).sum() * (x / 400_000) / (2 ** (dof / 2) * math.gamma(dof / 2)))
+
+
+def consistency(share):
+    if share >= 1 - 1e-9:
+        return 1.0
+    low, high = 0.0, 100.0
+    while high - low > 1e-7:
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2(mid, 5) < share else (low, mid)
+    return share / chi2(high, 7)
+
+
+def far(x, centre, scatter):
+    d = x - centre
+    return np.maximum(np.einsum("ni,ij,nj->n", d, np.linalg.inv(scatter), d), 1e-9)
+
+
+def mcd(x, floor, near):
+    """Centre and scatter of the rows of ``x``: three starts, half of the rows as the core, one reweighting."""
+    n, p = x.shape
+    middle = lambda v: np.sort(v, axis=0)[math.ceil(n / 2) - 1]
+    med = middle(x)
+    scale = np.sqrt((1.4826 * middle(np.abs(x - med))) ** 2 + floor ** 2)
+    z = (x - med) / scale
+    signs = z / np.sqrt(np.maximum((z * z).sum(1, keepdims=True), 1e-12))
+    best = None
+    for start in (np.eye(p), p * signs.T @ signs / n, np.tanh(z).T @ np.tanh(z) / n):
+        centre, scatter, before = med, np.diag(scale) @ (start + 0.01 * np.eye(p)) @ np.diag(scale), math.inf
+        while True:
+            b = np.floor(np.log(far(x, centre, scatter)) * 16)
+            last = np.sort(b)[math.ceil(n / 2) - 1]
+            core = x[b <= last]
+            centre = core.mean(0)
+            scatter = np.cov(core.T, bias=True) * consistency(len(core) / n) + np.diag(floor ** 2)
+            logdet = np.linalg.slogdet(scatter)[1]
+            if best is None or logdet < best[0]:
+                best = logdet, centre, scatter
+            if not logdet < before - 1e-3:
+                break
+            before = logdet
+    core = x[far(x, best[1], best[2]) <= near]
+    return core.mean(0), np.cov(core.T, bias=True) * consistency(0.975) + np.diag(floor ** 2)
+
+
+def distances(groups, x, floor, near, prior):
+    """Squared distance of every row of ``x``; ``groups``: its (language, source)."""
+    out = np.zeros(len(x))
+    for lang, source in sorted(set(groups)):
+        centre = scatter = None
+        for inside in (lambda a, b: True, lambda a, b: a == lang, lambda a, b: (a, b) == (lang, source)):
+            part = x[[inside(a, b) for a, b in groups]]
+            c, s = mcd(part, floor, near)
+            w = len(part) / (len(part) + prior) if centre is not None else 1
+            centre, scatter = (c, s) if centre is None else (w * c + (1 - w) * centre, w * s + (1 - w) * scatter)
+        here = np.array([g == (lang, source) for g in groups])
+        out[here] = far(x[here], centre, scatter)
+    return out
+
+
 def classes(rows, n=5):
     sets = []
     for _, t in rows:
@@ -139,7 +205,6 @@ def classes(rows, n=5):
 
 def pieces_hold(pieces, documents, size):
     """Every id once, offsets without gaps, checksums right."""
-    import numpy as np
     at = collections.defaultdict(int)
     for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
         assert p.offset == at[p.sequence_id]

@@ -189,6 +189,26 @@ def test_quality_judges_small_groups(spark):
         assert all(got[i].kept != junk[i] for i in junk)
 
 
+def test_quality_distances(spark):
+    """distance and kept of groups of 1 to 120 rows against numpy on the whole table."""
+    rng = random.Random(8)
+    rows, groups = [], []
+    for lang, source, many, most in (("en", "a", 120, 140), ("en", "b", 12, 300), ("en", "c", 1, 100), ("de", "a", 40, 90), ("de", "d", 3, 200), ("fr", "e", 2, 80)):
+        for i in range(many):
+            t = prose(rng, 60, most)
+            rows.append((len(rows), t if i % 9 else "\n".join([t + " # $ | <" * rng.randint(1, 40)] + ["one line again"] * (i % 4))))
+            groups.append((lang, source))
+    table = spark.createDataFrame([(i, t, *g) for (i, t), g in zip(rows, groups)], "doc_id long, text string, lang string, source string")
+    got = sorted(quality.score_quality(table.repartition(4)).collect(), key=lambda r: r.doc_id)
+    passing = [i for i, r in enumerate(got) if not r.base_failed]
+    x = np.array([[np.log1p(w), np.log(max(c, 1) / max(w, 1)), np.sqrt(s / max(w, 1)), np.sqrt(d / max(w, 1) * 10), np.sqrt(a / max(w, 1))]
+                  for w, c, s, d, a in (brute.counts(t) for _, t in rows)])
+    want = brute.distances([groups[i] for i in passing], x[passing], np.array(quality.FLOOR), quality.NEAR, quality.PRIOR)
+    assert len(passing) > 160 and 0 < sum(not got[i].kept for i in passing) < 20
+    np.testing.assert_allclose([got[i].distance for i in passing], want, rtol=1e-4)
+    assert [got[i].kept for i in passing] == list(want <= quality.CUT)
+
+
 def token_ids(texts):
     import public_tokenizers as P
     from tokenizers import Tokenizer
