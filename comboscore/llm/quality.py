@@ -236,41 +236,43 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     return cut_lineage(near.groupBy(*KEY, "start").agg(*_moments()).mapInArrow(_estimate(NEAR_SHARE), ESTIMATE))
 
 
-LEVELS = ("whole", "language", "own")            # the order in which estimates are drawn together
 JUDGE = ", ".join(["lang string", "source string", *(f"m{i} double" for i in range(P)), *(f"w{i}{j} double" for i, j in PAIRS)])
 
 
-def _draw(batches):
-    """Centre and inverse scatter that judge a group: each level's own, weighted n / (n + PRIOR), over the level above."""
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            centre = scatter = None
-            for e in (r[x] for x in LEVELS):
-                if e is None:                                        # no row of this key passes the base rule
-                    continue
-                m = np.array([e[f"m{i}"] for i in range(P)])
-                w = _matrix(e, "w")
-                w[~np.eye(P, dtype=bool)] /= 2
-                s, own = np.linalg.inv(w), e["n"] / (e["n"] + PRIOR)
-                centre = m if centre is None else own * m + (1 - own) * centre
-                scatter = s if scatter is None else own * s + (1 - own) * scatter
-            if centre is not None:
-                w = np.linalg.inv(scatter)
-                out.append([r["lang"], r["source"], *map(float, centre), *(float(w[i, j]) * (2 if i != j else 1) for i, j in PAIRS)])
-        cols = list(zip(*out)) if out else [[] for _ in range(2 + P + len(PAIRS))]
-        yield pa.record_batch([pa.array(c, pa.string() if i < 2 else pa.float64()) for i, c in enumerate(cols)],
-                              names=[x.split()[0] for x in JUDGE.split(", ")])
+def _draw(whole):
+    """Centre and inverse scatter that judge a group: its own, weighted n / (n + PRIOR), over its language's over the table's."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                centre = scatter = None
+                for e in (whole, r["language"], r["own"]):
+                    if e is None:                                    # no row of this key passes the base rule
+                        continue
+                    m = np.array([e[f"m{i}"] for i in range(P)])
+                    w = _matrix(e, "w")
+                    w[~np.eye(P, dtype=bool)] /= 2
+                    s, own = np.linalg.inv(w), e["n"] / (e["n"] + PRIOR)
+                    centre = m if centre is None else own * m + (1 - own) * centre
+                    scatter = s if scatter is None else own * s + (1 - own) * scatter
+                if centre is not None:
+                    w = np.linalg.inv(scatter)
+                    out.append([r["lang"], r["source"], *map(float, centre), *(float(w[i, j]) * (2 if i != j else 1) for i, j in PAIRS)])
+            cols = list(zip(*out)) if out else [[] for _ in range(2 + P + len(PAIRS))]
+            yield pa.record_batch([pa.array(c, pa.string() if i < 2 else pa.float64()) for i, c in enumerate(cols)],
+                                  names=[x.split()[0] for x in JUDGE.split(", ")])
+    return run
 
 
 def _judges(groups: DataFrame, estimate: DataFrame) -> DataFrame:
     """(lang, source, centre, inverse scatter) for every group of ``groups``."""
     each = F.struct("n", *(f"m{i}" for i in range(P)), *(f"w{i}{j}" for i, j in PAIRS))
     whole, language, own = (estimate.where(F.col("level") == k).select(
-        F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), each.alias(name)) for k, name in enumerate(LEVELS))
+        F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), each.alias(name))
+        for k, name in enumerate(("whole", "language", "own")))
+    row = whole.first()                                              # the table's one estimate, or none
     out = groups.join(own, ["lang", "source"], "left").join(language.drop("source"), "lang", "left")
-    whole = whole.select(F.lit(0).alias("of"), "whole")              # one row
-    return out.withColumn("of", F.lit(0)).join(whole, "of", "left").select("lang", "source", *LEVELS).mapInArrow(_draw, JUDGE)
+    return out.mapInArrow(_draw(row["whole"].asDict() if row else None), JUDGE)
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
