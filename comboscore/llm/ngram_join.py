@@ -10,13 +10,15 @@ transpose, done in blocks, after rows and columns that cannot matter are left ou
 3. Blocks. Nodes that share such a shingle and are not kept apart by size (a set of fewer than
    ``threshold`` times the other's shingles cannot link) fall into one candidate class. Each class is
    cut into tiles of a bounded number of nodes and of shingles, and every pair of its tiles is
-   one task: whole sets, dense column blocks, overlap counts accumulated by matrix products
-   over rows whose sizes allow a link, and pairs below the size-derived bound
+   one task: whole sets, overlap counts accumulated over rows whose sizes allow a link (a column
+   of few rows adds one to each of its pairs; columns of many rows, whose blocks are dense, go by
+   matrix products), and pairs below the size-derived bound
    threshold / (1 + threshold) * (n1 + n2) discarded. A task returns a star per linked group,
    never its pairs.
 4. Links are joined to classes by ``components``.
 
-Hot shingles (by the sketch) are salted by node and joined again in a second step. Sizes are
+Hot shingles (by the sketch) are salted by node, the more the hotter, so that about ``HOT``
+postings share a salt at any size of the table, and joined again in a second step. Sizes are
 compared in whole numbers, so the threshold is met exactly. Shingles are 64-bit hashes of
 their words, nodes 64-bit hashes of sets paired with their sizes.
 
@@ -38,9 +40,10 @@ from comboscore.llm.substring_dedup import _numbers, keyed
 from comboscore.session import cut_lineage
 
 WIDTH, SLICE = 22, 16                        # counters of the sketch, and of a slice of it (powers of two)
-HOT, SALTS = 2000, 16
+HOT = 2048                                   # postings of a hot shingle that share a salt
 TILE_NODES, TILE_SHINGLES = 1024, 1 << 21
 COLUMNS = 2048
+LIGHT, PAIRS = 64, 1 << 22                   # rows of a column that is multiplied pair by pair; pairs held at once
 
 FIRST = "doc_id long, text_key long, n long, node long, slice int, counts binary"
 POSTINGS = "shingle long, node long, n long, salt int"
@@ -133,7 +136,8 @@ def prefixes(sketch, n: int, up: int, low: int):
                     seen.add(x)
                 at = by[C.ranges(begin, want)]
                 who = d[at]
-                salt = np.where(level[at] >= hot, (node[who] % np.uint64(SALTS)).astype(np.int32), -1)
+                salts = np.left_shift(np.uint64(1), np.clip(level[at] // 8 + 1 - np.log2(HOT), 1, 30).astype(np.uint64))
+                salt = np.where(level[at] >= hot, (node[who] % salts).astype(np.int32), -1)
                 yield pa.record_batch([pa.array(s[at].view(np.int64)), pa.array(node[who].view(np.int64)),
                                        pa.array(sizes[who], pa.int64()), pa.array(salt, pa.int32())],
                                       names=[x.split()[0] for x in POSTINGS.split(", ")])
@@ -219,23 +223,44 @@ def whole_sets(n: int):
     return run
 
 
+def light_overlap(row, col, lo: int, hi: int, stop: int) -> np.ndarray:
+    """Overlap counts of rows lo:hi with rows lo:stop, over columns sorted by (column, row): one for each pair of a column."""
+    ok = (row >= lo) & (row < stop)
+    row, col = row[ok], col[ok]
+    total = np.zeros((hi - lo) * (stop - lo), np.float32)
+    first = np.flatnonzero(row < hi)
+    many = np.searchsorted(col, col[first], "right") - first - 1          # the later rows of the column
+    upto = np.cumsum(many)
+    at = 0
+    while at < len(first):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        x = np.repeat(row[first[at:end]], many[at:end])
+        y = row[C.ranges(first[at:end] + 1, many[at:end])]
+        total += np.bincount((x - lo) * (stop - lo) + (y - lo), minlength=len(total))
+        at = end
+    return total.reshape(hi - lo, stop - lo)
+
+
 def block_links(sets: list[np.ndarray], side: np.ndarray, up: int, low: int):
     """Linked pairs (row, row) of one block; ``side`` 0/1: only pairs across, if both occur.
 
-    Overlap counts by blocks of columns, rows sorted by size; only rows whose sizes allow a
-    link are multiplied.
+    Rows are sorted by size and only rows whose sizes allow a link are multiplied. The product is
+    sparse: columns of at most ``LIGHT`` rows are multiplied pair by pair, the others by column blocks.
     """
     n = np.array([len(x) for x in sets], np.int64)
     order = np.argsort(n, kind="stable")
     n = n[order]
     row = np.repeat(np.arange(len(order)), n)
     _, col, many = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
-    keep = many[col] > 1                                   # a column of one row adds to no pair
-    number = np.cumsum(many > 1) - 1
-    row, col = row[keep], number[col[keep]]
-    by = np.argsort(col, kind="stable")
-    row, col = row[by], col[by]
-    columns = int(col[-1]) + 1 if len(col) else 0
+
+    def columns_where(keep):
+        number = np.cumsum(keep) - 1
+        own = keep[col]
+        r, c = row[own], number[col[own]]
+        by = np.argsort(c, kind="stable")
+        return r[by], c[by], int(keep.sum())
+    light_row, light_col, light = columns_where((many > 1) & (many <= LIGHT))   # a column of one row adds to no pair
+    row, col, columns = columns_where(many > max(1, LIGHT))
     across = side.any() and not side.all()
     side = side[order]
     out = []
@@ -245,9 +270,9 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, up: int, low: int):
     for i in range(0, len(n), step):
         j = min(len(n), i + step)
         stop = int(end[j - 1])
-        if not columns or stop <= i + 1:
+        if not columns + light or stop <= i + 1:
             continue
-        overlap = np.zeros((j - i, stop - i), np.float32)
+        overlap = light_overlap(light_row, light_col, i, j, stop)
         for c in range(0, columns, COLUMNS):
             lo, hi = np.searchsorted(col, [c, c + COLUMNS])
             r, k = row[lo:hi], col[lo:hi] - c

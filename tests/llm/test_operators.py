@@ -209,6 +209,23 @@ def test_quality_distances(spark):
     assert [got[i].kept for i in passing] == list(want <= quality.CUT)
 
 
+def test_block_links_by_pairs_and_by_column_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 4000, rng.integers(1, 60))) for _ in range(15)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.08], rng.integers(0, 4000, 2)])).astype(np.uint64)
+            for b in base for _ in range(20)]
+    side = rng.random(len(sets)) < 0.5
+    for across in (np.zeros(len(sets), bool), side):
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if (not across.any() or side[i] != side[j])
+                and 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - k)}
+        assert len(want) > 100
+        for light, pairs in ((64, 1 << 22), (0, 1 << 22), (5, 7), (1 << 20, 50)):
+            monkeypatch.setattr(ngram_join, "LIGHT", light)
+            monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+            x, y = ngram_join.block_links(sets, across, 80, 100)
+            assert {(max(a, b), min(a, b)) for a, b in zip(x.tolist(), y.tolist())} == want and len(x) == len(want)
+
+
 def token_ids(texts):
     import public_tokenizers as P
     from tokenizers import Tokenizer
