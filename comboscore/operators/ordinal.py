@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from comboscore.session import cut_lineage
 
 _LOCAL_BITS = 33
+TOP = 100_000       # rows that one task may hold as the first of an order
 
 
 def _cols(order) -> list[Column]:
@@ -118,6 +119,9 @@ def align(left: DataFrame, right: DataFrame, left_order, right_order, n: int | N
     """Pair rows by position. ``inner`` truncates to the shorter side; ``left`` keeps the
     left length (short right side -> NULL, extra right rows dropped). ``n`` keeps only the
     first n positions of both sides."""
+    if n is not None and n <= TOP:
+        # the first rows of each side only: nothing else is numbered or stored
+        left, right = head(left, n, left_order), head(right, n, right_order)
     lo = with_ordinal(left, left_order, name)
     ro = with_ordinal(right, right_order, name)
     if n is not None:

@@ -14,12 +14,14 @@ from comboscore.functions import text as T
 from comboscore.operators.scoring import score_pairs, verdict_aggregates, verdict_columns
 
 
-def prompt_aggregates(order=("i", "j"), score_text: str = "loewe_text", prefix: str = "") -> list[Column]:
+def prompt_aggregates(order=("i", "j"), score_text: str | Column = "loewe_text", prefix: str = "",
+                      names=("name_a", "name_b")) -> list[Column]:
     """Aggregates over the looked-up pairs of one combination that ``prompt_columns`` reads;
-    ``prefix`` stands before the looked-up columns."""
+    ``prefix`` stands before the looked-up columns. Names and score texts may be columns (made from ids
+    and numbers, so that shuffles carry no texts)."""
     found = F.col("found")
-    a, b = prefix + "name_a", prefix + "name_b"
-    sent = F.when(found, T.score_sentence(a, b, prefix + score_text))
+    a, b, text = (F.col(prefix + c) if isinstance(c, str) else c for c in (*names, score_text))
+    sent = F.when(found, T.score_sentence(a, b, text))
     ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], sent.alias("s"))))
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(found, F.array(a, b))))))
     return [F.array_join(F.transform(ordered, lambda x: x["s"]), " ").alias("_ctx"),
@@ -33,28 +35,34 @@ def prompt_columns(rule: str = T.LOEWE_RULE) -> list[Column]:
 
 
 def render_prompts(looked_up: DataFrame, key: str = "combo_id", order=("i", "j"),
-                   score_text: str = "loewe_text", rule: str = T.LOEWE_RULE) -> DataFrame:
+                   score_text: str | Column = "loewe_text", rule: str = T.LOEWE_RULE,
+                   names=("name_a", "name_b")) -> DataFrame:
     """(key, prompt, context, names) from pairs looked up with ``found`` flags.
 
     context: ``"Context: "`` + score sentences of found pairs in pair order, joined by a
     blank. names: distinct names over both sides of the found pairs, sorted, joined by
     ``", "``. A combination without found pairs keeps an empty context and name list.
     """
-    return looked_up.groupBy(key).agg(*prompt_aggregates(order, score_text)).select(key, *prompt_columns(rule))
+    agg = looked_up.groupBy(key).agg(*prompt_aggregates(order, score_text, names=names))
+    return agg.select(key, *prompt_columns(rule))
 
 
 def labelled_prompts(looked_up: DataFrame, key: str = "combo_id", order=("i", "j"), carry: tuple[str, ...] = (),
-                     score_text: str = "loewe_text", rule: str = T.LOEWE_RULE, prefix: str = "last_",
-                     on_missing: str = "skip") -> DataFrame:
+                     score_text: str | Column = "loewe_text", rule: str = T.LOEWE_RULE, prefix: str = "last_",
+                     on_missing: str = "skip", names=("name_a", "name_b"), last_names=("name_a", "name_b"),
+                     also: tuple[Column, ...] = ()) -> DataFrame:
     """Verdict and prompt of every combination from pairs that carry both rows (``join_both``): the
     window of the sticky flag and one aggregate, on one partitioning by ``key``.
 
     (key, carry, prediction, reasoning, n_pairs, missing_pairs, synergistic, additive, prompt,
-    context, names), as ``combo_verdict`` and ``render_prompts`` give them.
+    context, names), as ``combo_verdict`` and ``render_prompts`` give them; ``also``: more aggregates,
+    named columns behind ``carry``. Names that are columns are made after the window.
     """
-    agg = score_pairs(looked_up, key, order).groupBy(key).agg(
-        *[F.any_value(c).alias(c) for c in carry], *verdict_aggregates(order), *prompt_aggregates(order, score_text, prefix))
-    return agg.select(key, *carry, *verdict_columns(key, on_missing), *prompt_columns(rule))
+    agg = score_pairs(looked_up, key, order, *names).groupBy(key).agg(
+        *[F.any_value(c).alias(c) for c in carry], *also, *verdict_aggregates(order),
+        *prompt_aggregates(order, score_text, prefix, last_names))
+    own = agg.columns[1 + len(carry):][:len(also)]
+    return agg.select(key, *carry, *own, *verdict_columns(key, on_missing), *prompt_columns(rule))
 
 
 def dedup_combo_key(labelled: DataFrame, combo_key: str = "drugs", position: str = "combo_id",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from comboscore.functions.text import decimal_text
+from comboscore.session import deal
 
 # Fixed parameters of the derived views (ids wrap at MODULUS; names are "Drug-<id>").
 MODULUS = 60
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def lines(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of ``lineitem``, from the files' footers."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def drug_name(c) -> F.Column:
     return F.concat(F.lit(NAME_PREFIX), c.cast("string"))
 
@@ -67,7 +73,7 @@ def growing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair-score rows whose ids grow with the data: every item (``l_partkey``) with the next line's
     item of its order; the columns of ``pair_scores``. There are nearly as many pairs as lines, so
     the lookup outgrows a broadcast as the tables grow."""
-    li = table(spark, sf_dir, "lineitem")
+    li = deal(table(spark, sf_dir, "lineitem"), lines(spark, sf_dir), "l_orderkey")
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*ORDER_COLS[1:]))
     zip_ = (F.when(F.col("l_returnflag") == "R", F.round((F.col("l_quantity") - 25) * F.lit(0.8), 4))
             .otherwise(F.round((F.col("l_quantity") - 1) * F.lit(0.4), 4)))
@@ -85,9 +91,9 @@ def combo_members(spark: SparkSession, sf_dir: str, modulus: int | None = MODULU
     modulus) in order of first appearance, cut into groups of ``COMBO_MAX`` at most; groups of at least two. Every item of
     an order stays; group g of order o is combination ``o * GROUPS + g``.
 
-    The first-appearance step is a hash aggregate (map-side partial).
+    Lines are dealt out by order once; the aggregate and both windows keep that partitioning.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = deal(table(spark, sf_dir, "lineitem"), lines(spark, sf_dir), "l_orderkey")
     item = F.col("l_partkey") if modulus is None else F.col("l_partkey") % modulus
     first = (li.select(F.col("l_orderkey"), item.cast("int").alias("id"),
                        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("k"))
@@ -103,7 +109,7 @@ def combo_members(spark: SparkSession, sf_dir: str, modulus: int | None = MODULU
 
 def combos(spark: SparkSession, sf_dir: str, modulus: int | None = MODULUS) -> DataFrame:
     """(combo_id, ids ARRAY<INT>) in member order — the parsed combination list."""
-    m = combo_members(spark, sf_dir, modulus)
+    m = deal(combo_members(spark, sf_dir, modulus), lines(spark, sf_dir), "combo_id")
     return (m.groupBy("combo_id")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
             .select("combo_id", F.transform("_s", lambda x: x["id"]).alias("ids")))

@@ -13,6 +13,7 @@ from comboscore.operators.textmetrics import bleu_row_counts, corpus_bleu, rouge
 from comboscore.plans import lineage as L
 from comboscore.plans import oracle as O
 from comboscore.plans.registry import register
+from comboscore.session import cut_lineage
 
 EV = O.EVALS
 SEED = L.SEED
@@ -89,15 +90,20 @@ def q_metric_report(spark, sf):
 
 # --------------------------------------------------------------------- positional alignment
 
+def _labels_and_answers(spark, sf):
+    """Labels of all combinations and answers of those with three items or more, stored once."""
+    rows = cut_lineage(L.Derived(spark, sf).answered.select("combo_id", "k", "prediction", "response"))
+    return (rows.select("combo_id", "prediction"),
+            rows.where(F.col("k") >= 3).select(F.col("combo_id").alias("rkey"), "response"))
+
+
 @register("zip_min_length", sql=O.with_ctes(*EV, select="""
 , fo AS (SELECT combo_id, prediction, row_number() OVER (ORDER BY combo_id) - 1 AS ordinal FROM fin),
 ro AS (SELECT response, row_number() OVER (ORDER BY resp.combo_id) - 1 AS ordinal
   FROM resp JOIN combo_ids USING (combo_id) WHERE k >= 3)
 SELECT fo.ordinal, fo.combo_id, fo.prediction, ro.response FROM fo JOIN ro ON ro.ordinal = fo.ordinal"""))
 def q_zip_min_length(spark, sf):
-    d = L.Derived(spark, sf)
-    f = d.final.select("combo_id", "prediction")
-    r = d.responses.where(F.col("k") >= 3).select(F.col("combo_id").alias("rkey"), "response")
+    f, r = _labels_and_answers(spark, sf)
     return align(f, r, "combo_id", "rkey").select("ordinal", "combo_id", "prediction", "response")
 
 
@@ -108,9 +114,7 @@ ro AS (SELECT response, row_number() OVER (ORDER BY resp.combo_id) - 1 AS ordina
 SELECT fo.ordinal, fo.combo_id, fo.prediction, ro.response FROM fo JOIN ro ON ro.ordinal = fo.ordinal
 WHERE fo.ordinal < 1001"""))
 def q_zip_prefix(spark, sf):
-    d = L.Derived(spark, sf)
-    f = d.final.select("combo_id", "prediction")
-    r = d.responses.where(F.col("k") >= 3).select(F.col("combo_id").alias("rkey"), "response")
+    f, r = _labels_and_answers(spark, sf)
     return align(f, r, "combo_id", "rkey", n=1001).select("ordinal", "combo_id", "prediction", "response")
 
 
@@ -167,7 +171,8 @@ def q_shuffle_batches(spark, sf):
 SELECT combo_id, batch_id, max(n_tokens) OVER (PARTITION BY batch_id) AS pad_len FROM b"""))
 def q_batch_pad_length(spark, sf):
     f = L.final(spark, sf).select("combo_id", F.size(T.ws_tokens("prompt")).alias("n_tokens"))
-    return pad_length(batches(f, "combo_id", 8), "n_tokens").select("combo_id", "batch_id", "pad_len")
+    # numbering reads its input twice
+    return pad_length(batches(cut_lineage(f), "combo_id", 8), "n_tokens").select("combo_id", "batch_id", "pad_len")
 
 
 @register("sort_desc_counts", sql=O.with_ctes(*O.FULL, select="""
@@ -335,16 +340,17 @@ LABEL_EVALUATOR = Evaluator()
 TEXT_EVALUATOR = Evaluator(truth="prompt", first_n=1001, strip_first=True, rouge_on="response")
 
 
-def _answers(d):
+def _answers(answered):
     """Answers of every combination but the pairs (a shorter table, so positions drift); every
     second one starts with a line of its own."""
     text = F.when(F.col("combo_id") % 2 == 0, F.concat(F.lit("Answer\n"), F.col("response"))).otherwise(F.col("response"))
-    return d.responses.where(F.col("k") >= 3).select("combo_id", text.alias("response"))
+    return answered.where(F.col("k") >= 3).select("combo_id", text.alias("response"))
 
 
 def _evaluated(spark, sf, how, **options):
-    d = L.Derived(spark, sf)
-    return evaluate(paired(d.final, _answers(d), "combo_id", "combo_id", "response", how), **options)
+    # numbering reads its input twice on both sides: labels, prompts and answers are stored once
+    rows = cut_lineage(L.Derived(spark, sf).answered.select("combo_id", "k", "prediction", "prompt", "response"))
+    return evaluate(paired(rows, _answers(rows), "combo_id", "combo_id", "response", how), **options)
 
 
 def _evaluator_sql(how: Evaluator) -> str:
