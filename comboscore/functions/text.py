@@ -175,7 +175,9 @@ def sentences_of(columns) -> Column:
 
 def ngrams(tokens, n: int) -> Column:
     """Space-joined n-grams of a token array (empty when shorter than n)."""
-    t = _col(tokens)
-    k = F.size(t) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(t, i, n), " "))
-    return F.when(k >= 1, grams).otherwise(F.array().cast("array<string>"))
+    def of(t):
+        k = F.size(t) - n + 1
+        grams = F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(k >= 1, grams).otherwise(F.array().cast("array<string>"))
+    # bound first: the tokens may be an expression, which the inner lambda would compute for every gram
+    return F.transform(F.array(_col(tokens)), of)[0]

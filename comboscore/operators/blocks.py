@@ -2,17 +2,21 @@
 
 The vocabulary is a table (token, count, token_id) with ids by (count desc, token); ids
 come from the distributed ``with_ordinal``, never from a single-partition ranking. Tokens
-are mapped to ids with two equi-joins on the token: the frequent head of the vocabulary, as
-large as the session's broadcast threshold allows, is broadcast, so hot tokens are no shuffle
-keys; the rest is shuffled. Only positions that can reach the block are joined (the block is
+are mapped to ids in two steps: the frequent head of the vocabulary, as
+large as the session's broadcast threshold allows, is broadcast and looked up by whole rows, so hot
+tokens are neither rows nor shuffle keys; the rest joins by a shuffle. Only positions that can reach the block are joined (the block is
 the feature), while the full token count of every text is kept for the ``truncated`` flag.
 ``pad_batches`` collates rows of any length into batches.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from comboscore.functions.text import ws_tokens
 from comboscore.operators.ordinal import with_ordinal
@@ -30,11 +34,12 @@ def vocabulary(df: DataFrame, text: str, tokenizer=ws_tokens, first_id: int = 1)
     return o.select("token", "count", (F.col("_r") + first_id).alias("token_id"))
 
 
-def _head_and_tail(vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The most frequent tokens, as many as fit the session's broadcast threshold, and the others.
+def _head_and_tail(vocab: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent tokens, as many as fit the session's broadcast threshold, and the others (None
+    without any).
 
     Ids follow the counts, so the head is a range of ids. Its bytes are measured on the stored
-    vocabulary; below the threshold the tail is empty.
+    vocabulary.
     """
     spark = vocab.sparkSession
     v = cut_lineage(vocab.select("token", "token_id"))
@@ -42,27 +47,53 @@ def _head_and_tail(vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
     limit = max(0, int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))
     keep = size.n if not size.bytes else min(size.n, size.n * limit // size.bytes)
     in_head = F.col("token_id") < F.lit((size.first or 0) + keep)
-    return v.where(in_head), v.where(~in_head)
+    return v.where(in_head), v.where(~in_head) if keep < size.n else None
+
+
+def _head_ids(head: DataFrame):
+    """array<string> -> array<long>: ids of the broadcast tokens, null for others. Works on the flattened
+    tokens of an Arrow batch; rows stay rows."""
+    table = head.toArrow().combine_chunks()
+    shared = head.sparkSession.sparkContext.broadcast(tuple(
+        pa.array(table.column(c).to_pylist(), t) for c, t in (("token", pa.string()), ("token_id", pa.int64()))))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def ids(tokens: pa.Array) -> pa.Array:
+        known, number = shared.value
+        found = number.take(pc.index_in(tokens.flatten().cast(pa.string()), value_set=known))
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(starts, found)
+    return ids
 
 
 def token_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, limit: int | None = None,
               pad_id: int = PAD_ID, tokenizer=ws_tokens) -> DataFrame:
     """(key, ids, n_tokens): ids of the first ``limit`` tokens (all without it) and the full count.
 
-    The hottest tokens, which would meet in few tasks, are looked up in a broadcast head of
-    the vocabulary; the rare rest joins the tail by a shuffle. A token that the vocabulary lacks
-    becomes ``pad_id``.
+    The frequent tokens are looked up in a broadcast head of the vocabulary, whole rows at a time; only
+    the rare others become rows, which join the tail by a shuffle. A token that the vocabulary
+    lacks becomes ``pad_id``. Rows that share a key are one, by position.
     """
     toks = df.select(key, tokenizer(F.col(text)).alias("_t"))
     cut = F.col("_t") if limit is None else F.slice("_t", 1, limit)
-    pos = toks.select(key, F.size("_t").alias("n_tokens"), F.posexplode_outer(cut).alias("_pos", "token"))
     head, tail = _head_and_tail(vocab)
-    pos = pos.join(F.broadcast(head.withColumnRenamed("token_id", "_head")), "token", "left")
-    known = F.col("token").isNull() | F.col("_head").isNotNull()
-    rest = pos.where(~known).drop("_head").join(tail.withColumnRenamed("token_id", "_head"), "token", "left")
-    ided = pos.where(known).select(key, "n_tokens", "_pos", "_head").unionByName(rest.select(key, "n_tokens", "_pos", "_head"))
-    place = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_head", F.lit(pad_id)).cast("long").alias("id")))
-    grouped = ided.groupBy(key).agg(F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(place)).alias("_s"))
+    rows = toks.select(key, F.size("_t").alias("n_tokens"), F.coalesce(cut, F.array().cast("array<string>")).alias("_t"))
+    rows = rows.withColumn("_ids", _head_ids(head)("_t"))
+    known = F.transform("_ids", lambda x: F.coalesce(x, F.lit(pad_id).cast("long")))
+    repeats = df.groupBy(key).count().where("count > 1").limit(1).count()
+    if tail is None and not repeats:
+        return rows.select(key, known.alias("ids"), "n_tokens")
+    at = F.transform(known if tail is None else F.col("_ids"), lambda x, i: F.struct(i.alias("_pos"), x.alias("id")))
+    parts = rows.select(key, "n_tokens", F.filter(at, lambda x: x["id"].isNotNull()).alias("_p"))
+    if tail is not None:
+        lacked = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("_t") - 1).alias("_pos"), F.col("_t").alias("token"), "_ids"),
+                          lambda x: x["_ids"].isNull())
+        rare = rows.where(F.size("_t") > 0).select(key, F.inline(F.transform(lacked, lambda x: F.struct(x["_pos"].alias("_pos"), x["token"].alias("token")))))
+        rare = rare.join(tail, "token", "left")
+        place = F.struct("_pos", F.coalesce("token_id", F.lit(pad_id)).cast("long").alias("id"))
+        parts = parts.unionByName(rare.select(key, F.lit(None).cast("int").alias("n_tokens"), F.array(place).alias("_p")))
+    grouped = parts.groupBy(key).agg(F.max("n_tokens").alias("n_tokens"), F.array_sort(F.flatten(F.collect_list("_p"))).alias("_s"))
     return grouped.select(key, F.transform("_s", lambda x: x["id"]).alias("ids"), "n_tokens")
 
 

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +30,11 @@ def lcs_length(a, b) -> int:
     """Length of the longest common subsequence of two token lists, bit-parallel.
 
     Bit j of ``row`` is zero where the best length grows at token j of ``b``; one token of ``a`` is one
-    addition of long integers, so memory is linear and a step handles 64 tokens of ``b`` a word.
+    addition of long integers, so memory is linear and a step handles 64 tokens of ``b`` a word. The
+    shorter list is ``b``; a token that it lacks changes nothing.
     """
+    if len(b) > len(a):
+        a, b = b, a
     where: dict = {}
     for j, t in enumerate(b):
         where[t] = where.get(t, 0) | 1 << j
@@ -37,20 +42,34 @@ def lcs_length(a, b) -> int:
     row = full
     for t in a:
         hit = row & where.get(t, 0)
+        if not hit:
+            continue
         row = ((row + hit) | (row - hit)) & full
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf(T.LongType())
-def _lcs_udf(ref: pd.Series, cand: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(list(r), list(c)) for r, c in zip(ref, cand)], dtype="int64")
+def _starts(lists: pa.Array) -> np.ndarray:
+    """Where the rows of a list array begin (and end) in its flattened values."""
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_udf(tokens: pd.Series) -> pd.Series:
+# Tokens stay in Arrow's buffers: only a batch's distinct tokens, or one row's numbers, become Python objects.
+
+@F.arrow_udf(T.LongType())
+def _lcs_udf(ref: pa.Array, cand: pa.Array) -> pa.Array:
+    values = pa.concat_arrays([ref.flatten(), cand.flatten()])
+    codes = values.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    r, c = _starts(ref), _starts(cand) + len(ref.flatten())
+    return pa.array([lcs_length(codes[r[i]:r[i + 1]].tolist(), codes[c[i]:c[i + 1]].tolist()) for i in range(len(ref))], pa.int64())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stem_udf(tokens: pa.Array) -> pa.Array:
     """Porter-stem tokens longer than three characters (shorter ones are kept)."""
     from comboscore.functions.stem import stem
-    return pd.Series([[stem(t) if len(t) > 3 else t for t in row] for row in tokens], dtype=object)
+    values = tokens.flatten().dictionary_encode()
+    stems = pa.array([stem(t) if len(t) > 3 else t for t in values.dictionary.to_pylist()], pa.string())
+    return pa.ListArray.from_arrays(pa.array(_starts(tokens), pa.int32()), stems.take(values.indices))
 
 
 def _bind(value: Column, body) -> Column:
@@ -73,11 +92,30 @@ def numbered(tokens: Column) -> Column:
 
 def overlap(ref: Column, cand: Column) -> Column:
     """Clipped overlap of two token arrays: sum over tokens of the smaller count."""
-    return F.size(F.array_intersect(numbered(ref), numbered(cand))).cast("long")
+    return _of_shared(ref, cand, lambda: F.size(F.array_intersect(numbered(ref), numbered(cand))).cast("long"))
+
+
+FEW = 8         # distinct values in both arrays that are counted one by one
+
+
+def _of_shared(ref: Column, cand: Column, many) -> Column:
+    """Clipped overlap: ``FEW`` shared values at most are counted in both arrays, ``many`` of them otherwise."""
+    def count(values, x):
+        return F.size(F.filter(values, lambda y: y == x))
+
+    def of(shared):
+        few = F.aggregate(shared, F.lit(0).cast("long"), lambda n, x: n + F.least(count(ref, x), count(cand, x)))
+        return F.when(F.size(shared) <= FEW, few).otherwise(many())
+    return _bind(F.array_intersect(ref, cand), of)
 
 
 def _matched(ref: Column, cand: Column) -> Column:
-    """Sum over values of the smaller of the two counts, for two arrays of even integers.
+    """Sum over values of the smaller of the two counts, for two arrays of even integers."""
+    return _of_shared(ref, cand, lambda: _folded(ref, cand))
+
+
+def _folded(ref: Column, cand: Column) -> Column:
+    """``_matched`` of any number of shared values.
 
     Both sides lie in one sorted array, the candidate's values plus one, so each value's
     references come just before its candidates. The fold holds the references not matched yet.
@@ -100,7 +138,8 @@ def clipped_counts(ref: Column, cand: Column, max_n: int) -> Column:
     """Array with, per n-gram length 1..``max_n``, the sum over n-grams of the smaller of the two counts.
 
     Tokens become 64-bit hashes once; a longer gram's hash is made of the gram without its
-    last token and that token. Row-local, n log n, no strings beyond the first step.
+    last token and that token. Row-local, n log n, no strings beyond the first step. Where no gram
+    of a length is shared, no longer one is, and none is made.
     """
     def even(tokens):
         return F.transform(tokens, lambda t: F.xxhash64(t).bitwiseAND(-2))
@@ -110,11 +149,12 @@ def clipped_counts(ref: Column, cand: Column, max_n: int) -> Column:
                            lambda g, i: F.xxhash64(g, F.get(words, i + (n - 1))).bitwiseAND(-2))
 
     def of(x, n):
-        counts = F.array(_matched(x["r"], x["c"]))
         if n == max_n:
-            return counts
+            return F.array(_matched(x["r"], x["c"]))
         more = F.struct(longer(x["r"], x["rw"], n + 1).alias("r"), longer(x["c"], x["cw"], n + 1).alias("c"), x["rw"].alias("rw"), x["cw"].alias("cw"))
-        return F.concat(counts, _bind(more, lambda y: of(y, n + 1)))
+        none = F.array(*[F.lit(0).cast("long")] * (max_n - n))
+        return _bind(_matched(x["r"], x["c"]), lambda k: F.concat(
+            F.array(k), F.when(k == 0, none).otherwise(_bind(more, lambda y: of(y, n + 1)))))
     words = F.struct(even(ref).alias("r"), even(cand).alias("c"))
     return _bind(words, lambda w: _bind(F.struct(w["r"].alias("r"), w["c"].alias("c"), w["r"].alias("rw"), w["c"].alias("cw")), lambda x: of(x, 1)))
 

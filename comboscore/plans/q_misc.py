@@ -516,8 +516,9 @@ pb AS (SELECT combo_id, ids, len(ids) AS n, CAST(floor((row_number() OVER (ORDER
 
 
 def _prompt_ids(spark, sf):
-    f = L.final(spark, sf).select("combo_id", "prompt")
-    return B.token_ids(f, "combo_id", "prompt", B.vocabulary(f, "prompt"))
+    # the prompts feed the vocabulary and the ids, the ids are numbered: both are stored once
+    f = cut_lineage(L.final(spark, sf).select("combo_id", "prompt"))
+    return cut_lineage(B.token_ids(f, "combo_id", "prompt", B.vocabulary(f, "prompt")))
 
 
 @register("padded_batches", sql=O.with_ctes(*O.FULL, select=_COLLATED + """
@@ -554,7 +555,7 @@ SELECT ptok.combo_id, CAST({PROMPT_BUDGET} - len(pids.ids) AS INTEGER) AS n_pad,
        CAST(len(ptok.t) AS INTEGER) AS n_tokens, len(ptok.t) > {PROMPT_BUDGET} AS truncated
 FROM ptok JOIN pids ON pids.combo_id = ptok.combo_id"""), note="left-padded prompt budget")
 def q_prompt_blocks(spark, sf):
-    f = L.final(spark, sf).select("combo_id", "prompt")
+    f = cut_lineage(L.final(spark, sf).select("combo_id", "prompt"))
     b = B.blocks(f, "combo_id", "prompt", B.vocabulary(f, "prompt"), size=PROMPT_BUDGET, side="left")
     n_pad = F.aggregate("mask", F.lit(0), lambda a, x: a + (1 - x))
     real = F.filter("ids", lambda x, i: F.element_at("mask", i + 1) == 1)

@@ -52,3 +52,46 @@ def test_first_positions_number_no_other_rows(spark, monkeypatch):
     got = sorted(map(tuple, O.align(a, b, "x", "y", n=5).collect()))
     assert got == [(k, k, 2 * k) for k in range(5)]
     assert [s.count() for s in stored] == [5, 5]
+
+
+def test_ngrams_compute_their_tokens_once(spark):
+    """The tokens of an expression are bound before the grams, not split again for each of them."""
+    from comboscore.functions import text as T
+    df = spark.createDataFrame([("a b  c",), ("one",), ("",), (None,)], "t string")
+    grams = df.select(T.ngrams(T.ws_tokens("t"), 2).alias("g"))
+    assert [r.g for r in grams.collect()] == [["a b", "b c"], [], [], []]
+    assert _tree(grams).split("Scan")[0].count("split(") == 1
+
+
+def test_known_tokens_are_never_rows(spark):
+    """With the whole vocabulary in the broadcast no token is exploded or shuffled; repeated and null keys
+    are one row by position, as through the tail."""
+    from comboscore.operators import blocks as B
+    df = spark.createDataFrame([(1, "b a b"), (2, "a"), (2, "c c"), (None, "b"), (3, ""), (4, None)], "k long, text string")
+    vocab = spark.createDataFrame([("b", 3, 1), ("a", 2, 2)], "token string, count long, token_id long")
+    want = {1: ([1, 2, 1], 3), 2: ([0, 2, 0], 2), None: ([1], 1), 3: ([], 0), 4: ([], None)}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (old, "20", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            assert {r.k: (r.ids, r.n_tokens) for r in B.token_ids(df, "k", "text", vocab).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    tree = _tree(B.token_ids(df.where("k = 1 or k = 3"), "k", "text", vocab))
+    assert "Generate" not in tree and "Exchange" not in tree
+
+
+def test_clipped_counts_of_few_and_many_shared_grams(spark):
+    from collections import Counter
+    from comboscore.operators.textmetrics import FEW, bleu_row_counts, rouge
+    long = " ".join(f"w{k % (3 * FEW)}" for k in range(60))
+    rows = [("a b a", "a a a c"), (long, long + " w1 w2"), (long, "x y"), ("", "a"), (long, "w1 w3 w1")]
+    df = spark.createDataFrame(rows, "r string, c string")
+    got = bleu_row_counts(df, "r", "c").collect()
+    for row in got:
+        for n in range(1, 5):
+            grams = [Counter(zip(*(t.split()[k:] for k in range(n)))) for t in (row.r, row.c)]
+            assert row.clipped[n - 1] == sum((grams[0] & grams[1]).values())
+    for row in rouge(df, "r", "c", kinds=("rouge1",)).collect():
+        hit = sum((Counter(row.r.split()) & Counter(row.c.split())).values())
+        assert row.rouge1_p == (hit / len(row.c.split()) if row.c else 0.0)
