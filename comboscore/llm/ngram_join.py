@@ -8,8 +8,10 @@ transpose, done in blocks, after rows and columns that cannot matter are left ou
    each, under any common order. The order is rare first, by a count sketch of all shingles of
    all documents (fixed size, 2**``WIDTH`` counters; it decides the order only, never a result).
 3. Blocks. Nodes that share such a shingle and are not kept apart by size (a set of fewer than
-   ``threshold`` times the other's shingles cannot link) fall into one candidate class. Each class is
-   cut into tiles of a bounded number of nodes and of shingles, and every pair of its tiles is
+   ``threshold`` times the other's shingles cannot link) fall into one candidate class. The more
+   shingles share a counter, the less the order tells, and the more sets meet by chance: classes of
+   more than one tile go through step 2 again, each for itself, by a sketch of their own shingles,
+   until that saves no more. Each class is then cut into tiles of a bounded number of nodes and of shingles, and every pair of its tiles is
    one task: whole sets, overlap counts accumulated over rows whose sizes allow a link (a column
    of few rows adds one to each of its pairs; columns of many rows, whose blocks are dense, go by
    matrix products), and pairs below the size-derived bound
@@ -49,6 +51,8 @@ FIRST = "doc_id long, text_key long, n long, node long, slice int, counts binary
 POSTINGS = "shingle long, node long, n long, salt int"
 EDGES = "a long, b long, shingle long, node long, lo long, hi long"
 SETS = "node long, root long, tiles int, shingles binary"
+SLICES = "slice int, counts binary"
+SAVED = 0.5                                  # a round that leaves more than this share of the copies is the last
 SEEN = 1 << 20                               # nodes a task remembers before it starts anew
 
 
@@ -79,6 +83,26 @@ def node_ids(d, s, sizes):
         return C.mix((upto[at[1:]] - upto[at[:-1]]) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def within(d, s, root):
+    """Shingles named anew in each class, sorted by document and name: classes share none."""
+    s = C.mix(s ^ C.mix(root.view(np.uint64))[d])
+    by = np.lexsort((s, d))
+    return d[by], s[by]
+
+
+def add_counts(counts, s):
+    at, many = np.unique(s >> np.uint64(64 - WIDTH), return_counts=True)
+    counts[at] += many.astype(np.uint32)
+
+
+def slices(counts):
+    """Numbers and compressed counters of the slices that are not empty."""
+    codec = pa.Codec("zstd")
+    full = [k for k in range(1 << (WIDTH - SLICE)) if counts[k << SLICE:(k + 1) << SLICE].any()]
+    blobs = [codec.compress(counts[k << SLICE:(k + 1) << SLICE].tobytes(), asbytes=True) for k in full]
+    return pa.array(full, pa.int32()), pa.array(blobs, pa.binary())
+
+
 def describe(n: int):
     """One row per document (size and node), then this task's part of the sketch in slices."""
     def run(batches):
@@ -86,19 +110,29 @@ def describe(n: int):
         for batch in batches:
             for sub, offsets, data in C.parts(batch):
                 d, s, sizes, _ = shingle_sets(C.Words(offsets, data, lower=True), n)
-                at, many = np.unique(s >> np.uint64(64 - WIDTH), return_counts=True)
-                counts[at] += many.astype(np.uint32)
+                add_counts(counts, s)
                 rows = sub.num_rows
                 yield pa.record_batch([sub.column("doc_id"), sub.column("text_key"), pa.array(sizes, pa.int64()),
                                        pa.array(node_ids(d, s, sizes).view(np.int64)), pa.nulls(rows, pa.int32()),
                                        pa.nulls(rows, pa.binary())], names=[x.split()[0] for x in FIRST.split(", ")])
-        codec = pa.Codec("zstd")
-        full = [k for k in range(1 << (WIDTH - SLICE)) if counts[k << SLICE:(k + 1) << SLICE].any()]
-        if full:
-            blobs = [codec.compress(counts[k << SLICE:(k + 1) << SLICE].tobytes(), asbytes=True) for k in full]
+        full, blobs = slices(counts)
+        if len(full):
             none = pa.nulls(len(full), pa.int64())
-            yield pa.record_batch([none, none, none, none, pa.array(full, pa.int32()), pa.array(blobs, pa.binary())],
-                                  names=[x.split()[0] for x in FIRST.split(", ")])
+            yield pa.record_batch([none, none, none, none, full, blobs], names=[x.split()[0] for x in FIRST.split(", ")])
+    return run
+
+
+def count_classes(n: int):
+    """This task's part of the sketch of shingles named anew in each class."""
+    def run(batches):
+        counts = np.zeros(1 << WIDTH, np.uint32)
+        for batch in batches:
+            for sub, offsets, data in C.parts(batch):
+                d, s, _, _ = shingle_sets(C.Words(offsets, data, lower=True), n)
+                add_counts(counts, within(d, s, _numbers(sub, "root"))[1])
+        full, blobs = slices(counts)
+        if len(full):
+            yield pa.record_batch([full, blobs], names=[x.split()[0] for x in SLICES.split(", ")])
     return run
 
 
@@ -113,7 +147,10 @@ def add_slices(key, table):
 
 
 def prefixes(sketch, n: int, up: int, low: int):
-    """The first shingles of every set, rare ones first; of copies in one task, one set's."""
+    """The first shingles of every set, rare ones first; of copies in one task, one set's.
+
+    With a column ``root``, shingles meet in their own class only.
+    """
     def run(batches):
         levels = np.frombuffer(sketch.value, np.uint8)
         usual = np.median(levels[levels > 0]) if levels.any() else 0
@@ -123,6 +160,8 @@ def prefixes(sketch, n: int, up: int, low: int):
             for sub, offsets, data in C.parts(batch):
                 d, s, sizes, _ = shingle_sets(C.Words(offsets, data, lower=True), n)
                 node = node_ids(d, s, sizes)
+                if "root" in sub.schema.names:
+                    d, s = within(d, s, _numbers(sub, "root"))
                 level = levels[s >> np.uint64(64 - WIDTH)]
                 by = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
                 by = by[np.argsort(d[by], kind="stable")]
@@ -318,21 +357,62 @@ def block_stars(up: int, low: int):
     return run
 
 
-def node_links(docs: DataFrame, nodes: DataFrame, sketch, n: int, up: int, low: int) -> DataFrame:
-    """Star links (a, b) between nodes; ``nodes``: (node, n, doc_id, text_key), one document each."""
+def shared_sketch(parts: DataFrame):
+    """The broadcast levels of all counters, from the tasks' slices."""
+    found = parts.groupBy("slice").applyInArrow(add_slices, "slice int, level binary").collect()
+    sketch = np.zeros(1 << WIDTH, np.uint8)
+    for r in found:
+        sketch[r["slice"] << SLICE:(r["slice"] + 1) << SLICE] = np.frombuffer(r["level"], np.uint8)
+    return parts.sparkSession.sparkContext.broadcast(sketch.tobytes())
+
+
+def candidate_classes(docs: DataFrame, sketch, n: int, up: int, low: int) -> DataFrame:
+    """(node, root) of the nodes that share one of their first shingles with another."""
     posted = docs.mapInArrow(prefixes(sketch, n, up, low), POSTINGS)
     sorted_ = posted.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "node")
     found = cut_lineage(sorted_.mapInArrow(stars(up, low), EDGES).distinct())
     hubs = (found.where("shingle is not null").select("shingle", "node", "lo", "hi")
             .groupBy("shingle").applyInArrow(join_hubs(up, low), "a long, b long"))
-    classes = cut_lineage(components(found.where("a is not null").select("a", "b").unionByName(hubs)))
-    rows = classes.join(nodes, "node")
-    size = (rows.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
-            .select("root", F.greatest(F.ceil(F.col("rows") / TILE_NODES), F.ceil(F.col("shingles") / TILE_SHINGLES))
+    return cut_lineage(components(found.where("a is not null").select("a", "b").unionByName(hubs)))
+
+
+def class_tiles(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(root, rows, tiles) of every class."""
+    return (classes.join(nodes, "node").groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+            .select("root", "rows", F.greatest(F.ceil(F.col("rows") / TILE_NODES), F.ceil(F.col("shingles") / TILE_SHINGLES))
                     .cast("int").alias("tiles")))
-    rows = rows.join(size, "root").select("node", "root", "tiles", "doc_id", "text_key")
+
+
+def split_classes(texts: DataFrame, classes: DataFrame, nodes: DataFrame, n: int, up: int, low: int) -> tuple[DataFrame, DataFrame]:
+    """``classes`` with those of more than one tile taken apart by their own shingles, and their tiles.
+
+    A set is sent once for every tile of its class, so these copies are what a round has to save;
+    none is made while they are fewer than all sets of ``classes``.
+    """
+    before = None
+    while True:
+        tiles = cut_lineage(class_tiles(classes, nodes))
+        rows, copies = tiles.agg(F.sum("rows"), F.sum(F.expr("if(tiles > 1, rows * tiles, 0)"))).first()
+        if not copies or copies <= rows or (before is not None and copies > SAVED * before):
+            return classes, tiles
+        before = copies
+        large = classes.join(tiles.where("tiles > 1").select("root"), "root", "left_semi")
+        own = cut_lineage(texts.join(large, "node").select("node", "root", "text"))
+        sketch = shared_sketch(own.mapInArrow(count_classes(n), SLICES))
+        small = classes.join(tiles.where("tiles = 1").select("root"), "root", "left_semi")
+        classes = cut_lineage(small.select("node", "root").unionByName(candidate_classes(own, sketch, n, up, low)))
+        sketch.unpersist()
+
+
+def node_links(docs: DataFrame, nodes: DataFrame, sketch, n: int, up: int, low: int) -> DataFrame:
+    """Star links (a, b) between nodes; ``nodes``: (node, n, doc_id, text_key), one document each."""
+    classes = candidate_classes(docs, sketch, n, up, low)
+    rows = classes.join(nodes, "node")
     key = [docs["text_key"] == rows["text_key"], docs["doc_id"].eqNullSafe(rows["doc_id"])]
-    sets = docs.join(rows, key).select("node", "root", "tiles", "text").mapInArrow(whole_sets(n), SETS)
+    texts = cut_lineage(docs.join(rows, key).select("node", "text"))
+    classes, tiles = split_classes(texts, classes, nodes, n, up, low)
+    rows = classes.join(tiles.select("root", "tiles"), "root")
+    sets = texts.join(rows, "node").select("node", "root", "tiles", "text").mapInArrow(whole_sets(n), SETS)
     sets = sets.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     pairs = (sets.withColumn("other", other)
@@ -350,12 +430,7 @@ def join_classes(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80,
     docs = keyed(docs, id_col, text_col)
     first = cut_lineage(docs.mapInArrow(describe(n), FIRST))
     members = first.where("slice is null").select("doc_id", "text_key", "n", "node")
-    slices = (first.where("slice is not null").select("slice", "counts").groupBy("slice")
-              .applyInArrow(add_slices, "slice int, level binary").collect())
-    sketch = np.zeros(1 << WIDTH, np.uint8)
-    for r in slices:
-        sketch[r["slice"] << SLICE:(r["slice"] + 1) << SLICE] = np.frombuffer(r["level"], np.uint8)
-    sketch = docs.sparkSession.sparkContext.broadcast(sketch.tobytes())
+    sketch = shared_sketch(first.where("slice is not null").select("slice", "counts"))
     nodes = cut_lineage(members.where("n > 0").groupBy("node", "n").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"))
         .select("node", "n", "first_id", "one.doc_id", "one.text_key"))

@@ -77,6 +77,23 @@ def test_ngram_join(spark, rows, monkeypatch):
     same([tuple(r) for r in got], brute.classes(rows))
 
 
+def test_large_candidate_classes_are_taken_apart(spark, monkeypatch):
+    """A class of sets that met by chance goes to pieces; sets that link stay together."""
+    monkeypatch.setattr(ngram_join, "TILE_NODES", 5)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(60)) for _ in range(14)]
+    texts.append(texts[0] + " end")
+    docs = ngram_join.keyed(frame(spark, list(enumerate(texts))), "doc_id", "text")
+    found = docs.mapInArrow(ngram_join.describe(5), ngram_join.FIRST).where("slice is null")
+    nodes = found.select("node", "n", "doc_id", "text_key").cache()
+    of = {r.doc_id: r.node for r in nodes.collect()}
+    met = nodes.select("node", F.lit(min(of.values())).alias("root"))
+    classes, tiles = ngram_join.split_classes(docs.join(nodes, ["doc_id", "text_key"]).select("node", "text"), met,
+                                              nodes.drop("doc_id", "text_key"), 5, 80, 100)
+    assert {(r.node, r.root) for r in classes.collect()} == {(of[0], min(of[0], of[14])), (of[14], min(of[0], of[14]))}
+    assert [(r.rows, r.tiles) for r in tiles.collect()] == [(2, 1)]
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components.components(links.unionByName(spark.createDataFrame([(900, 901), (901, 900)], "a long, b long"))).collect()
