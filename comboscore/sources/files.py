@@ -94,7 +94,8 @@ def write_pages(df: DataFrame, path: str, order, page_size: int = 500, pages_per
 
     ``<path>/pages`` holds JSON lines, one page a line: its number (from 1), the position of
     its first row and its rows. Files hold neighbouring pages, ``pages_per_file`` at most, so
-    neither folders nor files grow with the number of pages alone. See ``index_pages``.
+    neither folders nor files grow with the number of pages alone. Files are compressed
+    (field names make most of a line). See ``index_pages``.
     """
     from comboscore.operators.ordinal import with_ordinal
     o = with_ordinal(df, order, "_pos")
@@ -104,7 +105,8 @@ def write_pages(df: DataFrame, path: str, order, page_size: int = 500, pages_per
              .select((F.col("_p") + 1).alias("page"), (F.col("_p") * page_size).alias("first_row"),
                      F.transform("_s", lambda x: x["_r"]).alias("rows")))
     (pages.repartitionByRange("page").sortWithinPartitions("page")
-     .write.mode("overwrite").option("maxRecordsPerFile", pages_per_file).json(f"{path}/pages"))
+     .write.mode("overwrite").option("maxRecordsPerFile", pages_per_file).option("compression", "gzip")
+     .json(f"{path}/pages"))
     index_pages(df.sparkSession, path)
     return path
 
