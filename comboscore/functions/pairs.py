@@ -32,7 +32,7 @@ def parse_ids(c, sep: str = ",") -> Column:
 
 def join_ids(c, sep: str = ", ") -> Column:
     """``array<int>`` -> ``"a, b, c"``."""
-    return F.array_join(F.transform(_col(c), lambda x: x.cast("string")), sep)
+    return F.array_join(_col(c).cast("array<string>"), sep)
 
 
 def index_pairs(arr) -> Column:

@@ -11,7 +11,9 @@ a hub's list is spread over as many rows as it has blocks, and two lists meet bl
 ``sample_cliques`` and ``common_neighbours`` have one plan for hubs and others.
 
 ``sample_cliques`` grows every draw in lock-step. A draw is one row per block of its remaining
-candidates (the common neighbours of everything chosen so far). The k-th candidate lies in the
+candidates (the common neighbours of everything chosen so far), kept as bits (``bit_blocks``): one bit
+per id in words of 64, so an intersection is an AND per word, a count is a count of bits, and a
+row that the windows sort is ``BLOCK`` / 8 bytes long, however many candidates it holds. The k-th candidate lies in the
 block whose running count reaches k, which a window over the draw's rows finds; an equi-join on
 (item, block) intersects the candidates with the new item's neighbours. The first two items need
 no candidates at all: they are looked up by position. The first pick is uniform over all items:
@@ -27,10 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from comboscore.operators.ordinal import with_ordinal
-from comboscore.session import cut_lineage
+from comboscore.session import cut_lineage, deal
 
 HEX8 = 8  # hex digits used for a uniform integer
 BLOCK = 1024  # ids of one block, so neighbours of one row at most
+WORD = 64  # ids of one word of bits
 
 
 def edges(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
@@ -75,6 +78,43 @@ def in_blocks(adj: DataFrame, size: int = BLOCK) -> DataFrame:
     return _blocks_of(adj.select(F.col("id").alias("src"), F.explode("neighbours").alias("dst")), size)
 
 
+def bit_blocks(adj: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(id, block, bits ARRAY<LONG>): undirected neighbour sets without the item itself, a bit per
+    id of a block of ``size`` ids. ``adj``: whole lists, or blocks of any size."""
+    e = adj.select("id", F.explode("neighbours").alias("_x")).where("_x is not null and not (_x <=> id)")
+    place = F.col("_x").cast("long") - _block("_x", size) * size
+    e = e.select("id", _block("_x", size).alias("block"), F.floor(place / WORD).cast("int").alias("_w"),
+                 F.call_function("shiftleft", F.lit(1).cast("long"), (place % WORD).cast("int")).alias("_bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("_w") == w, F.col("_bit"))), F.lit(0).cast("long")) for w in range(-(-size // WORD))]
+    return e.groupBy("id", "block").agg(F.array(*words).alias("bits"))
+
+
+def _and(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def _count(bits: str) -> Column:
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x))
+
+
+def _bits_of(word: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit(word, b) == 1)
+
+
+def _kth(bits: str, k: Column, size: int, dtype) -> Column:
+    """The id at place ``k`` (from 0) of a block's sorted ids."""
+    none = F.lit(0).cast("long")
+    start = F.struct(k.cast("long").alias("left"), F.lit(0).alias("at"), none.alias("word"), F.lit(False).alias("found"))
+
+    def step(a, x):
+        here = a["left"] < F.bit_count(x)
+        return F.when(a["found"], a).when(here, F.struct(a["left"].alias("left"), a["at"].alias("at"), x.alias("word"), F.lit(True).alias("found"))) \
+            .otherwise(F.struct((a["left"] - F.bit_count(x)).alias("left"), (a["at"] + 1).alias("at"), a["word"].alias("word"), F.lit(False).alias("found")))
+    # the id is made inside the fold's last step, so that the fold is written once
+    return F.aggregate(bits, start, step, lambda a: (F.col("block") * size + a["at"] * WORD
+                                                     + F.get(_bits_of(a["word"]), a["left"].cast("int"))).cast(dtype))
+
+
 def whole_lists(blocks: DataFrame) -> DataFrame:
     """(id, neighbours ARRAY sorted) from blocks, for consumers that need one row per item."""
     parts = blocks.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("block", "neighbours"))).alias("_p"))
@@ -110,22 +150,28 @@ def common_neighbour_blocks(groups: DataFrame, adj: DataFrame, key: str = "combo
     Lists are intersected block by block, in order of degree: the shortest list is the only one
     that is read whole.
     """
-    blocks = cut_lineage(in_blocks(adj, size))
+    # without the item itself: a member drops out in its own list
+    blocks = cut_lineage(in_blocks(adj, size).withColumn("neighbours", F.array_remove("neighbours", F.col("id")))
+                         .where(F.size("neighbours") > 0))
     degree = blocks.groupBy("id").agg(F.sum(F.size("neighbours")).alias("_deg"))
-    longest = groups.agg(F.max(F.size(members))).first()[0] or 0
-    # a group's members stand in one row already, so they may meet in one row again
-    ranked = (groups.select(key, F.explode(F.array_distinct(members)).alias("id")).join(degree, "id", "left")
-              .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_deg", F.lit(0)).alias("d"), "id"))).alias("_s"))
-              .select(key, F.transform("_s", lambda x: x["id"]).alias("_m")))
+    # a group's members stand in one row already, so they may meet in one row again; stored, as the
+    # groups are read twice
+    ranked = cut_lineage(
+        groups.select(key, F.explode(F.array_distinct(members)).alias("id")).join(degree, "id", "left")
+        .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_deg", F.lit(0)).alias("d"), "id"))).alias("_s"))
+        .select(key, F.transform("_s", lambda x: x["id"]).alias("_m")))
+    longest = ranked.agg(F.max(F.size("_m"))).first()[0] or 0
     state = (ranked.withColumn("id", F.get("_m", F.lit(0))).join(blocks, "id")
-             .select(key, "_m", "block", F.array_except("neighbours", "_m").alias("candidates")))
+             .select(key, "_m", "block", F.col("neighbours").alias("candidates")))
     other = blocks.select(F.col("id").alias("_jk"), "block", F.col("neighbours").alias("_nb"))
     for k in range(1, longest):
-        # a group of k members or fewer has a NULL key and keeps its candidates
+        # a group of k members or fewer has a NULL key and keeps its candidates; the others are tested
+        # by overlap, which ends at the first common id: a filter on the intersection would make it twice
         state = state.withColumn("_jk", F.get("_m", F.lit(k))).join(other, ["_jk", "block"], "left")
-        both = F.when(F.col("_jk").isNull(), F.col("candidates")).otherwise(F.array_intersect("candidates", "_nb"))
-        state = state.select(key, "_m", "block", both.alias("candidates")).where(F.size("candidates") > 0)
-    return state.select(key, "block", "candidates").where(F.size("candidates") > 0)
+        done = F.col("_jk").isNull()
+        both = F.when(done, F.col("candidates")).otherwise(F.array_intersect("candidates", "_nb"))
+        state = state.where(done | F.arrays_overlap("candidates", "_nb")).select(key, "_m", "block", both.alias("candidates"))
+    return state.select(key, "block", "candidates")
 
 
 def common_neighbours(groups: DataFrame, adj: DataFrame, key: str = "combo_id",
@@ -171,27 +217,28 @@ def sample_cliques(adj: DataFrame, draws: DataFrame, seed: int, size_range=(2, 5
     d = F.col(draw)
     # draws are narrow rows that come from few files and cost much work each: deal them out by key,
     # once and always; the windows below keep this partitioning
-    parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    start = (draws.select(d, (F.lit(lo) + _uniform(seed, d, "size") % (hi - lo + 1)).cast("int").alias("target"),
-                          (_uniform(seed, d, "first") % n_items).alias("_idx")).repartition(parts, draw).join(indexed, "_idx"))
+    start = (deal(draws.select(draw), draws.count(), draw).select(d, (F.lit(lo) + _uniform(seed, d, "size") % (hi - lo + 1)).cast("int").alias("target"),
+                          (_uniform(seed, d, "first") % n_items).alias("_idx")).join(indexed, "_idx"))
     k = _uniform(seed, d, "2") % F.nullif(F.col("degree"), F.lit(0))
     pairs = (start.join(blocks, "id").withColumn("_k", k).where("_k >= before and _k < before + n")
              .select(d, "target", F.array(F.col("id"), F.element_at("neighbours", (F.col("_k") - F.col("before") + 1).cast("int"))).alias("combo")))
     # a draw that is complete has one row without candidates; one that still grows a row per block
-    nb = blocks.select(F.col("id").alias("_jk"), "block", F.col("neighbours").alias("_nb"))
+    bits = cut_lineage(bit_blocks(blocks, size))
+    nb = bits.select(F.col("id").alias("_jk"), "block", F.col("bits").alias("_nb"))
     growing = F.size("combo") < F.col("target")
-    first = blocks.select(F.col("id").alias("_first"), "block", F.col("neighbours").alias("cand"))
+    first = bits.select(F.col("id").alias("_first"), "block", F.col("bits").alias("cand"))
     state = (pairs.withColumn("_first", F.when(growing, F.get("combo", F.lit(0)))).join(first, "_first", "left")
              .withColumn("_jk", F.when(growing, F.get("combo", F.lit(1)))).join(nb, ["_jk", "block"], "left"))
     of_draw = Window.partitionBy(draw)
+    item = pairs.schema["combo"].dataType.elementType
     for step in range(3, hi + 1):
-        left = F.array_intersect("cand", "_nb")
-        state = state.select(d, "target", "combo", "block", F.when(growing, left).alias("cand")).where(~growing | (F.size("cand") > 0))
-        n = F.when(growing, F.size("cand")).otherwise(0).cast("long")
+        state = (state.select(d, "target", "combo", "block", F.when(growing, _and("cand", "_nb")).alias("cand"))
+                 .where(~growing | F.exists("cand", lambda x: x != 0)))
+        n = F.when(growing, _count("cand")).otherwise(0)
         upto = F.sum("_n").over(of_draw.orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
         state = (state.withColumn("_n", n).withColumn("_upto", upto).withColumn("_k", _uniform(seed, d, str(step)) % F.nullif(F.sum("_n").over(of_draw), F.lit(0))))
         place = F.col("_k") - F.col("_upto") + F.col("_n")
-        state = state.withColumn("_here", F.when((place >= 0) & (place < F.col("_n")), F.get("cand", place.cast("int"))))
+        state = state.withColumn("_here", F.when((place >= 0) & (place < F.col("_n")), _kth("cand", place, size, item)))
         state = state.withColumn("_pick", F.max("_here").over(of_draw))
         was_done = F.col("_pick").isNull()
         last = F.size("combo") + 1 == F.col("target")

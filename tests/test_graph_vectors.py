@@ -145,3 +145,27 @@ def test_pca_matches_numpy_with_fixed_signs(spark):
     for j in range(2):
         axis = vt[j] * np.sign(vt[j][np.abs(vt[j]).argmax()])
         assert np.allclose(got[:, j], x @ axis, atol=1e-6)
+
+
+def test_draws_keep_candidates_as_bits(spark):
+    """The rows that the sampler sorts hold words of bits: short whatever the degree, and never the item itself."""
+    pairs = spark.createDataFrame([(1, i) for i in range(0, 3000)] + [(70, 63), (70, 64)], "id_a int, id_b int")
+    for adj in (G.adjacency(pairs), G.adjacency_blocks(pairs, size=100)):
+        rows = G.bit_blocks(adj, 200).collect()
+        assert {len(r.bits) for r in rows} == {4}
+        got = {(r.id, r.block * 200 + 64 * w + b) for r in rows for w, x in enumerate(r.bits) for b in range(64) if x >> b & 1}
+        assert got == {(1, i) for i in range(3000) if i != 1} | {(i, 1) for i in range(3000) if i != 1} | {(70, 63), (63, 70), (70, 64), (64, 70)}
+
+
+def test_groups_are_read_once(spark):
+    """The groups' rows are made once, not for the longest group and again for the lists."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+    pairs, _ = hub_graph(spark, 50)
+    groups = spark.createDataFrame([(1, [0, 1]), (2, [3, 4, 0])], "combo_id int, ids array<int>").mapInPandas(count, "combo_id int, ids array<int>")
+    assert G.common_neighbour_blocks(groups, G.adjacency(pairs)).count() > 0
+    assert made.value == 2
