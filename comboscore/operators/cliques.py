@@ -160,17 +160,21 @@ def common_neighbour_blocks(groups: DataFrame, adj: DataFrame, key: str = "combo
         groups.select(key, F.explode(F.array_distinct(members)).alias("id")).join(degree, "id", "left")
         .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_deg", F.lit(0)).alias("d"), "id"))).alias("_s"))
         .select(key, F.transform("_s", lambda x: x["id"]).alias("_m")))
-    longest = ranked.agg(F.max(F.size("_m"))).first()[0] or 0
+    longest, rows = ranked.agg(F.max(F.size("_m")), F.count(F.lit(1))).first()
+    # narrow rows become lists: they are few bytes, which a few tasks would read
+    ranked = deal(ranked, rows, key)
     state = (ranked.withColumn("id", F.get("_m", F.lit(0))).join(blocks, "id")
              .select(key, "_m", "block", F.col("neighbours").alias("candidates")))
     other = blocks.select(F.col("id").alias("_jk"), "block", F.col("neighbours").alias("_nb"))
-    for k in range(1, longest):
+    for k in range(1, longest or 0):
         # a group of k members or fewer has a NULL key and keeps its candidates; the others are tested
         # by overlap, which ends at the first common id: a filter on the intersection would make it twice
         state = state.withColumn("_jk", F.get("_m", F.lit(k))).join(other, ["_jk", "block"], "left")
         done = F.col("_jk").isNull()
         both = F.when(done, F.col("candidates")).otherwise(F.array_intersect("candidates", "_nb"))
-        state = state.where(done | F.arrays_overlap("candidates", "_nb")).select(key, "_m", "block", both.alias("candidates"))
+        # a filter with a lambda ends the generated method: all joins in one would outgrow the JIT's limit
+        known = F.exists("_m", lambda m: m == F.col("_jk"))
+        state = state.where(done | (known & F.arrays_overlap("candidates", "_nb"))).select(key, "_m", "block", both.alias("candidates"))
     return state.select(key, "block", "candidates")
 
 
