@@ -59,6 +59,22 @@ def test_suffix_dedup_in_one_and_in_many_shards(spark, rows):
         same([(*r[:4], bytes(r.kept)) for r in got], brute.byte_dedup(rows, 90))
 
 
+def test_suffix_dedup_of_passages_about_its_length(spark):
+    """Planted passages of over 50 words: gone at 400 bytes, kept at 399; n_bytes is the whole text's."""
+    rng = random.Random(11)
+
+    def words(n):
+        return " ".join(f"{rng.randrange(10 ** 6):06d}" for _ in range(n))
+
+    passages = [f" {words(60)}"[:n - 1] + " " for n in (400, 399)]
+    assert all(len(p.split()) > 50 for p in passages)
+    planted = [(10 * k + j, p, f"{words(40)}{c}{p}{c}{words(40)}") for k, p in enumerate(passages) for j, c in enumerate("abcdef")]
+    want = [(i, len(t), 400, 1, t.replace(p, "").encode()) if len(p) == 400 else (i, len(t), 0, 0, t.encode()) for i, p, t in planted]
+    for shard in (1 << 20, 500):                         # the passage's gram in one shard, and split over several
+        got = suffix_dedup.drop_repeated_bytes(frame(spark, [(i, t) for i, _, t in planted]), shard=shard).collect()
+        same([(*r[:4], bytes(r.kept)) for r in got], want)
+
+
 def test_suffix_array_and_prefixes(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "LANES", 4)
     rng = random.Random(3)
