@@ -4,12 +4,17 @@ The overlap counts are a product of the sparse document by n-gram incidence with
 transpose, done in blocks, after rows and columns that cannot matter are left out:
 
 1. Rows. Documents with one shingle set are one row ("node"); its members follow it.
-2. Columns. Two sets that link share a shingle among the first n - ceil(threshold * n) + 1 of
-   each, under any common order. The order is rare first, by a count sketch of all shingles of
-   all documents (fixed size, 2**``WIDTH`` counters; it decides the order only, never a result).
-3. Blocks. Nodes that share such a shingle and are not kept apart by size (a set of fewer than
-   ``threshold`` times the other's shingles cannot link) fall into one candidate class. The more
-   shingles share a counter, the less the order tells, and the more sets meet by chance: classes of
+2. Columns. Two sets that link differ in D = (1 - threshold) / (1 + threshold) * (n1 + n2) shingles
+   at most. Every set is dealt by hash into parts, as many for all sets of a class of sizes, and a
+   set's parts that the other lacks are D at most, so they share one of the first D + 1 parts of
+   each, under any common order (a set also takes the parts of the class below, if it can link
+   with a set there). The order is rare first, a part being as rare as its rarest shingle by a count sketch of all
+   shingles of all documents (fixed size, 2**``WIDTH`` counters; it decides the order only, never a
+   result). A part is several shingles, so sets that share one by chance do not meet, also where the sketch is
+   full and tells little. Sets of too few parts meet by single shingles as well, the first
+   n - ceil(threshold * n) + 1 of each.
+3. Blocks. Nodes that share such a part and are not kept apart by size (a set of fewer than
+   ``threshold`` times the other's shingles cannot link) fall into one candidate class. Classes of
    more than one tile go through step 2 again, each for itself, by a sketch of their own shingles,
    until that saves no more. Each class is then cut into tiles of a bounded number of nodes and of shingles, and every pair of its tiles is
    one task: whole sets, overlap counts accumulated over rows whose sizes allow a link (a column
@@ -19,7 +24,7 @@ transpose, done in blocks, after rows and columns that cannot matter are left ou
    never its pairs.
 4. Links are joined to classes by ``components``.
 
-Hot shingles (by the sketch) are salted by node, the more the hotter, so that about ``HOT``
+Hot parts (by the sketch) are salted by node, the more the hotter, so that about ``HOT``
 postings share a salt at any size of the table, and joined again in a second step. Sizes are
 compared in whole numbers, so the threshold is met exactly. Shingles are 64-bit hashes of
 their words, nodes 64-bit hashes of sets paired with their sizes.
@@ -146,8 +151,68 @@ def add_slices(key, table):
     return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "level"])
 
 
+def size_classes(sizes, up: int, low: int):
+    """First sizes of the classes, and each set's class. A set links with its own class and the two next to it only."""
+    begin = [1]
+    while begin[-1] <= sizes.max(initial=0):
+        begin.append(max(begin[-1] + 1, 3 * begin[-1] // 2, -(-begin[-1] * low // up)))
+    begin = np.array(begin, np.int64)
+    k = np.maximum(np.searchsorted(begin, sizes, "right") - 1, 0)
+    return begin, k
+
+
+def set_parts(d, s, level, first, last, up: int, low: int):
+    """(document, hash, level) of the parts of all sets, by document; ``first``, ``last``: sizes of a document's class.
+
+    Five parts for every four shingles in which the longest sets of the class may differ: enough that
+    few sets have no part to spare, and the most common parts are left out.
+    """
+    many = np.maximum(1, -(-5 * last * (low - up) // (4 * up)))
+    named = C.mix(first.astype(np.uint64))
+    part = ((C.mix(s ^ named[d]) >> np.uint64(32)) * many[d].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    cell = (np.cumsum(many) - many)[d] + part
+    by = np.argsort(cell, kind="stable")
+    cell = cell[by]
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1]]))
+    if not len(start):
+        return d[:0], s[:0], level[:0]
+    who = d[by[start]]
+    with np.errstate(over="ignore"):
+        content = np.add.reduceat(C.mix(s[by]), start)
+        return who, C.mix(content ^ C.mix(part[by[start]].astype(np.uint64) + named[who])), np.minimum.reduceat(level[by], start)
+
+
+def firsts(who, s, level, want):
+    """Places of the first ``want`` of each document's rows, rare ones first."""
+    by = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
+    by = by[np.argsort(who[by], kind="stable")]
+    have = np.bincount(who, minlength=len(want))
+    return by[C.ranges(np.cumsum(have) - have, np.minimum(have, want))]
+
+
+def signatures(d, s, level, sizes, up: int, low: int):
+    """(document, hash, level): two sets that link share a hash."""
+    begin, k = size_classes(sizes, up, low)
+    below = np.maximum(k - 1, 0)
+    short = np.zeros(len(sizes), bool)
+    out = []
+    # each set in its own class, whose partners may be larger, then in the class below, whose sets are smaller
+    for of, partner, ok in ((k, sizes * low // up, sizes > 0), (below, begin[k] - 1, (k > 0) & ((begin[k] - 1) * low >= sizes * up))):
+        differ = (sizes + partner) * (low - up) // (low + up)
+        mine = ok[d]
+        who, part, rare = set_parts(d[mine], s[mine], level[mine], begin[of], begin[np.minimum(of + 1, len(begin) - 1)] - 1, up, low)
+        at = firsts(who, part, rare, np.where(ok, differ + 1, 0))
+        out.append((who[at], part[at], rare[at]))
+        short |= ok & (np.bincount(who, minlength=len(sizes)) <= differ)
+    single = short[d]
+    who, one, rare = d[single], C.mix(s[single] + np.uint64(1)), level[single]
+    at = firsts(who, one, rare, sizes - (-(-up * sizes // low)) + 1)
+    out.append((who[at], one[at], rare[at]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def prefixes(sketch, n: int, up: int, low: int):
-    """The first shingles of every set, rare ones first; of copies in one task, one set's.
+    """The first parts of every set, rare ones first; of copies in one task, one set's.
 
     With a column ``root``, shingles meet in their own class only.
     """
@@ -162,29 +227,25 @@ def prefixes(sketch, n: int, up: int, low: int):
                 node = node_ids(d, s, sizes)
                 if "root" in sub.schema.names:
                     d, s = within(d, s, _numbers(sub, "root"))
-                level = levels[s >> np.uint64(64 - WIDTH)]
-                by = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")
-                by = by[np.argsort(d[by], kind="stable")]
-                begin = np.cumsum(sizes) - sizes
-                want = np.where(sizes > 0, sizes - (-(-up * sizes // low)) + 1, 0)
                 if len(seen) > SEEN:
                     seen.clear()
+                new = np.ones(len(sizes), bool)
                 for k, x in enumerate(node.tolist()):            # copies: once per task
-                    if x in seen:
-                        want[k] = 0
+                    new[k] = x not in seen
                     seen.add(x)
-                at = by[C.ranges(begin, want)]
-                who = d[at]
-                salts = np.left_shift(np.uint64(1), np.clip(level[at] // 8 + 1 - np.log2(HOT), 1, 30).astype(np.uint64))
-                salt = np.where(level[at] >= hot, (node[who] % salts).astype(np.int32), -1)
-                yield pa.record_batch([pa.array(s[at].view(np.int64)), pa.array(node[who].view(np.int64)),
+                own = new[d]
+                d, s = d[own], s[own]
+                who, s, level = signatures(d, s, levels[s >> np.uint64(64 - WIDTH)], np.where(new, sizes, 0), up, low)
+                salts = np.left_shift(np.uint64(1), np.clip(level // 8 + 1 - np.log2(HOT), 1, 30).astype(np.uint64))
+                salt = np.where(level >= hot, (node[who] % salts).astype(np.int32), -1)
+                yield pa.record_batch([pa.array(s.view(np.int64)), pa.array(node[who].view(np.int64)),
                                        pa.array(sizes[who], pa.int64()), pa.array(salt, pa.int32())],
                                       names=[x.split()[0] for x in POSTINGS.split(", ")])
     return run
 
 
 def stars(up: int, low: int):
-    """Stars of the nodes of one shingle, over rows sorted by (shingle, salt, n, node).
+    """Stars of the nodes of one part ("shingle"), over rows sorted by (shingle, salt, n, node).
 
     A gap in size that no link can cross ends a star. Salted shingles also hand on their hubs
     with the sizes they cover.
@@ -367,7 +428,7 @@ def shared_sketch(parts: DataFrame):
 
 
 def candidate_classes(docs: DataFrame, sketch, n: int, up: int, low: int) -> DataFrame:
-    """(node, root) of the nodes that share one of their first shingles with another."""
+    """(node, root) of the nodes that share one of their first parts with another."""
     posted = docs.mapInArrow(prefixes(sketch, n, up, low), POSTINGS)
     sorted_ = posted.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "node")
     found = cut_lineage(sorted_.mapInArrow(stars(up, low), EDGES).distinct())

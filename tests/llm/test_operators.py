@@ -110,6 +110,48 @@ def test_large_candidate_classes_are_taken_apart(spark, monkeypatch):
     assert [(r.rows, r.tiles) for r in tiles.collect()] == [(2, 1)]
 
 
+def test_sets_that_share_a_phrase_by_chance_do_not_meet(spark):
+    """A full sketch, which knows no shingle as rare: phrases of many texts join no class, near copies do."""
+    rng = random.Random(4)
+    words = [[f"w{rng.randrange(10 ** 9)}" for _ in range(200)] for _ in range(40)]
+    phrases = [[f"p{k}{c}" for c in "abcde"] for k in range(40)]
+    for k, w in enumerate(words):
+        for x in rng.sample(range(40), 6):
+            at = 10 * rng.randrange(20)
+            w[at:at + 5] = phrases[x]
+    words.append(words[0][:190] + ["end"] * 10)
+    docs = ngram_join.keyed(frame(spark, [(k, " ".join(w)) for k, w in enumerate(words)]), "doc_id", "text")
+    found = docs.mapInArrow(ngram_join.describe(5), ngram_join.FIRST).where("slice is null")
+    of = {r.node: r.doc_id for r in found.collect()}
+    full = spark.sparkContext.broadcast(bytes([64]) * (1 << ngram_join.WIDTH))
+    classes = ngram_join.candidate_classes(docs, full, 5, 80, 100).collect()
+    assert {of[r.node] for r in classes if of[r.root] in (0, 40)} == {0, 40}
+    assert len(classes) <= 8
+
+
+def test_every_link_shares_a_part():
+    rng = np.random.default_rng(1)
+    for up, low in ((80, 100), (50, 100), (2, 3), (100, 100)):
+        sets = []
+        for size in (1, 2, 3, 5, 9, 20, 60, 300):
+            base = rng.integers(0, 2 ** 63, size, dtype=np.uint64)
+            for _ in range(12):
+                more = rng.integers(0, 2 ** 63, rng.integers(0, size // 4 + 2), dtype=np.uint64)
+                sets.append(np.unique(np.concatenate([base[rng.random(size) > rng.random() * 0.2], more])))
+        sizes = np.array([len(x) for x in sets])
+        s = np.concatenate(sets)
+        who, part, _ = ngram_join.signatures(np.repeat(np.arange(len(sets)), sizes), s, (s >> np.uint64(50)).astype(np.uint8), sizes, up, low)
+        parts = [set(part[who == k].tolist()) for k in range(len(sets))]
+        links = 0
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both and both * low >= up * (sizes[i] + sizes[j] - both):
+                    links += 1
+                    assert parts[i] & parts[j]
+        assert links > 20
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components.components(links.unionByName(spark.createDataFrame([(900, 901), (901, 900)], "a long, b long"))).collect()
