@@ -24,6 +24,24 @@ def test_narrow_rows_are_dealt_into_tasks_by_their_number(spark):
     assert deal(df, ROWS_PER_TASK * (least + 3) + 1, "id").rdd.getNumPartitions() == least + 4
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from comboscore.session import CLEANUP, cut_lineage
+
+    def files():
+        return set(glob.glob(spark.conf.get("spark.local.dir") + "/**/shuffle_*.data", recursive=True))
+    before, had = files(), spark.conf.get(CLEANUP, None)
+    df = spark.range(10000).repartition(7, "id")
+    assert cut_lineage(df).count() == 10000
+    stops = time.time() + 10
+    while files() - before and time.time() < stops:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(CLEANUP, None) == had and df.count() == 10000
+
+
 def test_combinations_are_shuffled_twice_and_never_coalesced(spark):
     """One shuffle by order, one by combination, both with a fixed number of tasks; the window over the
     pairs sorts ids and numbers, no names or score texts."""
