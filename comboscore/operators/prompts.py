@@ -59,7 +59,7 @@ def labelled_prompts(looked_up: DataFrame, key: str = "combo_id", order=("i", "j
     named columns behind ``carry``. Names that are columns are made after the window.
     """
     agg = score_pairs(looked_up, key, order, *names).groupBy(key).agg(
-        *[F.any_value(c).alias(c) for c in carry], *also, *verdict_aggregates(order),
+        *[F.any_value(c, F.lit(True)).alias(c) for c in carry], *also, *verdict_aggregates(order),
         *prompt_aggregates(order, score_text, prefix, last_names))
     own = agg.columns[1 + len(carry):][:len(also)]
     return agg.select(key, *carry, *own, *verdict_columns(key, on_missing), *prompt_columns(rule))

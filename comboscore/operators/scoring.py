@@ -87,9 +87,9 @@ def combo_verdict(scored: DataFrame, key: str = "combo_id", order=("i", "j"),
     prediction: any found pair with zip < -1 -> Antagonistic; else any zip > 15 ->
     Synergistic; else Additive; NULL when no pair was found. reasoning: pair sentences in
     pair order. synergistic / additive: pair-label counts. ``carry`` columns are
-    functionally dependent on ``key`` and passed through.
+    functionally dependent on ``key`` and passed through; one pair with the value is enough.
     """
-    agg = scored.groupBy(key).agg(*[F.any_value(c).alias(c) for c in carry], *also, *verdict_aggregates(order))
+    agg = scored.groupBy(key).agg(*[F.any_value(c, F.lit(True)).alias(c) for c in carry], *also, *verdict_aggregates(order))
     own = agg.columns[1 + len(carry):][:len(also)]
     return agg.select(key, *carry, *own, *verdict_columns(key, on_missing))
 
