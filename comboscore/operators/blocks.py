@@ -50,8 +50,8 @@ def _head_and_tail(vocab: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return v.where(in_head), v.where(~in_head) if keep < size.n else None
 
 
-def _head_ids(head: DataFrame):
-    """array<string> -> array<long>: ids of the broadcast tokens, null for others. Works on the flattened
+def _head_ids(head: DataFrame, other: int | None = None):
+    """array<string> -> array<long>: ids of the broadcast tokens, ``other`` for others. Works on the flattened
     tokens of an Arrow batch; rows stay rows."""
     table = head.toArrow().combine_chunks()
     shared = head.sparkSession.sparkContext.broadcast(tuple(
@@ -61,6 +61,8 @@ def _head_ids(head: DataFrame):
     def ids(tokens: pa.Array) -> pa.Array:
         known, number = shared.value
         found = number.take(pc.index_in(tokens.flatten().cast(pa.string()), value_set=known))
+        if other is not None:
+            found = found.fill_null(other)
         sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
         starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         return pa.ListArray.from_arrays(starts, found)
@@ -79,12 +81,11 @@ def token_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, limit: int |
     cut = F.col("_t") if limit is None else F.slice("_t", 1, limit)
     head, tail = _head_and_tail(vocab)
     rows = toks.select(key, F.size("_t").alias("n_tokens"), F.coalesce(cut, F.array().cast("array<string>")).alias("_t"))
-    rows = rows.withColumn("_ids", _head_ids(head)("_t"))
-    known = F.transform("_ids", lambda x: F.coalesce(x, F.lit(pad_id).cast("long")))
+    rows = rows.withColumn("_ids", _head_ids(head, pad_id if tail is None else None)("_t"))
     repeats = df.groupBy(key).count().where("count > 1").limit(1).count()
     if tail is None and not repeats:
-        return rows.select(key, known.alias("ids"), "n_tokens")
-    at = F.transform(known if tail is None else F.col("_ids"), lambda x, i: F.struct(i.alias("_pos"), x.alias("id")))
+        return rows.select(key, F.col("_ids").alias("ids"), "n_tokens")
+    at = F.transform("_ids", lambda x, i: F.struct(i.alias("_pos"), x.alias("id")))
     parts = rows.select(key, "n_tokens", F.filter(at, lambda x: x["id"].isNotNull()).alias("_p"))
     if tail is not None:
         lacked = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("_t") - 1).alias("_pos"), F.col("_t").alias("token"), "_ids"),

@@ -557,8 +557,7 @@ FROM ptok JOIN pids ON pids.combo_id = ptok.combo_id"""), note="left-padded prom
 def q_prompt_blocks(spark, sf):
     f = cut_lineage(L.final(spark, sf).select("combo_id", "prompt"))
     b = B.blocks(f, "combo_id", "prompt", B.vocabulary(f, "prompt"), size=PROMPT_BUDGET, side="left")
-    n_pad = F.aggregate("mask", F.lit(0), lambda a, x: a + (1 - x))
-    real = F.filter("ids", lambda x, i: F.element_at("mask", i + 1) == 1)
-    return b.select("combo_id", n_pad.alias("n_pad"),
-                    F.array_join(F.transform(real, lambda x: x.cast("string")), " ").alias("ids"),
-                    "n_tokens", "truncated")
+    # no lambdas: inside one the mask, an expression, would be made anew for every id
+    n_pad = F.size(F.array_remove("mask", 1))
+    real = F.slice("ids", n_pad + 1, F.size("ids") - n_pad)      # the padding is on the left
+    return b.select("combo_id", n_pad.alias("n_pad"), join_ids(real, " ").alias("ids"), "n_tokens", "truncated")
