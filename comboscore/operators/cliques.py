@@ -25,8 +25,12 @@ only in the blocks where the other members leave candidates.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from comboscore.operators.ordinal import with_ordinal
 from comboscore.session import cut_lineage, deal
@@ -147,13 +151,13 @@ def common_neighbour_blocks(groups: DataFrame, adj: DataFrame, key: str = "combo
     """(key, block, candidates ARRAY sorted): items adjacent to every member and not a member, in
     blocks; a group without candidates has no row.
 
-    Lists are intersected block by block, in order of degree: the shortest list is the only one
-    that is read whole.
+    Lists are intersected block by block as bits (``bit_blocks``), in order of degree: the shortest
+    list is the only one that is read whole.
     """
     # without the item itself: a member drops out in its own list
-    blocks = cut_lineage(in_blocks(adj, size).withColumn("neighbours", F.array_remove("neighbours", F.col("id")))
-                         .where(F.size("neighbours") > 0))
-    degree = blocks.groupBy("id").agg(F.sum(F.size("neighbours")).alias("_deg"))
+    item = adj.schema["neighbours"].dataType.elementType
+    blocks = cut_lineage(bit_blocks(adj, size))
+    degree = blocks.groupBy("id").agg(F.sum(_count("bits")).alias("_deg"))
     # a group's members stand in one row already, so they may meet in one row again; stored, as the
     # groups are read twice
     ranked = cut_lineage(
@@ -164,18 +168,30 @@ def common_neighbour_blocks(groups: DataFrame, adj: DataFrame, key: str = "combo
     # narrow rows become lists: they are few bytes, which a few tasks would read
     ranked = deal(ranked, rows, key)
     state = (ranked.withColumn("id", F.get("_m", F.lit(0))).join(blocks, "id")
-             .select(key, "_m", "block", F.col("neighbours").alias("candidates")))
-    other = blocks.select(F.col("id").alias("_jk"), "block", F.col("neighbours").alias("_nb"))
+             .select(key, "_m", "block", F.col("bits").alias("cand")))
+    other = blocks.select(F.col("id").alias("_jk"), "block", F.col("bits").alias("_nb"))
     for k in range(1, longest or 0):
-        # a group of k members or fewer has a NULL key and keeps its candidates; the others are tested
-        # by overlap, which ends at the first common id: a filter on the intersection would make it twice
+        # a group of k members or fewer has a NULL key and keeps its candidates
         state = state.withColumn("_jk", F.get("_m", F.lit(k))).join(other, ["_jk", "block"], "left")
         done = F.col("_jk").isNull()
-        both = F.when(done, F.col("candidates")).otherwise(F.array_intersect("candidates", "_nb"))
-        # a filter with a lambda ends the generated method: all joins in one would outgrow the JIT's limit
-        known = F.exists("_m", lambda m: m == F.col("_jk"))
-        state = state.where(done | (known & F.arrays_overlap("candidates", "_nb"))).select(key, "_m", "block", both.alias("candidates"))
-    return state.select(key, "block", "candidates")
+        # the lambda ends the generated method: all joins in one would outgrow the JIT's limit
+        both = F.when(done, F.col("cand")).otherwise(_and("cand", "_nb"))
+        state = state.select(key, "_m", "block", both.alias("cand")).where(F.exists("cand", lambda x: x != 0))
+    return state.select(key, "block", _ids_of(size, item)("cand", "block").alias("candidates"))
+
+
+def _ids_of(size: int, item):
+    """(bits, block) -> the block's sorted ids, whole Arrow batches at a time."""
+    words = -(-size // WORD)
+
+    @F.arrow_udf(T.ArrayType(item))
+    def ids(bits: pa.Array, block: pa.Array) -> pa.Array:
+        flat = bits.flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(len(bits), words)
+        row, place = np.nonzero(np.unpackbits(flat.view(np.uint8), axis=1, bitorder="little"))
+        starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(bits)))]).astype(np.int32)
+        first = block.to_numpy(zero_copy_only=False) * size
+        return pa.ListArray.from_arrays(pa.array(starts), pa.array(first[row] + place).cast(to_arrow_type(item)))
+    return ids
 
 
 def common_neighbours(groups: DataFrame, adj: DataFrame, key: str = "combo_id",
