@@ -34,12 +34,26 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
         return set(glob.glob(spark.conf.get("spark.local.dir") + "/**/shuffle_*.data", recursive=True))
     before, had = files(), spark.conf.get(CLEANUP, None)
     df = spark.range(10000).repartition(7, "id")
-    assert cut_lineage(df).count() == 10000
+    stored = cut_lineage(df)
     stops = time.time() + 10
     while files() - before and time.time() < stops:
         time.sleep(0.1)
     assert not files() - before
-    assert spark.conf.get(CLEANUP, None) == had and df.count() == 10000
+    assert spark.conf.get(CLEANUP, None) == had and df.count() == stored.count() == 10000
+
+
+def test_growing_pairs_are_stored_between_their_shuffles(spark):
+    """The last job shuffles stored pairs by combination and nothing else."""
+    import __spark_entry__ as E
+    tree = _tree(E.queries()["key_assign_growing"](spark, SF001))
+    assert tree.count("Exchange hashpartitioning") == 1 and tree.count("FileScan") == 1, tree
+
+
+def test_large_lists_are_not_walked_by_lambdas(spark):
+    import __spark_entry__ as E
+    assert "lambdafunction" not in _tree(E.queries()["prompt_blocks"](spark, SF001))
+    for name in ("candidate_blocks", "evaluate_labels_stemmed"):
+        assert "array_intersect" not in _tree(E.queries()[name](spark, SF001)), name
 
 
 def test_combinations_are_shuffled_twice_and_never_coalesced(spark):
