@@ -151,7 +151,7 @@ def ws_tokens(text) -> Column:
     whitespace, and a split at one character needs no pattern."""
     t = _col(text)
     plain = ~t.rlike(r"[^\x20-\x7e]")
-    return F.array_remove(F.when(plain, F.split(t, " ", -1)).otherwise(F.split(t, WS_CLASS + "+", -1)), "")
+    return F.array_remove(F.split(F.when(plain, t).otherwise(F.regexp_replace(t, WS_CLASS + "+", " ")), " ", -1), "")
 
 
 def rouge_tokens(text) -> Column:

@@ -2,9 +2,9 @@
 
 ROUGE-1: clipped overlap is the size of a multiset intersection. Each row's tokens are sorted
 and numbered within runs of equal ones, which makes them distinct, so the overlap is the
-size of a plain ``array_intersect``. BLEU needs four n-gram lengths of the same tokens: an Arrow
-function counts them over whole batches, on the tokens that both sides of a row hold. The longest common
-subsequence has no built-in and runs bit-parallel in an Arrow function, only when ``rougeL`` is asked
+size of a plain ``array_intersect``. BLEU needs four n-gram lengths of the same tokens: the
+n-grams of both sides become integers in a sorted array, and a fold counts them (row-local,
+no shuffle, no Python). The longest common subsequence has no built-in and runs bit-parallel in an Arrow function, only when ``rougeL`` is asked
 for; with stemming one function returns both kinds of hits, so stems do not go back. The
 corpus-level numbers are plain Spark sums (map-side partial aggregation, one row out).
 """
@@ -63,38 +63,25 @@ def _lcs_udf(ref: pa.Array, cand: pa.Array) -> pa.Array:
     return pa.array([lcs_length(codes[r[i]:r[i + 1]].tolist(), codes[c[i]:c[i + 1]].tolist()) for i in range(len(ref))], pa.int64())
 
 
-def _shared(r: np.ndarray, c: np.ndarray):
-    """Distinct values of ``c``, the smaller of each one's two counts, and every value's place among them (-1: not
-    in both arrays)."""
-    kinds, place, n_cand = np.unique(c, return_inverse=True, return_counts=True)
-    if not len(kinds):
-        return kinds, n_cand, np.full(len(r), -1), place
-    at = np.minimum(np.searchsorted(kinds, r), len(kinds) - 1)
-    at = np.where(kinds[at] == r, at, -1)
-    n_ref = np.bincount(at[at >= 0], minlength=len(kinds))
-    return kinds, np.minimum(n_ref, n_cand), at, np.where(n_ref[place] > 0, place, -1)
-
-
-def _of_both(ref, cand, rows_ref, rows_cand):
-    """Places and codes with their rows of the tokens that occur on both sides of a batch, and the codes' number."""
-    base = int(max(ref.max(initial=0), cand.max(initial=0))) + 1
-    known = np.zeros((2, base), bool)
-    known[0, ref], known[1, cand] = True, True
-    both = known.all(0)
-    at_r, at_c = np.flatnonzero(both[ref]), np.flatnonzero(both[cand])
-    return at_r, at_c, rows_ref[at_r] * base + ref[at_r], rows_cand[at_c] * base + cand[at_c], base
-
-
 def row_hits(ref: np.ndarray, cand: np.ndarray, rows_ref: np.ndarray, rows_cand: np.ndarray, count: int):
     """(clipped overlap, longest common subsequence) of ``count`` pairs of token lists, given as codes and their rows.
 
     Only tokens that both lists of a row hold matter: the others go, and a row's lists are walked
     in Python only if both keep two tokens or more.
     """
-    _, _, r, c, base = _of_both(ref, cand, rows_ref, rows_cand)
-    kinds, clipped, in_r, in_c = _shared(r, c)
-    overlap = np.bincount(kinds // base, clipped, count).astype(np.int64)
-    r, c = r[in_r >= 0], c[in_c >= 0]
+    base = int(max(ref.max(initial=0), cand.max(initial=0))) + 1
+    known = np.zeros((2, base), bool)
+    known[0, ref], known[1, cand] = True, True
+    both = known.all(0)
+    r, c = (rows[both[codes]] * base + codes[both[codes]] for rows, codes in ((rows_ref, ref), (rows_cand, cand)))
+    kinds, place, n_cand = np.unique(c, return_inverse=True, return_counts=True)
+    if not len(kinds):
+        return np.zeros(count, np.int64), np.zeros(count, np.int64)
+    at = np.minimum(np.searchsorted(kinds, r), len(kinds) - 1)
+    shared = kinds[at] == r
+    n_ref = np.bincount(at[shared], minlength=len(kinds))
+    overlap = np.bincount(kinds // base, np.minimum(n_ref, n_cand), count).astype(np.int64)
+    r, c = r[shared], c[n_ref[place] > 0]
     ends_r, ends_c = (np.searchsorted(x // base, np.arange(count + 1)) for x in (r, c))
     lcs = np.minimum(np.diff(ends_r), np.diff(ends_c))           # right where one list keeps one token or none
     for i in np.flatnonzero(lcs > 1).tolist():
@@ -102,36 +89,6 @@ def row_hits(ref: np.ndarray, cand: np.ndarray, rows_ref: np.ndarray, rows_cand:
     return overlap, lcs.astype(np.int64)
 
 
-def gram_hits(ref: np.ndarray, cand: np.ndarray, rows_ref: np.ndarray, rows_cand: np.ndarray, count: int, max_n: int) -> np.ndarray:
-    """(count, max_n): per row and n-gram length the sum over n-grams of the smaller of the two counts.
-
-    A gram is shared only if the gram without its last token and that token are: each length goes
-    on from the places that the one before left.
-    """
-    out = np.zeros((count, max_n), np.int64)
-    at_r, at_c, r, c, base = _of_both(ref, cand, rows_ref, rows_cand)
-    kinds, clipped, in_r, in_c = _shared(r, c)
-    row = kinds // base                                          # of each gram
-    words = []                                                   # each place's token, as a shared one of its row
-    for side, at, found in ((ref, at_r, in_r), (cand, at_c, in_c)):
-        words.append(np.full(len(side) + max_n, -1))
-        words[-1][at] = found
-    tokens = len(kinds)
-    for n in range(1, max_n + 1):
-        out[:, n - 1] = np.bincount(row, clipped, count)
-        if n == max_n:
-            break
-        keys = []
-        for word, rows, at, found in ((words[0], rows_ref, at_r, in_r), (words[1], rows_cand, at_c, in_c)):
-            at, found = at[found >= 0], found[found >= 0]
-            ok = (word[at + n] >= 0) & (rows[np.minimum(at + n, len(rows) - 1)] == rows[at])
-            keys.append((at[ok], found[ok] * tokens + word[at[ok] + n]))
-        (at_r, r), (at_c, c) = keys
-        kinds, clipped, in_r, in_c = _shared(r, c)
-        row = row[kinds // max(1, tokens)]
-    return out
-
-
 def _rows_of(lists: pa.Array) -> np.ndarray:
     return np.repeat(np.arange(len(lists)), np.diff(_starts(lists)))
 
@@ -186,15 +143,54 @@ def _of_shared(ref: Column, cand: Column, many) -> Column:
     return _bind(F.array_intersect(ref, cand), of)
 
 
+def _matched(ref: Column, cand: Column) -> Column:
+    """Sum over values of the smaller of the two counts, for two arrays of even integers."""
+    return _of_shared(ref, cand, lambda: _folded(ref, cand))
+
+
+def _folded(ref: Column, cand: Column) -> Column:
+    """``_matched`` of any number of shared values.
+
+    Both sides lie in one sorted array, the candidate's values plus one, so each value's
+    references come just before its candidates. The fold holds the references not matched yet.
+    """
+    both = F.array_sort(F.concat(ref, F.transform(cand, lambda x: x + 1)))
+    zero = F.lit(0).cast("long")
+
+    def step(acc, x):
+        value = x.bitwiseAND(-2)
+        free = F.when(acc["value"] == value, acc["free"]).otherwise(zero)
+        hit = (x != value) & (free > 0)
+        return F.struct(value.alias("value"), F.when(x == value, free + 1).when(hit, free - 1).otherwise(free).alias("free"),
+                        F.when(hit, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
+    # an odd value is no gram
+    start = F.struct(F.lit(1).cast("long").alias("value"), zero.alias("free"), zero.alias("n"))
+    return F.aggregate(both, start, step, lambda acc: acc["n"])
+
+
 def clipped_counts(ref: Column, cand: Column, max_n: int) -> Column:
-    """Array with, per n-gram length 1..``max_n``, the sum over n-grams of the smaller of the two counts."""
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def counts(r: pa.Array, c: pa.Array) -> pa.Array:
-        codes = pa.concat_arrays([r.flatten(), c.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = [_rows_of(x) for x in (r, c)]
-        found = gram_hits(codes[:len(rows[0])], codes[len(rows[0]):], *rows, len(r), max_n)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * max_n), pa.array(found.ravel()))
-    return counts(ref, cand)
+    """Array with, per n-gram length 1..``max_n``, the sum over n-grams of the smaller of the two counts.
+
+    Tokens become 64-bit hashes once; a longer gram's hash is made of the gram without its
+    last token and that token. Row-local, n log n, no strings beyond the first step. Where no gram
+    of a length is shared, no longer one is, and none is made.
+    """
+    def even(tokens):
+        return F.transform(tokens, lambda t: F.xxhash64(t).bitwiseAND(-2))
+
+    def longer(grams, words, n):
+        return F.transform(F.slice(grams, 1, F.greatest(F.size(grams) - 1, F.lit(0))),
+                           lambda g, i: F.xxhash64(g, F.get(words, i + (n - 1))).bitwiseAND(-2))
+
+    def of(x, n):
+        if n == max_n:
+            return F.array(_matched(x["r"], x["c"]))
+        more = F.struct(longer(x["r"], x["rw"], n + 1).alias("r"), longer(x["c"], x["cw"], n + 1).alias("c"), x["rw"].alias("rw"), x["cw"].alias("cw"))
+        none = F.array(*[F.lit(0).cast("long")] * (max_n - n))
+        return _bind(_matched(x["r"], x["c"]), lambda k: F.concat(
+            F.array(k), F.when(k == 0, none).otherwise(_bind(more, lambda y: of(y, n + 1)))))
+    words = F.struct(even(ref).alias("r"), even(cand).alias("c"))
+    return _bind(words, lambda w: _bind(F.struct(w["r"].alias("r"), w["c"].alias("c"), w["r"].alias("rw"), w["c"].alias("cw")), lambda x: of(x, 1)))
 
 
 def _no_tokens() -> Column:
